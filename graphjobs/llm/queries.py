@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, urlglobs
+from . import decontam, mixing, simhash, urlglobs
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlglobs.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -19,11 +29,46 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op5_mix": op5_mix,
     "op9_url_globs": op9_url_globs,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
+    "op5_mix": r"""
+        WITH sizes AS (
+            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+            FROM documents
+        ), totals AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+            FROM sizes GROUP BY source
+        ), levels AS (
+            SELECT *, (sum(source_size) OVER () * CAST(1.5 AS DOUBLE)
+                       - coalesce(sum(source_size) OVER fill, 0) * CAST(2 AS DOUBLE))
+                      / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER fill, 0) AS DOUBLE) AS level
+            FROM totals
+            WINDOW fill AS (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), goals AS (
+            SELECT source, source_size, least(source_size * CAST(2 AS DOUBLE),
+                   coalesce((SELECT max(level) FROM levels WHERE level * weight <= source_size * CAST(2 AS DOUBLE)) * weight, source_size * CAST(2 AS DOUBLE))) AS target
+            FROM levels
+        ), rests AS (
+            SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM goals
+        ), runs AS (
+            SELECT doc_id, size, h, r.source_size, target, epochs, CAST(round(target - epochs * r.source_size) AS BIGINT) AS rest,
+                   sum(size) OVER (PARTITION BY s.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+                   sum(size) OVER (PARTITION BY s.source, h) AS tie
+            FROM sizes s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
+        )
+        SELECT doc_id, size, source_size, target, CAST(size * epochs + CASE
+            WHEN upto <= rest THEN size
+            WHEN upto - tie <= rest AND tie > 0 THEN size * (rest - upto + tie) // tie
+            ELSE 0 END AS BIGINT) AS taken
+        FROM runs
+    """,
     "op9_url_globs": r"""
         WITH rest AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
