@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, mixing, simhash, urlglobs
+from . import decontam, langid, mixing, simhash, toxicity, urlglobs
 from .common import table
 
 
@@ -18,6 +19,21 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learn = langid.training_rows(docs)
+    model = langid.train(docs.filter(learn))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = toxicity.training_rows(F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(learn)
+    lexicon = toxicity.train(docs.filter(learn), labels)
+    return toxicity.score(docs, lexicon).select("doc_id", (~learn).alias("held_out"), "score", "predicted")
+
+
 def op9_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlglobs.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -31,6 +47,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op5_mix": op5_mix,
+    "op6_language": op6_language,
+    "op7_toxicity": op7_toxicity,
     "op9_url_globs": op9_url_globs,
     "op10_simhash": op10_simhash,
 }
