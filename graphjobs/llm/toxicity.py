@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded first: case, marks, look-alike letters and digits that stand for
-letters. One Aho-Corasick pass finds the lexicon's words, unless an exception phrase
-covers them, and the weights are set against the text's length. Lexicon, weights and
-the scale of the score are learned from labelled rows.
+letters. One Aho-Corasick pass finds the words that begin with one of the lexicon's
+stems, unless an exception phrase covers them, and the weights are set against the
+text's length. Stems, weights and the scale of the score are learned from labelled
+rows.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def fold(text: str | None) -> str:
 
 @dataclass
 class Lexicon:
-    """Weights of folded words, exceptions, and the scale of the score."""
+    """Weights of folded stems, exceptions, and the scale of the score."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
@@ -92,15 +93,15 @@ class Lexicon:
         return self.__dict__ | {"_automaton": None}
 
     def hits(self, folded: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of whole listed words outside exception phrases."""
+        """(start, end, weight) of listed stems that begin a word outside exception
+        phrases."""
         a = self._built()
         found, covered = [], []
         if len(a):
             for last, (length, weight) in a.iter(folded):
                 s, e = last - length + 1, last + 1
-                if (s and (folded[s - 1].isalnum())) or (e < len(folded) and folded[e].isalnum()):
-                    continue
-                (covered if weight is None else found).append((s, e, weight))
+                if not s or not folded[s - 1].isalnum():
+                    (covered if weight is None else found).append((s, e, weight))
         return [h for h in found if not any(s <= h[0] and h[1] <= e for s, e, _ in covered)]
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -131,15 +132,35 @@ def _fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_rows: int = 4000, min_share: float = 0.08) -> Lexicon:
+#: Lengths of stems.
+SHORTEST, LONGEST = 3, 12
+
+
+def _choose(bad: dict[str, tuple[int, int]], bad_words: int, good: dict[str, int], good_words: int, min_ratio: float) -> dict[str, float]:
+    """Stem -> weight, from the candidates' (texts, uses) in toxic and uses in other
+    texts. No chosen stem begins with another."""
+    told = {}
+    for stem, (docs, uses) in bad.items():
+        ratio = (uses / bad_words) / ((good.get(stem, 0) + 1) / (good_words + 1))
+        if ratio >= min_ratio:
+            told[stem] = (docs * float(np.log(ratio)), len(stem), float(np.log(ratio)))
+    out: dict[str, float] = {}
+    for stem in sorted(told, key=lambda x: (*told[x][:2], x), reverse=True):
+        if not any(stem[:k] in out for k in range(SHORTEST, len(stem))) and not any(x.startswith(stem) for x in out):
+            out[stem] = told[stem][2]
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_rows: int = 4000, min_share: float = 0.02, min_ratio: float = 8.0) -> Lexicon:
     """Learns from about `max_rows` labelled rows at most of each label, picked by a
     hash of the key; equal texts count once. The picked labels, of which there are no
     more, are broadcast to the documents.
 
-    A word enters the lexicon if it is in `min_share` of the toxic texts and in five of
-    them at least, and is ten times as frequent there as in the others; its weight is
-    the log of that ratio. Only counts of words that occur in enough texts and two
-    numbers for each sampled text reach the driver.
+    Candidates are the beginnings of words that occur in `min_share` of the toxic texts
+    and in five of them at least. A stem enters the lexicon if toxic texts use it
+    `min_ratio` times as often, word for word, as the others; its weight is the log of
+    that ratio. Of stems that contain each other the one that tells most is kept. Only
+    the candidates' counts and two numbers for each sampled text reach the driver.
     """
     small_batches(docs.sparkSession)
     own = labels.select(F.col(key_col).alias("key"), (F.col(label_col) == 1).cast("int").alias("y")).filter("y is not null")
@@ -149,24 +170,44 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).filter("text is not null")
     picked = texts.join(F.broadcast(own), "key").dropDuplicates(["text", "y"]).select("text", "y").checkpoint()
 
-    def count(batches):
-        seen: tuple[Counter, Counter] = Counter(), Counter()
-        texts = [0, 0]
+    def stems(batches):
+        docs, uses, words, texts = Counter(), Counter(), 0, 0
         for batch in batches:
-            for text, y in zip(batch["text"], batch["y"]):
-                seen[y].update(set(_TOKEN.findall(fold(text))))
-                texts[y] += 1
-        yield pd.DataFrame([("", y, texts[y]) for y in (0, 1)] + [(w, y, n) for y in (0, 1) for w, n in seen[y].items()], columns=["word", "y", "n"])
-
-    counts = picked.mapInPandas(count, "word string, y int, n long").groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
-    counts = counts.checkpoint()
-    total = counts.filter("word = ''").first()
-    if not total or not total.bad:
+            for text in batch["text"]:
+                seen = Counter(_TOKEN.findall(fold(text)))
+                own = Counter()
+                for w, n in seen.items():
+                    for k in range(SHORTEST, min(len(w), LONGEST) + 1):
+                        own[w[:k]] += n
+                docs.update(own.keys())
+                uses.update(own)
+                words += seen.total()
+                texts += 1
+        yield pd.DataFrame([("", texts, words), *((g, n, uses[g]) for g, n in docs.items())], columns=["stem", "docs", "uses"])
+
+    bad = picked.filter("y = 1").select("text").mapInPandas(stems, "stem string, docs long, uses long")
+    bad = bad.groupBy("stem").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses")).checkpoint()
+    total = bad.filter("stem = ''").first()
+    if not total or not total.docs:
         return Lexicon({}, scale=(-4.0, 0.0, 0.0))
-    least = max(5, min_share * total.bad)
-    ratio = (F.col("bad") / total.bad) / ((F.col("good") + 0.5) / (total.good + 1))
-    found = counts.filter((F.col("word") != "") & (F.length("word") >= 3) & (F.col("bad") >= least) & (ratio >= 10)).withColumn("ratio", ratio)
-    lexicon = Lexicon({r.word: float(np.log(r.ratio)) for r in found.orderBy(F.desc("ratio"), "word").limit(50_000).collect()})
+    least = max(5, min_share * total.docs)
+    rows = bad.filter((F.col("stem") != "") & (F.col("docs") >= least)).collect()
+    wanted = {r.stem: (r.docs, r.uses) for r in rows}
+
+    def against(batches):
+        uses, words = Counter(), 0
+        for batch in batches:
+            for text in batch["text"]:
+                for w in _TOKEN.findall(fold(text)):
+                    words += 1
+                    for k in range(SHORTEST, min(len(w), LONGEST) + 1):
+                        if w[:k] in wanted:
+                            uses[w[:k]] += 1
+        yield pd.DataFrame([("", words), *uses.items()], columns=["stem", "uses"])
+
+    good = picked.filter("y = 0").select("text").mapInPandas(against, "stem string, uses long")
+    good = {r.stem: r.uses for r in good.groupBy("stem").agg(F.sum("uses").alias("uses")).collect()}
+    lexicon = Lexicon(_choose(wanted, total.uses, good, good.get("", 0), min_ratio))
 
     @F.pandas_udf("total double, rate double")
     def features(texts: pd.Series) -> pd.DataFrame:
