@@ -48,3 +48,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A hint to broadcast, after a look at the number of (short) rows; where there are
+    more, the join is left to be shuffled, with skewed parts split at run time."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import broadcast_if_small, written
 
 #: The ASCII white space that parts words; a fixed value.
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -67,12 +67,6 @@ def source_key(source: F.Column) -> F.Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def _small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A hint to broadcast per-source rows, after a look at their number; where there
-    are more, the join is left to be shuffled, with skewed parts split at run time."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each source of `wanted` (source, source_size, target): whole epochs, the
     bounding hash of the partial one, the words left for rows at that very hash and
@@ -87,12 +81,12 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = sizes.filter("size > 0").select(source_key(F.col("source")).alias("key"), "size", "h")
     for used in range(0, HASH_BITS, STEP_BITS):
         shift = HASH_BITS - used - STEP_BITS
-        inside = rows.join(_small(state.select("key", "prefix")), "key").filter(F.shiftright("h", shift + STEP_BITS) == F.col("prefix"))
+        inside = rows.join(broadcast_if_small(state.select("key", "prefix")), "key").filter(F.shiftright("h", shift + STEP_BITS) == F.col("prefix"))
         bins = inside.groupBy("key", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("bin_size"))
         run = Window.partitionBy("key").orderBy("bin")
         ends = (
             bins.withColumn("upto", F.sum("bin_size").over(run))
-            .join(_small(state.drop("bin_size")), "key")
+            .join(broadcast_if_small(state.drop("bin_size")), "key")
             .filter("upto > left and upto - bin_size <= left")
             .select("key", "source_size", "target", "epochs", (F.col("left") - F.col("upto") + F.col("bin_size")).alias("left"), F.col("bin").alias("prefix"), "bin_size")
         )
@@ -129,7 +123,7 @@ def mix(
         .when(F.col("_h") == F.col("bound"), F.expr("cast(size as decimal(19,0)) * cast(rest as decimal(19,0)) div cast(tie as decimal(19,0))"))
         .otherwise(F.lit(0))
     )
-    out = own.drop("source_size", "target", "taken").join(_small(per_source).withColumnRenamed("key", "_key"), "_key")
+    out = own.drop("source_size", "target", "taken").join(broadcast_if_small(per_source).withColumnRenamed("key", "_key"), "_key")
     taken = F.when(F.col("size") > 0, F.col("size") * F.col("epochs") + partial).otherwise(F.lit(0)).cast("long")
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     return out.withColumn("taken", taken).select(*kept, "size", "source_size", "target", "taken")

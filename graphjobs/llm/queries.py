@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, simhash, toxicity, urlglobs
+from . import decontam, langid, mixing, secrets, simhash, toxicity, urlglobs
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.scan(docs))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -44,8 +49,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(docs))
 
 
+
+def _spans_sql(rule: secrets.Rule, rank: int) -> str:
+    """DuckDB: a list of the rule's spans in the text t, from the lengths of matches and
+    of what parts them."""
+    regex = rule.regex.replace("'", "''")
+    measured = "m[i]" if rule.group == 0 else f"regexp_extract(m[i], '{regex}', {rule.group})"
+    return f"""(SELECT list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+            'start': CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+            'rank': {rank}, 'n': length(m[i]), 'g': length({measured}), 'kind': '{rule.kind}'}}), lambda s: s.g >= {rule.min_length})
+        FROM (SELECT regexp_extract_all(t, '{regex}') AS m, string_split_regex(t, '{regex}') AS p))"""
+
+
+_RULES = secrets.BASE_RULES + secrets.MORE_RULES
+_LISTED = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start || ':' || (s.start + s.n)), ',')"
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_secrets": op4_secrets,
     "op5_mix": op5_mix,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
@@ -54,6 +75,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_secrets": f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        found AS (SELECT doc_id, list_sort(flatten([{", ".join(_spans_sql(r, i) for i, r in enumerate(_RULES))}])) AS spans FROM texts)
+        SELECT doc_id,
+               CAST(len(list_filter(spans, lambda s: s.kind = 'assign')) AS BIGINT) AS n_assign,
+               CAST(len(list_filter(spans, lambda s: s.kind = 'access')) AS BIGINT) AS n_access,
+               CAST(len(list_filter(spans, lambda s: s.kind = 'hex')) AS BIGINT) AS n_hex,
+               sha256({_LISTED.format("list_filter(spans, lambda s: s.rank < 3)")}) AS base_sha256,
+               {_LISTED.format("spans")} AS spans
+        FROM found
+    """,
     "op5_mix": r"""
         WITH sizes AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
