@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, secrets, simhash, toxicity, urlglobs
+from . import decontam, langid, mixing, secrets, simhash, toxicity, urlglobs, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs))
@@ -66,6 +70,7 @@ _LISTED = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_mix": op5_mix,
     "op6_language": op6_language,
@@ -75,6 +80,14 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_warc": """
+        WITH payloads AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        kept AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last FROM payloads)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+        FROM kept
+    """,
     "op4_secrets": f"""
         WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         found AS (SELECT doc_id, list_sort(flatten([{", ".join(_spans_sql(r, i) for i, r in enumerate(_RULES))}])) AS spans FROM texts)
