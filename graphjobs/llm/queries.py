@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, secrets, simhash, toxicity, urlglobs, warc
+from . import decontam, langid, media, mixing, preference, secrets, simhash, toxicity, urlglobs, warc
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = media.rendered(table(spark, sf_dir, "embeddings"))
+    return media.copies(pictures)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -43,6 +48,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", (~learn).alias("held_out"), "score", "predicted")
 
 
+def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preference.turn_arrays(table(spark, sf_dir, "conversations"))
+    out = preference.format_pairs(preference.echo_pairs(turns))
+    return out.withColumns({c: preference.span_list(F.col(c)) for c in ("chosen_loss", "rejected_loss")})
+
+
 def op9_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlglobs.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -70,11 +81,13 @@ _LISTED = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_media": op2_media,
     "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_mix": op5_mix,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
+    "op8_preference": op8_preference,
     "op9_url_globs": op9_url_globs,
     "op10_simhash": op10_simhash,
 }
@@ -132,6 +145,29 @@ ORACLES = {
             ELSE 0 END AS BIGINT) AS taken
         FROM runs
     """,
+    "op8_preference": r"""
+        WITH items AS (
+            SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+            FROM conversations GROUP BY conv_id
+        ), placed AS (
+            SELECT conv_id, l, list_max(list_filter(range(1, len(l) + 1), lambda i: l[i].role = 'assistant')) AS last FROM items
+        ), parts AS (
+            SELECT conv_id, l[1:last - 1] AS head, l[last].text AS reply, coalesce(l[last - 1].text, '') AS echo, last FROM placed WHERE last IS NOT NULL
+        ), cut AS (
+            SELECT *, CASE WHEN reply = echo OR (last = 1 AND reply = '') THEN last ELSE last - 1 END AS n FROM parts
+        ), rendered AS (
+            SELECT conv_id, n, last,
+                   array_to_string(list_transform(head, lambda t: '<|im_start|>' || replace(t.role, '<|', '<\|') || chr(10) || replace(t.text, '<|', '<\|') || '<|im_end|>' || chr(10)), '') AS top,
+                   '<|im_start|>assistant' || chr(10) || replace(reply, '<|', '<\|') || '<|im_end|>' || chr(10) AS a,
+                   '<|im_start|>assistant' || chr(10) || replace(echo, '<|', '<\|') || '<|im_end|>' || chr(10) AS b
+            FROM cut
+        )
+        SELECT conv_id, CAST(n AS INTEGER) AS prompt_turns, CASE WHEN n = last THEN top || a ELSE top END AS prompt,
+               CASE WHEN n = last THEN '' ELSE a END AS chosen, CASE WHEN n = last THEN '' ELSE b END AS rejected,
+               CASE WHEN n = last THEN '' ELSE '22:' || length(a) END AS chosen_loss, CASE WHEN n = last THEN '' ELSE '22:' || length(b) END AS rejected_loss,
+               n < last AS usable
+        FROM rendered
+    """,
     "op9_url_globs": r"""
         WITH rest AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
