@@ -31,6 +31,16 @@ def test_viterbi_is_optimal():
         assert abs(value(langid.viterbi(scores, p)) - best) < 1e-9
 
 
+def test_word_scores_are_sums_of_trigrams():
+    rng = np.random.default_rng(2)
+    model = langid.Model(["a", "b"], rng.normal(0, 1, (langid.BUCKETS, 2)).astype(np.float32), np.ones((len(langid.SCRIPT_NAMES), 2), dtype=bool), 0)
+    for text in ("a", "ab c", "  the old, tree!x", "дом house", "x" * 300):
+        codes = langid._codes(text)
+        words = langid.split_words(codes)
+        want = [model.table[words.grams[a:b]].sum(axis=0) for a, b in zip(words.starts, words.ends)]
+        assert np.allclose(model.word_scores(codes, words), want, atol=1e-4)
+
+
 def test_learns_and_labels_spans(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
     model = langid.train(docs)
