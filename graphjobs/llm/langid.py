@@ -83,6 +83,7 @@ def split_words(codes: np.ndarray) -> Words:
     mixed = (padded[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (padded[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (padded[2:] * np.uint64(0x165667B19E3779F9))
     mixed ^= mixed >> np.uint64(29)
     grams = ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int64) % BUCKETS
+    grams = np.append(grams, 0)  # so that the text's end is a place, too
     return Words(starts, ends, script[starts].astype(np.int64) - 1 if len(starts) else np.zeros(0, dtype=np.int64), grams)
 
 
@@ -104,8 +105,9 @@ class Model:
         while lo < len(words.starts):
             hi = max(lo + 1, int(np.searchsorted(words.ends, words.starts[lo] + CHUNK)))
             a, b = words.starts[lo], words.ends[hi - 1]
-            sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.table[words.grams[a:b]], axis=0, dtype=np.float64)])
-            out[lo:hi] = sums[words.ends[lo:hi] - a] - sums[words.starts[lo:hi] - a]
+            # sums of words and of the gaps after them, in turn
+            cuts = np.stack([words.starts[lo:hi], words.ends[lo:hi]], axis=1).ravel() - a
+            out[lo:hi] = np.add.reduceat(self.table[words.grams[a : b + 1]], cuts, axis=0)[::2]
             lo = hi
         ok = self.scripts | ~self.scripts.any(axis=1, keepdims=True)
         out[~ok[words.scripts]] = -1e9
@@ -146,27 +148,30 @@ class Model:
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The best sequence of states, where each change costs the penalty."""
-    total = scores.sum(axis=0)
-    best = int(total.argmax())
-    # A stretch in another state pays at least half a switch (one of n stretches next to
-    # each other have n - 1 switches); if none gains that much, one state is optimal.
+    best = int(scores.sum(axis=0).argmax())
+    # What a stretch in another state gains over the best single state is at most `inner`,
+    # at the start `first` and at the end `last`. Each stretch pays for the change into
+    # it, and a sequence without the best state for all its changes but one, so that
+    # under these bounds no change is worth its price.
     gain = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores - scores[:, [best]], axis=0)])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty / 2:
+    inner = (gain - np.minimum.accumulate(gain, axis=0)).max()
+    first, last = gain.max(), (gain[-1] - gain).max()
+    if inner <= penalty and first + last <= penalty:
         return np.full(len(scores), best)
-    n, states = scores.shape
-    came = np.zeros((n, states), dtype=np.int32)
-    value = scores[0].copy()
-    own = np.arange(states)
-    for t in range(1, n):
-        top = int(value.argmax())
-        switch = value[top] - penalty > value
-        came[t] = np.where(switch, top, own)
-        value = np.where(switch, value[top] - penalty, value) + scores[t]
-    path = np.empty(n, dtype=np.int64)
-    path[-1] = int(value.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
-    return path
+    rows = scores.tolist()
+    value, came = rows[0], []
+    for row in rows[1:]:
+        top = max(value)
+        bar = top - penalty
+        came.append((value.index(top), [v < bar for v in value]))
+        value = [(v if v >= bar else bar) + s for v, s in zip(value, row)]
+    state = value.index(max(value))
+    path = [state]
+    for top, switched in reversed(came):
+        if switched[state]:
+            state = top
+        path.append(state)
+    return np.array(path[::-1])
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", docs_per_lang: int = 1500) -> Model:
@@ -196,7 +201,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
                 inside = np.zeros(len(codes) + 1, dtype=np.int64)
                 np.add.at(inside, words.starts, 1)
                 np.add.at(inside, words.ends, -1)
-                grams[n] += np.bincount(words.grams[np.cumsum(inside)[:-1] > 0], minlength=BUCKETS)
+                grams[n] += np.bincount(words.grams[:-1][np.cumsum(inside)[:-1] > 0], minlength=BUCKETS)
                 scripts[n] += np.bincount(words.scripts, weights=words.ends - words.starts, minlength=len(SCRIPT_NAMES)).astype(np.int64)
         for kind, counts in (("gram", grams), ("script", scripts)):
             i, j = np.nonzero(counts)
