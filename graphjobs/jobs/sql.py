@@ -71,3 +71,27 @@ def infer_label(name: str, relation: str, subject: str) -> str:
         WHEN {any_of(n, C.SEASON_WORDS)} THEN 'Season' WHEN {any_of(n, C.TECHNIQUE_WORDS)} THEN 'Technique' WHEN {any_of(n, C.DISEASE_WORDS)} THEN 'Disease'
         WHEN {any_of(n, C.BODY_WORDS)} THEN 'BodyPart' WHEN {any_of(n, C.FOOD_WORDS)} THEN 'Food' WHEN {any_of(n, C.SOURCE_WORDS)} THEN 'Source'
         WHEN {any_of(n, C.ORGANISATION_WORDS)} THEN 'Organization' WHEN {any_of(n, C.LOCATION_WORDS)} THEN 'Location' WHEN {person} THEN 'Person' ELSE 'Entity' END)"""
+
+
+def clean_paragraph(x: str, raw: bool = False) -> str:
+    return replaced(f"coalesce({x}, '')", X.paragraph_steps(raw=raw))
+
+
+def skip_line(x: str, cfg: C.TextConfig, raw: bool = False) -> str:
+    out = f"(length({x}) < 5 OR {holds(x, X.skip_patterns(cfg, raw))}"
+    return out + ")" if raw else f"{out} OR NOT {holds(x, cfg.script)})"
+
+
+def valid(x: str, cfg: C.TextConfig) -> str:
+    return f"(length({x}) >= {cfg.min_chars} AND len(regexp_extract_all({x}, {q(cfg.script)})) >= {cfg.min_script})"
+
+
+def filter_sections(x: str, cfg: C.TextConfig) -> str:
+    """Line by line: what comes before the first reference line, isn't in an abstract
+    and isn't skipped, from a list of lines."""
+    return f"""(SELECT coalesce(string_agg(l, chr(10) ORDER BY i), '') FROM (
+        SELECT i, l, coalesce(max(CASE WHEN mark THEN i END) OVER (ORDER BY i), 0) AS marked,
+               coalesce(max(CASE WHEN l = '' THEN i END) OVER (ORDER BY i), 0) AS blank, max(CASE WHEN ref THEN 1 ELSE 0 END) OVER (ORDER BY i) AS cut
+        FROM (SELECT i, l, {any_of('lower(l)', cfg.abstract_marks)} AS mark, {any_of('lower(l)', cfg.reference_marks)} AS ref
+              FROM (SELECT i, {strip('s[i]')} AS l FROM (SELECT string_split({x}, chr(10)) AS s), unnest(range(1, len(s) + 1)) AS r(i))))
+        WHERE cut = 0 AND marked <= blank AND l <> '' AND NOT {skip_line('l', cfg)})"""
