@@ -20,7 +20,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value) with line numbers from 1 that count blank lines. Each file
     is read by one task: line-based exchange files are rolled at a bounded size."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     parts = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n", -1)
     return lines.select("file", F.posexplode(parts).alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line_no"), "value")
 
