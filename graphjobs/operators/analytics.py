@@ -52,44 +52,55 @@ def entity_neighbors(nodes: DataFrame, edges: DataFrame, names: DataFrame, limit
     return both.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n", "edge_id")
 
 
+def _levels(starts: DataFrame, both: DataFrame, depth: int, name: str) -> DataFrame:
+    """(pair_id, node_id, parent, via, depth) of the nodes within depth steps of the
+    starts; a node keeps its least parent edge, so ties fall the same way in every run.
+    Each level is a table in the shared folder."""
+    none = F.lit(None).cast("string")
+    level = written(starts.distinct().select("pair_id", "node_id", none.alias("parent"), none.alias("via"), F.lit(0).alias("depth")), f"{name}-0")
+    seen = level
+    for d in range(1, depth + 1):
+        step = level.select("pair_id", F.col("node_id").alias("at")).join(both, "at").select("pair_id", F.col("to").alias("node_id"), F.col("at").alias("parent"), "edge_id")
+        new = step.groupBy("pair_id", "node_id").agg(F.min(F.struct("parent", "edge_id")).alias("p"))
+        new = new.join(seen.select("pair_id", "node_id"), ["pair_id", "node_id"], "left_anti")
+        level = written(new.select("pair_id", "node_id", F.col("p.parent").alias("parent"), F.col("p.edge_id").alias("via"), F.lit(d).alias("depth")), f"{name}-{d}")
+        seen = seen.union(level)
+    return seen
+
+
+def _walk(at: DataFrame, seen: DataFrame, depth: int) -> DataFrame | None:
+    """(pair_id, depth, node_id, parent, via) of the steps from each (pair_id, node_id)
+    back to its start."""
+    trail = None
+    for _ in range(depth):
+        step = at.join(seen, ["pair_id", "node_id"]).filter("depth > 0").select("pair_id", "depth", "node_id", "parent", "via")
+        trail = step if trail is None else trail.union(step)
+        at = step.select("pair_id", F.col("parent").alias("node_id"))
+    return trail
+
+
 def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> DataFrame:
     """(pair_id, hop, source, relation, target, season): one undirected shortest path of
     at most max_depth edges for each of pairs (pair_id, src, dst), hop by hop.
 
-    All pairs search together, from the start by levels. A visited (pair, node) keeps its
-    least parent edge, so ties fall the same way in every run, pairs that have arrived
-    stop, and each level is a table in the shared folder. A pair of equal names has no
-    path of edges and no rows.
+    All pairs search together and from both ends, so that a hub is opened on the last of
+    half the steps only; the paths meet where the two depths' sum is least, of equals at
+    the least node. A pair of equal names has no path of edges and no rows.
     """
     ids = nodes.select("node_id", "name")
     ends = pairs.select("pair_id", "src", "dst").filter("src != dst")
-    starts = ends.join(ids, ends["src"] == ids["name"]).select("pair_id", "node_id")
-    goals = written(ends.join(ids, ends["dst"] == ids["name"]).select("pair_id", F.col("node_id").alias("goal")), "path-goals")
-    both = edges.select("edge_id", F.col("src_id").alias("at"), F.col("dst_id").alias("to"), "type", "rel_type", "season").union(
-        edges.select("edge_id", F.col("dst_id"), F.col("src_id"), "type", "rel_type", "season")
-    )
-    none = F.lit(None).cast("string")
-    level = written(starts.distinct().select("pair_id", "node_id", none.alias("parent"), none.alias("via"), F.lit(0).alias("depth")), "path-0")
-    seen, reached = level, None
-    for depth in range(1, max_depth + 1):
-        step = level.select("pair_id", F.col("node_id").alias("at")).join(both, "at").select("pair_id", F.col("to").alias("node_id"), F.col("at").alias("parent"), "edge_id")
-        new = step.groupBy("pair_id", "node_id").agg(F.min(F.struct("parent", "edge_id")).alias("p"))
-        new = new.join(seen.select("pair_id", "node_id"), ["pair_id", "node_id"], "left_anti")
-        new = written(new.select("pair_id", "node_id", F.col("p.parent").alias("parent"), F.col("p.edge_id").alias("via"), F.lit(depth).alias("depth")), f"path-{depth}")
-        hits = new.join(goals, (new["node_id"] == goals["goal"]) & (new["pair_id"] == goals["pair_id"]), "left_semi")
-        hits = written(hits.groupBy("pair_id").agg(F.min("node_id").alias("node_id")).withColumn("depth", F.lit(depth)), "path-hits")
-        reached = hits if reached is None else reached.union(hits)
-        seen = seen.union(new)
-        level = new.join(hits.select("pair_id"), "pair_id", "left_anti")
-        if level.isEmpty():
-            break
-    trail, at = None, reached.select("pair_id", "node_id", "depth")
-    for _ in range(max_depth):
-        at = at.join(seen.select("pair_id", "node_id", "parent", "via", F.col("depth").alias("_d")), ["pair_id", "node_id"]).filter("_d = depth and depth > 0")
-        hop = at.select("pair_id", F.col("depth").alias("hop"), F.col("parent").alias("from_id"), F.col("node_id").alias("to_id"), "via")
-        trail = hop if trail is None else trail.union(hop)
-        at = at.select("pair_id", F.col("parent").alias("node_id"), (F.col("depth") - 1).alias("depth"))
-    out = trail.join(edges.select(F.col("edge_id").alias("via"), "type", "rel_type", "season"), "via")
+    both = edges.select("edge_id", F.col("src_id").alias("at"), F.col("dst_id").alias("to")).union(edges.select("edge_id", F.col("dst_id"), F.col("src_id")))
+    ahead, back = max_depth - max_depth // 2, max_depth // 2
+    f = _levels(ends.join(ids, ends["src"] == ids["name"]).select("pair_id", "node_id"), both, ahead, "path-ahead")
+    b = _levels(ends.join(ids, ends["dst"] == ids["name"]).select("pair_id", "node_id"), both, back, "path-back")
+    meet = f.select("pair_id", "node_id", "depth").join(b.select("pair_id", "node_id", F.col("depth").alias("rest")), ["pair_id", "node_id"])
+    best = meet.groupBy("pair_id").agg(F.min(F.struct((F.col("depth") + F.col("rest")).alias("total"), "node_id", "depth")).alias("m"))
+    best = written(best.select("pair_id", "m.node_id", "m.total"), "path-meet")
+    hops = _walk(best.select("pair_id", "node_id"), f, ahead).select("pair_id", F.col("depth").alias("hop"), F.col("parent").alias("from_id"), F.col("node_id").alias("to_id"), "via")
+    if back:
+        rest = _walk(best.select("pair_id", "node_id"), b, back).join(best.select("pair_id", "total"), "pair_id")
+        hops = hops.union(rest.select("pair_id", F.col("total") - F.col("depth") + 1, "node_id", "parent", "via"))
+    out = hops.join(edges.select(F.col("edge_id").alias("via"), "type", "rel_type", "season"), "via")
     out = out.join(ids.select(F.col("node_id").alias("from_id"), F.col("name").alias("source")), "from_id")
     out = out.join(ids.select(F.col("node_id").alias("to_id"), F.col("name").alias("target")), "to_id")
     return out.select("pair_id", "hop", "source", F.coalesce("type", "rel_type").alias("relation"), "target", F.coalesce("season", F.lit("")).alias("season"))
