@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..sources.scratch import broadcast_if_small, scratch, shared_dir, written
+
+__all__ = ["broadcast_if_small", "scratch", "shared_dir", "small_batches", "table", "written"]
 
 #: Rows handed to a Python worker at once. Texts may be long, so that the default
 #: of 10,000 rows could fill a worker's memory.
@@ -20,37 +20,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the memory of Python workers by the rows of an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is
-    unset, as in tests, a local one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get()
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: later jobs read it instead of
-    computing them again, also after executors were lost."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A hint to broadcast, after a look at the number of (short) rows; where there are
-    more, the join is left to be shuffled, with skewed parts split at run time."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
