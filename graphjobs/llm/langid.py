@@ -222,9 +222,8 @@ def _shared(spark, model: Model):
     return spark.sparkContext.broadcast(model)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to each row; existing columns of these names are
-    replaced. Null texts and those without letters get `und` and 0."""
+def _predicted(docs: DataFrame, model: Model, text_col: str) -> F.Column:
+    """struct<lang_pred,score> of each text."""
     small_batches(docs.sparkSession)
     shared = _shared(docs.sparkSession, model)
 
@@ -234,8 +233,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         found = [model.predict(t) if model.langs else ("und", 0.0) for t in texts]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
+    return predict(F.col(text_col))
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Adds lang_pred and score to each row; existing columns of these names are
+    replaced. Null texts and those without letters get `und` and 0."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_lang", predict(F.col(text_col))).select(*kept, "_lang.lang_pred", "_lang.score")
+    return docs.withColumn("_lang", _predicted(docs, model, text_col)).select(*kept, "_lang.lang_pred", "_lang.score")
 
 
 def label_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -256,8 +261,8 @@ def training_rows(docs: DataFrame, key_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(key_col).cast("string"), F.lit(""))) % 5 != 0
 
 
-def identified_only(docs: DataFrame, model: Model, min_score: float = 0.2) -> DataFrame:
+def identified_only(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.2) -> DataFrame:
     """The documents whose language is told: those with letters, most of them labelled
-    with some confidence. Returns the columns of docs."""
-    own = identify(docs.withColumn("_text", F.col("text")), model, "_text")
-    return own.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    with some confidence. Returns the columns of docs as they are."""
+    own = docs.withColumn("_lang", _predicted(docs, model, text_col))
+    return own.filter((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") >= min_score)).select(*docs.columns)

@@ -112,18 +112,19 @@ def mix(
     less than a word for each of them. Null texts have size 0; a null source is a
     source. A source without words has target 0.
     """
-    own = docs.withColumns({"size": word_count(F.col(text_col)), "_h": hash60(F.col(id_col)), "_key": source_key(F.col(source_col))})
-    sizes = written(own.select(F.col(source_col).alias("source"), "size", F.col("_h").alias("h")), "mix-sizes")
+    own = docs.withColumns({"_size": word_count(F.col(text_col)), "_h": hash60(F.col(id_col)), "_key": source_key(F.col(source_col))})
+    sizes = written(own.select(F.col(source_col).alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h")), "mix-sizes")
     wanted = written(targets(sizes, weights, share, cap), "mix-sources")
     bounds = thresholds(sizes, wanted)
     per_source = wanted.select(source_key(F.col("source")).alias("key"), "source_size", "target").join(bounds.drop("source_size", "target"), "key", "left")
-    per_source = written(per_source, "mix-bounds")
+    # under names that the documents' own columns won't have
+    per_source = written(per_source.select(*[F.col(c).alias(f"_{c}") for c in per_source.columns]), "mix-bounds")
     partial = (
-        F.when(F.col("_h") < F.col("bound"), F.col("size"))
-        .when(F.col("_h") == F.col("bound"), F.expr("cast(size as decimal(19,0)) * cast(rest as decimal(19,0)) div cast(tie as decimal(19,0))"))
+        F.when(F.col("_h") < F.col("_bound"), F.col("_size"))
+        .when(F.col("_h") == F.col("_bound"), F.expr("cast(_size as decimal(19,0)) * cast(_rest as decimal(19,0)) div cast(_tie as decimal(19,0))"))
         .otherwise(F.lit(0))
     )
-    out = own.drop("source_size", "target", "taken").join(broadcast_if_small(per_source).withColumnRenamed("key", "_key"), "_key")
-    taken = F.when(F.col("size") > 0, F.col("size") * F.col("epochs") + partial).otherwise(F.lit(0)).cast("long")
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return out.withColumn("taken", taken).select(*kept, "size", "source_size", "target", "taken")
+    taken = F.when(F.col("_size") > 0, F.col("_size") * F.col("_epochs") + partial).otherwise(F.lit(0)).cast("long")
+    new = {"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"), "taken": taken}
+    kept = [c for c in docs.columns if c not in new]
+    return own.join(broadcast_if_small(per_source), "_key").select(*kept, *[v.alias(k) for k, v in new.items()])

@@ -21,7 +21,7 @@ def water(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
 
 
 def run(spark, rows):
-    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, size int").repartition(4)
+    docs = spark.createDataFrame([(*r, 7, "k", "e") for r in rows], "doc_id long, text string, source string, size int, key string, epochs string").repartition(4)
     return mixing.mix(docs).collect()
 
 
