@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import config as C
+from ..sources.scratch import written
 
 MAX_CANDIDATES, MAX_CONTEXT, MIN_CONTEXT = 60, 1500, 5
 
@@ -45,7 +46,8 @@ def prepare_requests(mentions: DataFrame, cap: int = MAX_CANDIDATES) -> DataFram
 
 def apply_extractor(requests: DataFrame, extractor: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
     """Adds response: extractor(candidates texts, contexts) for each batch. A batch that
-    fails gives empty responses; the job goes on."""
+    fails gives empty responses; the job goes on. The responses are a table in the shared
+    folder, so that nothing that reads them asks the model again."""
 
     @F.pandas_udf("string")
     def run(candidates: pd.Series, contexts: pd.Series) -> pd.Series:
@@ -54,7 +56,7 @@ def apply_extractor(requests: DataFrame, extractor: Callable[[pd.Series, pd.Seri
         except Exception:
             return pd.Series([None] * len(contexts), dtype=object)
 
-    return requests.withColumn("response", run("candidates_text", "context"))
+    return written(requests.withColumn("response", run("candidates_text", "context")), "responses")
 
 
 #: What a free extraction holds; relations keep each item as JSON, as they are lists or

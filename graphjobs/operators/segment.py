@@ -76,7 +76,9 @@ def split_paragraphs(text: Column, cfg: C.TextConfig = C.TextConfig(), raw: bool
         return F.when(joins, joined).otherwise(F.struct(block.alias("now"), _flushed(state, cfg).alias("out")))
 
     found = F.aggregate(F.filter(blocks, lambda b: b != ""), _start(), step, lambda s: _flushed(s, cfg))
-    return F.when(F.size(found) < 3, chunk_sentences(text, cfg, raw)).otherwise(found)
+    # bound to a variable, as the blocks would be folded again for each mention
+    pick = F.transform(F.array(found), lambda f: F.when(F.size(f) < 3, chunk_sentences(text, cfg, raw)).otherwise(f))
+    return F.get(pick, F.lit(0))
 
 
 def paragraphs_of(docs: DataFrame, cfg: C.TextConfig = C.TextConfig(), raw: bool = False) -> DataFrame:
