@@ -77,13 +77,13 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
         near.append(np.stack([i[keep] + at, j[keep]]))
     a, b = np.concatenate(near, axis=1)
     while len(a):
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
+        # only roots are hooked, and all nodes point at roots again before edges go
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
         rest = root[a] != root[b]
         a, b = a[rest], b[rest]
-    root = root[root]
     own = np.nonzero(root != np.arange(len(fps)))[0]
     return list(zip(fps[own].tolist(), fps[root[own]].tolist()))
 

@@ -70,6 +70,33 @@ def test_hot_buckets_are_dealt_to_cells(spark):
     assert {k: v for k, v in roots.items() if k != v} == want
 
 
+def test_forest_keeps_chains_whole():
+    rng = np.random.default_rng(2)
+    for trial in range(60):
+        nodes = []
+        for length in rng.integers(2, 22, 1 + trial % 8):
+            steps = rng.permutation(64)[: 3 * (length - 1)].reshape(-1, 3)
+            at = int(rng.integers(0, 2**63))
+            nodes.append(at)
+            for bits in steps:
+                at ^= sum(1 << int(b) for b in bits)
+                nodes.append(at)
+        fps = sorted({n - (1 << 64) if n >> 63 else n for n in nodes})
+        root = {f: f for f in fps}
+
+        def find(f):
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        for a in fps:
+            for b in fps:
+                if bin((a ^ b) & (1 << 64) - 1).count("1") <= 3:
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+        assert dict(simhash.forest(np.array(fps), 3)) == {f: find(f) for f in fps if find(f) != f}
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(3, "a b c d", "x"), (1, "A b c d", "y"), (1, "A b c d", "y"), (None, "a b c d", "z"), (5, "q r s t u", None)], "doc_id long, text string, source string")
     got = simhash.keep_one(docs)
