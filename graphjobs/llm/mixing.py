@@ -75,6 +75,10 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     state = (
         wanted.withColumn("epochs", ratio)
         .withColumn("left", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+        # what rounds up to the whole source is one more epoch
+        .withColumn("_whole", (F.col("source_size") > 0) & (F.col("left") >= F.col("source_size")))
+        .withColumn("epochs", F.when(F.col("_whole"), F.col("epochs") + 1).otherwise(F.col("epochs")))
+        .withColumn("left", F.when(F.col("_whole"), F.lit(0).cast("long")).otherwise(F.col("left")))
         .select(source_key(F.col("source")).alias("key"), "source_size", "target", "epochs", "left", F.lit(0).cast("long").alias("prefix"))
     )
     state = written(state, "mix-targets")

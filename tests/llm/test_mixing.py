@@ -55,3 +55,8 @@ def test_empty_and_wordless_tables(spark):
     assert run(spark, [])  == []
     got = run(spark, [(1, None, None), (2, "", "a")])
     assert sorted((r.doc_id, r["size"], r.taken, r.target) for r in got) == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
+
+
+def test_a_rest_that_rounds_up_to_the_whole_source(spark):
+    # one word: target 1.5, one epoch and a rest that rounds to the whole source
+    assert [(r.target, r.taken) for r in run(spark, [(1, "word", "a")])] == [(1.5, 2)]
