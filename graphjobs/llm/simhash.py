@@ -156,24 +156,33 @@ def near_duplicates(
     repeated rows each come back.
     """
     own = written(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", words).select("doc_id", "fp"), "simhash")
+    map_ = fingerprint_components(own, distance, blocks)
+    return own.join(map_, own["fp"] == map_["of"]).select("doc_id", "fp", "component_id")
+
+
+def fingerprint_components(own: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
+    """(of, root, component_id) for each fingerprint of own (doc_id, fp): the least
+    fingerprint and the least id of its component."""
     groups = written(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-groups")
     links = close_links(groups.select("fp"), distance, blocks)
     roots = components(links)
     named = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = written(named, "simhash-roots")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    map_ = written(named.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "simhash-map")
-    return own.join(map_, own["fp"] == map_["of"]).select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that with the least doc_id. Rows without a
-    doc_id can't be compared by it and stay; rows that repeat a kept doc_id go."""
-    found = near_duplicates(docs, **options)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull())
-    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return written(named.join(least, "root").select(F.col("fp").alias("of"), "root", "component_id"), "simhash-map")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
+    """One document of each component, that with the least doc_id and among those of one
+    id the least hash of the row; and of its rows without a doc_id, which can't be
+    compared by it, one by that hash."""
+    hashed = docs.withColumn("_row", F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    own = fingerprints(hashed.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "_row"), "text", words)
+    own = written(own.select("doc_id", "fp", "_row"), "simhash")
+    map_ = fingerprint_components(own, distance, blocks)
+    rows = own.join(map_, own["fp"] == map_["of"]).groupBy("root", F.col("doc_id").isNull().alias("_unnamed"))
+    kept = written(rows.agg(F.min(F.struct("doc_id", "_row")).alias("least")).select("least._row"), "simhash-kept")
+    return hashed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -104,6 +104,13 @@ def test_keep_one(spark):
     assert sorted([r.doc_id for r in got.collect()], key=repr) == [1, 5, None]
 
 
+def test_keep_one_goes_by_rows(spark):
+    # one id with two texts, of which one is a copy of a lesser id; a hot null id
+    rows = [(1, "a b c d"), (7, "a b c d"), (7, "k l m n o p"), (8, "q r s t u"), (8, "v w x y z")] + [(None, "e f g h i j")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr) == sorted({r for r in rows if r != (7, "a b c d")}, key=repr)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
