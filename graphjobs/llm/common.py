@@ -1,4 +1,9 @@
-"""Helpers shared by the operators of this subpackage."""
+"""Helpers shared by the operators of this subpackage.
+
+Spark hands Arrow batches of bounded bytes to Python workers
+(spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), so no operator changes
+the session for it.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import broadcast_if_small, scratch, shared_dir, written
 
-__all__ = ["broadcast_if_small", "scratch", "shared_dir", "small_batches", "table", "written"]
-
-#: Rows handed to a Python worker at once. Texts may be long, so that the default
-#: of 10,000 rows could fill a worker's memory.
-BATCH_ROWS = 256
+__all__ = ["broadcast_if_small", "scratch", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the memory of Python workers by the rows of an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

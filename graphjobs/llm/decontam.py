@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: What parts the words of a normalised text.
 _GAPS = re.compile(r"[\W_]+")
@@ -182,7 +181,6 @@ def contaminated(
     empty texts hold nothing; items with null, empty or very short texts are found
     nowhere; repeated documents and items are each reported.
     """
-    small_batches(docs.sparkSession)
     types = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, distance int, start int, end int"
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = None
@@ -205,7 +203,6 @@ def contaminated(
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", budget: Budget = Budget(), block_chars: int = 4_000_000) -> DataFrame:
     """The documents that hold no item; each is judged where it lies, without a join."""
-    small_batches(docs.sparkSession)
     for block in item_blocks(items, item_id, item_text, block_chars):
 
         @F.pandas_udf("boolean")

@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: First code point and name of the script ranges, fixed values of the Unicode blocks.
 SCRIPTS = (
@@ -182,7 +181,6 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     counts; only sums by bucket and language reach the driver, a size that the number
     of languages bounds.
     """
-    small_batches(docs.sparkSession)
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(key_col).alias("key")).filter("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -224,7 +222,6 @@ def _shared(spark, model: Model):
 
 def _predicted(docs: DataFrame, model: Model, text_col: str) -> F.Column:
     """struct<lang_pred,score> of each text."""
-    small_batches(docs.sparkSession)
     shared = _shared(docs.sparkSession, model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -245,7 +242,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 def label_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds lang_spans: an array of (start, end, lang) over the text's characters."""
-    small_batches(docs.sparkSession)
     shared = _shared(docs.sparkSession, model)
 
     @F.pandas_udf("array<struct<start:int,end:int,lang:string>>")

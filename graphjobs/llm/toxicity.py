@@ -20,7 +20,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: Look-alikes of Latin letters, fixed values: Cyrillic, Greek, then signs and digits.
 LOOKALIKES = {
@@ -162,7 +161,6 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     that ratio. Of stems that contain each other the one that tells most is kept. Only
     the candidates' counts and two numbers for each sampled text reach the driver.
     """
-    small_batches(docs.sparkSession)
     own = labels.select(F.col(key_col).alias("key"), (F.col(label_col) == 1).cast("int").alias("y")).filter("y is not null")
     sizes = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = F.when(F.col("y") == 1, F.lit(max_rows / max(1, sizes.get(1, 0)))).otherwise(F.lit(max_rows / max(1, sizes.get(0, 0))))
@@ -222,7 +220,6 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
     """Adds score (0 to 1) and predicted (1 if the score reaches the threshold) to each
     row; existing columns of these names are replaced. Null texts are empty ones and
     get the score of a text without hits."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("double")

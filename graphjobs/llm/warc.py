@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, scratch, small_batches, written
+from .common import broadcast_if_small, scratch, written
 
 #: Payloads under this size are always stored, as a reference would save little.
 REVISIT_BYTES = 1000
@@ -186,7 +186,6 @@ def deduplicated(pages: DataFrame, html_col: str = "html") -> DataFrame:
 def write_archive(pages: DataFrame, path: str, html_col: str = "html", per_file: int = 4000) -> None:
     """A WARC record for each row of pages (page_id, url, html), in files of `per_file`
     records at most under path."""
-    small_batches(pages.sparkSession)
     rows = deduplicated(pages.select("page_id", "url", F.col(html_col).alias("html"))).select("page_id", "url", "html", "payload_digest", "refers_to", "revisit")
 
     def build(batches):
@@ -336,7 +335,6 @@ def round_trip(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Archives all pages, indexes the archive, looks every page up and reads its record
     back: one row for each row of pages, repeated ones and null ids included."""
     spark = pages.sparkSession
-    small_batches(spark)
     archive, index = scratch(spark, "warc"), scratch(spark, "warc-index")
     write_archive(pages, archive, html_col)
     directory = build_index(spark, archive, index)
