@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 #: What parts the words of a normalised text.
 _GAPS = re.compile(r"[\W_]+")
@@ -27,17 +29,15 @@ _WORDS = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Budget:
-    """Edits allowed for an item: `rate` of its characters, but no more than leave
-    pieces of `piece` characters, which seldom occur by chance. Items under
-    `min_chars` normalised characters are too short to prove anything and are not
-    searched."""
+    """Edits allowed for an item: `rate` of its normalised characters, rounded down, so
+    that pieces have some 1 / rate characters. Items that allow none are searched as they
+    are, from word to word. Items under `min_chars` are left out, none by default."""
 
-    rate: float = 0.08
-    piece: int = 20
-    min_chars: int = 20
+    rate: float = 0.05
+    min_chars: int = 1
 
     def edits(self, length: int) -> int:
-        return max(0, min(int(length * self.rate), length // self.piece - 1))
+        return int(length * self.rate)
 
 
 def normalise(text: str | None) -> str:
@@ -124,6 +124,11 @@ class Searcher:
         for n, ranges in sorted(self._places(text).items()):
             ids, item, k = self.items[n]
             best = None
+            if not k:
+                # short items stand for themselves only as whole words
+                whole = (s for a, b in ranges for s in range(a, b + 1) if text[s - 1 : s] in ("", " ") and text[s + len(item) : s + len(item) + 1] in ("", " "))
+                at = next((s for s in whole if text.startswith(item, s)), None)
+                ranges, best = [], None if at is None else (0, at, at + len(item))
             for a, b in ranges:
                 low = max(0, a - k)
                 window = text[low : b + len(item) + k]
@@ -154,14 +159,29 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     return first, last
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about block_chars characters, so that what a task holds
-    does not grow with the benchmark."""
+class _Shared:
+    """A block of items on its way to the workers, each of which builds the search once."""
+
+    def __init__(self, items: list[tuple], budget: Budget):
+        self.items, self.budget, self._searcher = items, budget, None
+
+    def __getstate__(self):
+        return {"items": self.items, "budget": self.budget, "_searcher": None}
+
+    def searcher(self) -> Searcher:
+        if self._searcher is None:
+            self._searcher = Searcher(self.items, self.budget)
+        return self._searcher
+
+
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple[bool, list[tuple]]]:
+    """(whether more follow, items) in blocks of about block_chars characters, one after
+    the other, so that what driver and tasks hold does not grow with the benchmark."""
     total = items.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)) == b)
-        yield [tuple(r) for r in own.select(id_col, text_col).toLocalIterator()]
+        yield b + 1 < blocks, [tuple(r) for r in own.select(id_col, text_col).collect()]
 
 
 def contaminated(
@@ -177,17 +197,19 @@ def contaminated(
     """(doc_id, item_id, distance, start, end): each item found in each document, by
     its best match; the span is in the document's characters.
 
-    The documents are read once for each block of items and never shuffled. Null and
-    empty texts hold nothing; items with null, empty or very short texts are found
-    nowhere; repeated documents and items are each reported.
+    The documents are read once for each block of items and never shuffled; with more
+    than one block, what each finds is a table in the shared folder before the next is
+    loaded. Null and empty texts hold nothing; items with null texts or without letters
+    and digits are found nowhere; repeated documents and items are each reported.
     """
     types = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, distance int, start int, end int"
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = None
-    for block in item_blocks(items, item_id, item_text, block_chars):
+    for more, block in item_blocks(items, item_id, item_text, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(_Shared(block, budget))
 
-        def search(batches, block=block):
-            searcher = Searcher(block, budget)
+        def search(batches, shared=shared):
+            searcher = shared.value.searcher()
             for batch in batches:
                 out = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -197,20 +219,28 @@ def contaminated(
                     yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "start", "end"], dtype=object)
 
         part = texts.mapInPandas(search, types)
+        if more or found is not None:
+            part = written(part, "contaminated")
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", budget: Budget = Budget(), block_chars: int = 4_000_000) -> DataFrame:
-    """The documents that hold no item; each is judged where it lies, without a join."""
-    for block in item_blocks(items, item_id, item_text, block_chars):
+    """The documents that hold no item; each is judged where it lies, without a join.
+    With more than one block of items, those that each leaves are written before the
+    next is loaded."""
+    for more, block in item_blocks(items, item_id, item_text, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(_Shared(block, budget))
 
         @F.pandas_udf("boolean")
         def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            searcher = Searcher(block, budget)
+            searcher = shared.value.searcher()
             for texts in batches:
                 yield pd.Series([next(searcher.search(normalise(t)), None) is None for t in texts], dtype=bool)
 
         docs = docs.filter(clean(F.col(text_col)))
+        if more:
+            docs = written(docs, "uncontaminated")
     return docs
 

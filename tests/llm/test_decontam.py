@@ -36,7 +36,7 @@ def test_pieces_cover_the_item():
 def test_search_loses_no_passage_within_the_budget():
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(300)]
-    budget = Budget(rate=0.1, piece=10, min_chars=20)
+    budget = Budget(rate=0.1)
     items = [(i, " ".join(rng.choices(words, k=30))) for i in range(30)]
     searcher = Searcher(items, budget)
     for item_id, text in items:
@@ -53,6 +53,31 @@ def test_search_loses_no_passage_within_the_budget():
         assert item_id in got
 
 
+def test_short_items_and_short_pieces_lose_nothing():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(40)]
+    items = list(enumerate({normalise(" ".join(rng.choices(words, k=rng.randint(1, 12)))) for _ in range(60)}))
+    searcher = Searcher(items, Budget(rate=0.2))
+    for _ in range(40):
+        doc = normalise(" ".join(rng.choices(words, k=rng.randint(0, 60))))
+        got = {i: d for i, d, _, _ in searcher.search(doc)}
+        want = {}
+        for i, x in items:
+            k = int(len(x) * 0.2)
+            if not k:
+                if f" {x} " in f" {doc} ":
+                    want[i] = 0
+            elif doc and (d := semi_global(x, doc)[0]) <= k:
+                want[i] = d
+        assert got == want
+    assert Budget().edits(100) == 5 and Budget().edits(19) == 0
+
+
+def test_periodic_texts():
+    searcher = Searcher([(1, "ab " * 40)])
+    assert [x[:2] for x in searcher.search(normalise("ab " * 3000))] == [(1, 0)]
+
+
 def test_original_span():
     text = "  Ünder--the   OLD tree!"
     assert normalise(text) == "ünder the old tree"
@@ -66,10 +91,11 @@ def test_query_rows(spark):
     rows = [(10, "x " * 50 + item.replace("lazy", "lazzy").upper()), (11, None), (12, ""), (13, "short"), (10, item), (None, other), (14, "y " * 60000 + other)]
     docs = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, item_id string").repartition(3)
     got = sorted([(r.doc_id, r.item_id, r.distance) for r in decontam.contaminated(docs, items).collect()], key=repr)
-    assert got == sorted([(10, 1, 1), (10, 3, 1), (10, 1, 0), (10, 3, 0), (None, 2, 0), (14, 2, 0)], key=repr)
+    assert got == sorted([(10, 1, 1), (10, 3, 1), (10, 1, 0), (10, 3, 0), (None, 2, 0), (14, 2, 0), (13, 6, 0)], key=repr)
     # blocks of the benchmark change nothing
     blocks = decontam.contaminated(docs, items, block_chars=50)
     assert sorted([(r.doc_id, r.item_id, r.distance) for r in blocks.collect()], key=repr) == got
-    assert sorted(r.doc_id for r in decontam.without_contaminated(docs, items).collect()) == [11, 12, 13]
+    assert sorted(r.doc_id for r in decontam.without_contaminated(docs, items).collect()) == [11, 12]
+    assert sorted(r.doc_id for r in decontam.without_contaminated(docs, items, block_chars=50).collect()) == [11, 12]
     assert decontam.without_contaminated(docs.limit(0), items).count() == 0
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
