@@ -31,6 +31,8 @@ DATE = "2024-01-01T00:00:00Z"
 MOST_BLOCKS = 200_000
 #: Ranges closer than this are read at once, up to so many bytes.
 GAP, READ = 1 << 16, 1 << 23
+#: Bytes of records, or of index lines, that a task works on.
+TASK_BYTES = 32 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 
@@ -120,11 +122,12 @@ def _file(uri: str):
     return pyarrow.fs.LocalFileSystem(), uri
 
 
-def scan_members(uri: str, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each member that isn't empty."""
+def scan_members(uri: str, chunk: int = 1 << 20, most: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, beginning) of each member that isn't empty: `most` bytes of what
+    it holds at least, where it has them. Longer ones are read on but not kept."""
     fs, path = _file(uri)
     with fs.open_input_stream(path) as f:
-        read, data, inflate, out, start = 0, b"", None, [], 0
+        read, data, inflate, out, start, size = 0, b"", None, [], 0, 0
         while True:
             if not data:
                 data = f.read(chunk)
@@ -132,8 +135,11 @@ def scan_members(uri: str, chunk: int = 1 << 20) -> Iterator[tuple[int, int, byt
                 if not data:
                     break
             if inflate is None:
-                inflate, out, start = zlib.decompressobj(31), [], read - len(data)
-            out.append(inflate.decompress(data))
+                inflate, out, start, size = zlib.decompressobj(31), [], read - len(data), 0
+            got = inflate.decompress(data)
+            if size < most:
+                out.append(got)
+                size += len(got)
             data = inflate.unused_data
             if inflate.eof:
                 content = b"".join(out)
@@ -161,6 +167,12 @@ def read_ranges(uri: str, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
             i = j + 1
 
 
+def _parts(spark, size: int) -> int:
+    """Partitions for so many bytes of records that the rows only point to, which Spark
+    can't see when it sizes partitions itself; no fewer than it shuffles to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
 def _files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path")
 
@@ -236,6 +248,7 @@ class Directory:
 
     def __init__(self, rows: Iterable[tuple[str, int, str, int, int]]):
         rows = sorted(rows)
+        self.size = sum(r[4] for r in rows)
         self.first = [(r[0], r[1]) for r in rows]
         self.place = [r[2:] for r in rows]
 
@@ -267,7 +280,8 @@ def build_index(spark, archive: str, path: str, block_lines: int = 256) -> Direc
         if kept:
             yield packed(kept)
 
-    ordered = lines.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
+    width = lines.agg(F.sum(F.length("key") + F.length("file") + 40)).first()[0] or 0
+    ordered = lines.repartitionByRange(_parts(spark, width), "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
     write_members(ordered.mapInPandas(pack, "member binary"), path)
 
     def first(batches):
@@ -304,7 +318,7 @@ def locate(wanted: DataFrame, directory: Directory) -> DataFrame:
                         at += 1
             yield pd.DataFrame(out, columns=["file", "offset", "length"])
 
-    ordered = wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    ordered = wanted.repartitionByRange(_parts(wanted.sparkSession, directory.size), "key", "page_id").sortWithinPartitions("key", "page_id")
     return ordered.mapInPandas(find, "file string, offset long, length long")
 
 
@@ -327,7 +341,9 @@ def fetch(places: DataFrame) -> DataFrame:
                     out.append((_page_of(warc["warc-record-id"]), size, digest, warc["warc-type"], refers_to))
             yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
 
-    ordered = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    places = written(places, "warc-places")
+    size = places.agg(F.sum("length")).first()[0] or 0
+    ordered = places.repartitionByRange(_parts(places.sparkSession, size), "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
