@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import written
 
 
 @dataclass(frozen=True)
@@ -141,11 +141,21 @@ def trigram_query(regex: str) -> Query | None:
     return frozenset(p for p in query if not any(q < p for q in query))
 
 
+def posting_id(docs: DataFrame, id_col: str) -> Column:
+    """A number for each id: whole numbers are their own, others go by a hash. Rows that
+    share one are candidates together, which costs a search and loses nothing; null ids
+    are dealt to numbers of their own by their text's hash."""
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    own = F.col(id_col).cast("bigint") if whole else F.xxhash64(id_col)
+    rest = [F.col(c) for c in docs.columns if c != id_col]
+    return F.when(F.col(id_col).isNull(), F.xxhash64(*rest) if rest else F.lit(0)).otherwise(own)
+
+
 def trigram_index(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
     """(block, postings: map of trigram to the block's ids whose text holds it, in any
     case). Ids of a block differ in their last BLOCK_BITS bits only, so a list has
     4,096 entries at most however common its trigram is."""
-    lower = docs.select(F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.lower(text_col).alias("text")).filter("text is not null")
+    lower = docs.select(posting_id(docs, id_col).alias("id"), F.lower(text_col).alias("text")).filter("text is not null")
     held = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(t)) for t in trigrams]))
     pairs = lower.select("id", F.explode(held).alias("trigram"))
     lists = pairs.groupBy(F.shiftright("id", BLOCK_BITS).alias("block"), "trigram").agg(F.collect_set("id").alias("ids"))
@@ -165,8 +175,8 @@ def _candidates_of(query: Query) -> Column:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """(id, kinds): the rules with mandatory trigrams that each document may match;
-    null ids go by 0. None if no rule has any."""
+    """(id, kinds): the rules with mandatory trigrams that each document may match, by its
+    posting_id. None if no rule has any."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex)) is not None}
     if not queries:
         return None
@@ -180,6 +190,23 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id",
     return index.select(F.explode(F.concat(*found)).alias("c")).groupBy("c.id").agg(F.collect_set("c.kind").alias("kinds"))
 
 
+def _kinds_of(lower: Column, rules: tuple[Rule, ...]) -> Column:
+    """The kinds of rules whose trigram query the text satisfies."""
+    kinds = []
+    for r in rules:
+        query = trigram_query(r.regex)
+        if query is not None:
+            any_part = None
+            for part in sorted(map(sorted, query)):
+                both = None
+                for t in part:
+                    has = F.contains(lower, F.lit(t))
+                    both = has if both is None else both & has
+                any_part = both if any_part is None else any_part | both
+            kinds.append(F.when(any_part, F.lit(r.kind)))
+    return F.array_compact(F.array(*kinds))
+
+
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start,rank,end,kind>> of the rule's matches in the text, in code
     points. Positions follow from the lengths of the matches and of what parts them."""
@@ -209,26 +236,32 @@ def _shortcut(rule: Rule) -> Rule:
     return rule
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text", most: int = 500_000) -> DataFrame:
     """The documents with secret_spans: array<struct<start,rank,end,kind>> sorted by
     start, then by the rules' order.
 
-    Null and empty texts have none. Repeated rows, rows with equal ids and rows with a
+    Up to `most` candidates are broadcast to the documents. Null and empty texts have none. Repeated rows, rows with equal ids and rows with a
     null id are each searched. A column secret_spans of docs is replaced.
     """
     docs = docs.drop("secret_spans")
     found = candidates(docs.select(id_col, text_col), rules, id_col, text_col)
     if found is None:
-        own = docs.withColumn("_kinds", F.lit(None).cast("array<string>"))
+        own = docs.withColumn("_secret_kinds", F.lit(None).cast("array<string>"))
     else:
-        found = written(found, "secret-candidates").select(F.col("id").alias("_id"), F.col("kinds").alias("_kinds"))
-        own = docs.withColumn("_key", F.coalesce(F.col(id_col), F.lit(0))).join(broadcast_if_small(found, 500_000), F.col("_key") == F.col("_id"), "left")
+        found = written(found, "secret-candidates").select(F.col("id").alias("_secret_id"), F.col("kinds").alias("_secret_kinds"))
+        if found.limit(most + 1).count() <= most:
+            key = posting_id(docs.select(id_col, text_col), id_col)
+            own = docs.withColumn("_secret_key", key).join(F.broadcast(found), F.col("_secret_key") == F.col("_secret_id"), "left")
+        else:
+            # too many to broadcast: a document looks its trigrams up in its own text, with
+            # the same outcome, so that no text is shuffled to meet its postings
+            own = docs.withColumn("_secret_kinds", _kinds_of(F.lower(text_col), rules))
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts = []
     for rank, rule in enumerate(rules):
         indexed = trigram_query(rule.regex) is not None
         fast = _shortcut(rule)
-        test = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False)) if indexed else text.rlike(fast.regex)
+        test = F.coalesce(F.array_contains("_secret_kinds", rule.kind), F.lit(False)) if indexed else text.rlike(fast.regex)
         parts.append(F.when(test, rule_spans(text, fast, rank)).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")))
     return own.withColumn("secret_spans", F.array_sort(F.concat(*parts))).select(*docs.columns, "secret_spans")
 
@@ -262,15 +295,15 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, i
         return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.when(more, clean).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    found = found.withColumn("_done", F.when(F.size("secret_spans") > 0, done))
-    new = F.when(F.col("_done").isNull(), text).otherwise(F.concat(F.col("_done.out"), text.substr(F.col("_done.at") + 1, F.length(text))))
-    found = found.withColumn("_new", new)
+    found = found.withColumn("_secret_done", F.when(F.size("secret_spans") > 0, done))
+    new = F.when(F.col("_secret_done").isNull(), text).otherwise(F.concat(F.col("_secret_done.out"), text.substr(F.col("_secret_done.at") + 1, F.length(text))))
+    found = found.withColumn("_secret_new", new)
     kept = []
     for c in docs.columns:
         if c == text_col:
-            kept.append(F.col("_new").alias(c))
+            kept.append(F.col("_secret_new").alias(c))
         elif c == "n_chars":
-            kept.append(F.when(F.col("_done").isNull(), F.col(c)).otherwise(F.length("_new").cast(docs.schema[c].dataType)).alias(c))
+            kept.append(F.when(F.col("_secret_done").isNull(), F.col(c)).otherwise(F.length("_secret_new").cast(docs.schema[c].dataType)).alias(c))
         else:
             kept.append(F.col(c))
     return found.select(*kept)

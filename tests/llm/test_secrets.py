@@ -78,3 +78,17 @@ def test_rules_without_trigrams_search_all(spark):
     docs = spark.createDataFrame([(1, "ab12"), (2, "zz")], "doc_id long, text string")
     got = {r.doc_id: len(r.secret_spans) for r in secrets.scan(docs, (Rule("digits", "[0-9]+", 0, 2),)).collect()}
     assert got == {1: 1, 2: 0}
+
+
+def test_ids_of_any_kind_and_many_candidates(spark):
+    secret = "token: abcdefghijkl1234 and AKIA" + "B2" * 9
+    rows = [("a", secret), ("b", "nothing"), (None, secret), (None, "x"), ("a", "TOKEN=aaaaaaaaaaaaaaaa"), ("c", None), ("d", "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id string, text string, _kinds int")
+    want = sorted([(*r, len(secrets_of(r[1]))) for r in rows], key=repr)
+    for most in (0, 500_000):
+        got = [(r.doc_id, r.text, len(r.secret_spans)) for r in secrets.scan(docs, most=most).collect()]
+        assert sorted(got, key=repr) == want
+
+
+def secrets_of(text):
+    return [m for rule in secrets.BASE_RULES + secrets.MORE_RULES for m in re.finditer(rule.regex, text or "") if len(m[rule.group]) >= rule.min_length]
