@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -26,11 +28,12 @@ LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c",
     "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p",
-    "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ł": "l", "ø": "o", "ß": "b",
+    "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ł": "l", "ø": "o", "ß": "ss",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
-#: Phrases in which a listed word is harmless.
+#: Phrases in which a listed word is harmless whatever the labels say; further ones are
+#: learned, and tables of them can be passed to train().
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pathetic fallacy", "worthless check", "circus clown", "sore loser")
 
 _TOKEN = re.compile(r"[\w@$]+")
@@ -95,13 +98,30 @@ class Lexicon:
         """(start, end, weight) of listed stems that begin a word outside exception
         phrases."""
         a = self._built()
-        found, covered = [], []
+        found, covered = [], []  # exceptions come in the order of their ends
         if len(a):
             for last, (length, weight) in a.iter(folded):
                 s, e = last - length + 1, last + 1
                 if not s or not folded[s - 1].isalnum():
                     (covered if weight is None else found).append((s, e, weight))
-        return [h for h in found if not any(s <= h[0] and h[1] <= e for s, e, _ in covered)]
+        if not covered:
+            return found
+        covered.sort()
+        starts = [s for s, _, _ in covered]
+        furthest = list(accumulate((e for _, e, _ in covered), max))
+        # of the exceptions that begin before a hit one has to reach over its end
+        return [h for h in found if not (i := bisect_right(starts, h[0])) or furthest[i - 1] < h[1]]
+
+    def phrases(self, text: str | None) -> list[str]:
+        """Each two words of the text of which one begins with a stem, as they stand."""
+        folded = fold(text)
+        words = [m.span() for m in _TOKEN.finditer(folded)]
+        starts = [s for s, _ in words]
+        out = []
+        for s, _, _ in self.hits(folded):
+            i = bisect_right(starts, s) - 1
+            out += [folded[words[a][0] : words[a + 1][1]] for a in (i - 1, i) if 0 <= a < len(words) - 1]
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Summed weights, and the same for each hundred words."""
@@ -150,7 +170,7 @@ def _choose(bad: dict[str, tuple[int, int]], bad_words: int, good: dict[str, int
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_rows: int = 4000, min_share: float = 0.02, min_ratio: float = 8.0) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_rows: int = 4000, min_share: float = 0.02, min_ratio: float = 8.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learns from about `max_rows` labelled rows at most of each label, picked by a
     hash of the key; equal texts count once. The picked labels, of which there are no
     more, are broadcast to the documents.
@@ -158,8 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     Candidates are the beginnings of words that occur in `min_share` of the toxic texts
     and in five of them at least. A stem enters the lexicon if toxic texts use it
     `min_ratio` times as often, word for word, as the others; its weight is the log of
-    that ratio. Of stems that contain each other the one that tells most is kept. Only
-    the candidates' counts and two numbers for each sampled text reach the driver.
+    that ratio. Of stems that contain each other the one that tells most is kept. Two
+    words of which one begins with a stem become an exception if five other texts have
+    them and toxic texts, word for word, at most an eighth as often. Only the
+    candidates' counts and two numbers for each sampled text reach the driver.
     """
     own = labels.select(F.col(key_col).alias("key"), (F.col(label_col) == 1).cast("int").alias("y")).filter("y is not null")
     sizes = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -205,7 +227,22 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 
     good = picked.filter("y = 0").select("text").mapInPandas(against, "stem string, uses long")
     good = {r.stem: r.uses for r in good.groupBy("stem").agg(F.sum("uses").alias("uses")).collect()}
-    lexicon = Lexicon(_choose(wanted, total.uses, good, good.get("", 0), min_ratio))
+    lexicon = Lexicon(_choose(wanted, total.uses, good, good.get("", 0), min_ratio), tuple(exceptions))
+
+    def pairs(batches):
+        docs, uses = Counter(), Counter()
+        for batch in batches:
+            for y, text in zip(batch["y"].tolist(), batch["text"]):
+                own = Counter(lexicon.phrases(text))
+                docs.update((p, y) for p in own)
+                uses.update({(p, y): n for p, n in own.items()})
+        yield pd.DataFrame([(p, y, n, uses[p, y]) for (p, y), n in docs.items()], columns=["phrase", "y", "docs", "uses"])
+
+    counted = picked.mapInPandas(pairs, "phrase string, y int, docs long, uses long").groupBy("phrase")
+    toxic, other = F.col("y") == 1, F.col("y") == 0
+    sums = counted.agg(F.sum(F.when(other, F.col("docs"))).alias("docs"), F.sum(F.when(other, F.col("uses"))).alias("good"), F.coalesce(F.sum(F.when(toxic, F.col("uses"))), F.lit(0)).alias("bad"))
+    harmless = sums.filter(F.col("docs") >= 5).filter(F.col("bad") * (min_ratio * good.get("", 0) / total.uses) <= F.col("good")).select("phrase").collect()
+    lexicon = replace(lexicon, exceptions=(*lexicon.exceptions, *sorted(r.phrase for r in harmless)))
 
     @F.pandas_udf("total double, rate double")
     def features(texts: pd.Series) -> pd.DataFrame:

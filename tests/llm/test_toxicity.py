@@ -1,3 +1,6 @@
+import time
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphjobs.llm import toxicity
@@ -40,3 +43,49 @@ def test_held_out(spark):
     held = toxicity.score(docs.filter(~learn).join(labels, "doc_id"), lexicon).select("toxic", "predicted").collect()
     hit = sum(r.toxic == r.predicted == 1 for r in held)
     assert hit >= 0.95 * sum(r.predicted for r in held) and hit >= 0.75 * sum(r.toxic for r in held)
+
+
+def by_hand(lexicon, text):
+    """The score by comparing every stem and phrase at every place."""
+    folded = fold(text)
+    at_word = [i for i in range(len(folded)) if not i or not folded[i - 1].isalnum()]
+    covered = [(i, i + len(fold(p))) for i in at_word for p in lexicon.exceptions if folded.startswith(fold(p), i)]
+    total = 0.0
+    for i in at_word:
+        for stem, weight in lexicon.weights.items():
+            if folded.startswith(stem, i) and not any(s <= i and i + len(stem) <= e for s, e in covered):
+                total += weight
+    rate = 100 * total / max(len(toxicity._TOKEN.findall(folded)), 20)
+    z = lexicon.scale[0] + lexicon.scale[1] * np.log1p(total) + lexicon.scale[2] * np.log1p(rate)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_query_against_every_place(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    learn = toxicity.training_rows(F.col("doc_id"))
+    lexicon = toxicity.train(docs.filter(learn), labels.filter(learn))
+    lexicon.exceptions = (*lexicon.exceptions, *(f"{s} the" for s in list(lexicon.weights)[:5]))
+    own = docs.filter(F.length("text") < 3000).join(labels, "doc_id").select(docs.columns).union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "trash can " * 50)], docs.schema))
+    rows = toxicity.score(own, lexicon).collect()
+    assert len(rows) > 100
+    for r in rows:
+        assert abs(r.score - by_hand(lexicon, r.text)) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
+def test_harmless_phrases_are_learned(spark):
+    bad = [(i, f"you vile thing number w{i} here", 1) for i in range(40)]
+    good = [(100 + i, f"the vile weather of day d{i}" if i < 8 else f"plain words about some thing {i} and more of them every day", 0) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in bad + good], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in bad + good], "doc_id long, toxic int")
+    lexicon = toxicity.train(docs, labels, exceptions=("vile number",))
+    assert "vile" in lexicon.weights and {"vile number", "vile weather", "the vile"} <= set(lexicon.exceptions)
+    assert "vile thing" not in lexicon.exceptions and lexicon.hits("the vile weather") == []
+
+
+def test_many_exceptions_take_linear_time():
+    lexicon = Lexicon({"trash": 2.0, "clown": 1.0})
+    text = "trash can and trash or clown fish " * 40000
+    began = time.time()
+    assert len(lexicon.hits(text)) == 40000
+    assert time.time() - began < 5
