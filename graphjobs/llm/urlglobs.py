@@ -11,6 +11,7 @@ A glob has to match the whole canonical URL, which is host # path here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -126,15 +127,15 @@ class Automaton:
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         order = np.argsort(-lengths, kind="stable")
         state = np.tile(self.start, (n, 1))
-        codes = [np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for i in order]
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         at = 0
-        sorted_lengths = lengths[order]
+        sorted_lengths, begins = lengths[order], (np.cumsum(lengths) - lengths)[order]
         one, carry = np.uint64(1), np.uint64(63)
         while True:
             alive = int(np.searchsorted(-sorted_lengths, -at, side="left"))  # longer than at
             if not alive:
                 break
-            chars = np.fromiter((codes[i][at] for i in range(alive)), dtype=np.uint32, count=alive)
+            chars = codes[begins[:alive] + at]
             row = np.searchsorted(self.codes, chars)
             row[row == len(self.codes)] = 0
             row = np.where(self.codes[row] == chars, row, len(self.codes)) if len(self.codes) else row
@@ -174,17 +175,17 @@ def judge_urls(
     n_rules = len(patterns)
     patterns += [(g.glob, None, g.verdict) for g in globs]
 
+    names, verdicts = np.array([p[1] for p in patterns] + [None], dtype=object), np.array([p[2] for p in patterns] + [default], dtype=object)
+    shown = np.array([p[0] if i >= n_rules else None for i, p in enumerate(patterns)] + [None], dtype=object)
+
     @F.pandas_udf("rule string, verdict string, matched_glob string")
-    def judge(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        hits = Automaton([p[0] for p in patterns]).match([f"{h}#{p}" for h, p in zip(host, path)])
-        first = np.where(hits.any(axis=1), hits.argmax(axis=1), -1) if len(patterns) else np.full(len(host), -1)
-        return pd.DataFrame(
-            {
-                "rule": [patterns[i][1] if i >= 0 else None for i in first],
-                "verdict": [patterns[i][2] if i >= 0 else default for i in first],
-                "matched_glob": [patterns[i][0] if i >= n_rules else None for i in first],
-            }
-        )
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        automaton = Automaton([p[0] for p in patterns])
+        for host, path in batches:
+            hits = automaton.match((host + "#" + path).tolist())
+            # the place after the last pattern stands for no match
+            first = np.where(hits.any(axis=1), hits.argmax(axis=1), len(patterns)) if len(patterns) else np.zeros(len(host), dtype=int)
+            yield pd.DataFrame({"rule": names[first], "verdict": verdicts[first], "matched_glob": shown[first]})
 
     host, path = canonical_parts(F.col(url_col))
     judged = pages.withColumns({"host": host, "path": path})

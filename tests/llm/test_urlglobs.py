@@ -50,3 +50,10 @@ def test_rules(spark):
     assert got[13] == ("a.org", "/\nspam\n/", None, "allow")
     assert urlglobs.judge_urls(df).count() == len(rows)
     assert urlglobs.judge_urls(df.limit(0)).count() == 0
+
+
+def test_long_urls_step_like_short_ones():
+    automaton = urlglobs.Automaton(["*x*y", "a?c*", "*"])
+    texts = ["x" + "-" * 300_000 + "y", "abc", "", "ab", "zx.y" * 3, "a\U0001f600c!"]
+    want = [[True, False, True], [False, True, True], [False, False, True], [False, False, True], [True, False, True], [False, True, True]]
+    assert automaton.match(texts).tolist() == want
