@@ -15,7 +15,8 @@ from graphjobs.llm.common import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters go."""
+    """Documents whose language can be told; those without letters go, and those whose score
+    is under a fifth."""
     model = langid.train(docs.filter(langid.training_rows(docs)))
     return langid.identified_only(docs, model)
 

@@ -14,32 +14,52 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import broadcast_if_small, written
 
 #: Shingles whose bits are counted at once, so that one very long text stays small.
 CHUNK = 1 << 15
 
 
+#: Odd numbers that mix a shingle's hash into those of further signatures.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
+
+
+def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of signature n; those of the first are the hashes themselves."""
+    if not n:
+        return hashes
+    x = (hashes ^ (hashes >> np.uint64(32))) * _MIX[n - 1]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def fingerprint_of(text: str | None, words: int = 3) -> int:
     """The signed 64-bit SimHash of the text's word shingles, repeats included."""
+    return signatures_of(text, words, 1)[0]
+
+
+def signatures_of(text: str | None, words: int, count: int) -> list[int]:
+    """So many SimHashes of the same shingles, each by hashes of its own."""
     # bytes.lower and bytes.split know only A-Z and the six ASCII spaces
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return [0] * count
     if len(w) < words:
         w = [b" ".join(w)]
         words = 1
     n = len(w) - words + 1
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((count, 64), dtype=np.int64)
     for at in range(0, n, CHUNK):
         stop = min(n, at + CHUNK)
         parts = zip(*(w[at + k : stop + k] for k in range(words)))
         hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(p), 42) for p in parts), dtype=np.uint64, count=stop - at)
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+        for k in range(count):
+            ones[k] += np.unpackbits(_mixed(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1).view(">i8").ravel().tolist()
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3) -> DataFrame:
@@ -171,17 +191,68 @@ def fingerprint_components(own: DataFrame, distance: int = 3, blocks: int = 5) -
     return written(named.join(least, "root").select(F.col("fp").alias("of"), "root", "component_id"), "simhash-map")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
-    """One document of each component, that with the least doc_id and among those of one
-    id the least hash of the row; and of its rows without a doc_id, which can't be
-    compared by it, one by that hash."""
-    hashed = docs.withColumn("_row", F.sha2(F.to_json(F.struct(*docs.columns)), 256))
-    own = fingerprints(hashed.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "_row"), "text", words)
-    own = written(own.select("doc_id", "fp", "_row"), "simhash")
-    map_ = fingerprint_components(own, distance, blocks)
-    rows = own.join(map_, own["fp"] == map_["of"]).groupBy("root", F.col("doc_id").isNull().alias("_unnamed"))
-    kept = written(rows.agg(F.min(F.struct("doc_id", "_row")).alias("least")).select("least._row"), "simhash-kept")
-    return hashed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+def _row_places(docs: DataFrame) -> DataFrame:
+    """The documents with _file and _at, which tell each row from all others: the file it
+    lies in, hashed, and its number there. Documents that aren't read from files are
+    written first."""
+    try:
+        own = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        own.schema  # noqa: B018  resolves the columns
+    except AnalysisException:
+        own = written(docs, "simhash-docs").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return own.withColumn("_file", F.xxhash64("_file"))
+
+
+def linked_rows(rows: DataFrame, signatures: int, distance: int, blocks: int) -> DataFrame:
+    """(_sigs, root) of the distinct lists of signatures: lists are linked if one of their
+    signatures is close to the other's of the same number. A list goes by its 64-bit
+    hash."""
+    groups = written(rows.groupBy("sigs").agg(F.count("*")).select("sigs", F.xxhash64("sigs").alias("node")), "simhash-groups")
+    links = None
+    for k in range(signatures):
+        fps = groups.select(F.get("sigs", F.lit(k)).alias("fp"), "node")
+        least = written(fps.groupBy("fp").agg(F.min("node").alias("low")), "simhash-values")
+        same = fps.join(least, "fp").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+        near = close_links(least.select("fp"), distance, blocks)
+        near = near.join(least.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
+        own = written(same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))), "simhash-links")
+        links = own if links is None else links.unionByName(own)
+    roots = components(links)
+    named = groups.join(roots, "node", "left")
+    return written(named.select(F.col("sigs").alias("_sigs"), F.coalesce("root", "node").alias("root")), "simhash-roots")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, blocks: int = 5, signatures: int = 4, most: int = 2_000_000
+) -> DataFrame:
+    """One row of each component of near copies: that with the least doc_id, rows without
+    one last, and of equals the first by the text's hash and place.
+
+    A near copy may miss the distance under one fingerprint by chance, so `signatures`
+    of them are taken and a link under any counts. Equal ids with different texts are
+    judged row by row. Rows are told apart by file and number; up to `most` that go are
+    broadcast, so that the texts are filtered where they lie, and more are joined.
+    """
+    own = _row_places(docs)
+
+    @F.pandas_udf("array<bigint>")
+    def signed(texts: pd.Series) -> pd.Series:
+        return pd.Series([signatures_of(t, words, signatures) for t in texts])
+
+    def signed_rows(own: DataFrame) -> DataFrame:
+        return written(own.select(F.col(id_col).alias("doc_id"), signed(text_col).alias("sigs"), F.xxhash64(text_col).alias("hash"), "_file", "_at"), "simhash")
+
+    rows = signed_rows(own)
+    if not rows.groupBy("_file", "_at").count().filter("count > 1").isEmpty():
+        # a row of a file became several on the way here
+        own = _row_places(written(docs, "simhash-docs"))
+        rows = signed_rows(own)
+    found = linked_rows(rows, signatures, distance, blocks)
+    joined = rows.join(found, rows["sigs"] == found["_sigs"])
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "_file", "_at")
+    kept = written(joined.groupBy("root").agg(F.min(order).alias("k")).select("k._file", "k._at"), "simhash-kept")
+    gone = written(rows.select("_file", "_at").join(kept, ["_file", "_at"], "left_anti"), "simhash-gone")
+    return own.join(broadcast_if_small(gone, most), ["_file", "_at"], "left_anti").select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -2,21 +2,37 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from graphjobs.llm import simhash
 
 
-def brute(rows, words=3, distance=3):
-    out = []
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def mixed(h, n):
+    if n:
+        m = (1 << 64) - 1
+        h = (h ^ h >> 32) * MIX[n - 1] & m
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & m
+        h ^= h >> 32
+    return h
+
+
+def brute(rows, words=3, distance=3, signatures=1):
+    """(id, fingerprint, component) of each row, sorted; links by any of the signatures."""
+    out, all_fps = [], []
     for doc_id, text in rows:
         t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t) if x]
         sh = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
-        fp = 0
-        for bit in range(64):
-            ones = sum(xxhash.xxh64_intdigest(s.encode(), 42) >> bit & 1 for s in sh)
-            fp |= (2 * ones > len(sh) and sh != []) << bit
-        out.append((doc_id, fp))
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        fps = []
+        for k in range(signatures):
+            own = [mixed(h, k) for h in hashes]
+            fps.append(sum((2 * sum(h >> bit & 1 for h in own) > len(own) and own != []) << bit for bit in range(64)))
+        out.append((doc_id, fps[0]))
+        all_fps.append(fps)
     n = len(out)
     root = list(range(n))
 
@@ -27,7 +43,7 @@ def brute(rows, words=3, distance=3):
 
     for i in range(n):
         for j in range(i):
-            if bin(out[i][1] ^ out[j][1]).count("1") <= distance:
+            if any(bin(x ^ y).count("1") <= distance for x, y in zip(all_fps[i], all_fps[j])):
                 root[find(i)] = find(j)
     best = {}
     for i, (d, _) in enumerate(out):
@@ -101,7 +117,16 @@ def test_keep_one(spark):
     docs = spark.createDataFrame([(3, "a b c d", "x"), (1, "A b c d", "y"), (1, "A b c d", "y"), (None, "a b c d", "z"), (5, "q r s t u", None)], "doc_id long, text string, source string")
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns
-    assert sorted([r.doc_id for r in got.collect()], key=repr) == [1, 5, None]
+    assert sorted([r.doc_id for r in got.collect()], key=repr) == [1, 5]
+
+
+def test_keep_one_of_rows_that_share_a_file_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    twice = docs.select("doc_id", F.explode(F.array("text", F.concat(F.lit("quite another beginning "), F.reverse("text")))).alias("text"))
+    rows = [tuple(r) for r in twice.collect()]
+    want = brute([(n, t) for n, (_, t) in enumerate(rows)], signatures=4)
+    assert simhash.keep_one(twice).count() == len({c for _, _, c in want})
+    assert simhash.keep_one(docs, most=0).count() == simhash.keep_one(docs).count()
 
 
 def test_keep_one_goes_by_rows(spark):
