@@ -55,7 +55,11 @@ def _script_table() -> np.ndarray:
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Lower-case code points, one for each character of the text."""
+    lower = text.lower()
+    if len(lower) != len(text):
+        lower = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    return np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 @dataclass
@@ -122,24 +126,27 @@ class Model:
         return viterbi(scores, SWITCH), words, scores
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = self.label(text)
+        return self.told(text)[:2]
+
+    def told(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
+        """(language, score, spans) from one labelling of the text."""
+        found = self.label(text) if self.langs else None
         if found is None:
-            return "und", 0.0
+            return "und", 0.0, []
         labels, words, scores = found
         letters = np.bincount(labels, weights=words.ends - words.starts, minlength=len(self.langs))
         best = int(letters.argmax())
         # how sure the words labelled so are of it, against the next language
         own = scores[labels == best].sum(axis=0)
         rest = np.exp(np.clip(own - own[best], -50, 50)).sum()
-        return self.langs[best], float(letters[best] / letters.sum() / rest)
+        return self.langs[best], float(letters[best] / letters.sum() / rest), self._spans(labels, words)
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
-        """(start, end, language) of the text's stretches, words with what follows them
-        up to the next."""
-        found = self.label(text)
-        if found is None:
-            return []
-        labels, words, _ = found
+        """(start, end, language) of the text's stretches in code points, from the first
+        letter of each to the last."""
+        return self.told(text)[2]
+
+    def _spans(self, labels: np.ndarray, words: Words) -> list[tuple[int, int, str]]:
         cut = np.concatenate([[0], np.flatnonzero(labels[1:] != labels[:-1]) + 1])
         last = np.concatenate([cut[1:], [len(labels)]]) - 1
         return [(int(words.starts[i]), int(words.ends[j]), self.langs[labels[i]]) for i, j in zip(cut, last)]
@@ -220,36 +227,33 @@ def _shared(spark, model: Model):
     return spark.sparkContext.broadcast(model)
 
 
+_SPANS = "array<struct<start:int,end:int,lang:string>>"
+
+
 def _predicted(docs: DataFrame, model: Model, text_col: str) -> F.Column:
-    """struct<lang_pred,score> of each text."""
+    """struct<lang_pred,score,lang_spans> of each text."""
     shared = _shared(docs.sparkSession, model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf(f"lang_pred string, score double, lang_spans {_SPANS}")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        model = shared.value
-        found = [model.predict(t) if model.langs else ("und", 0.0) for t in texts]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+        found = [shared.value.told(t) for t in texts]
+        spans = [[{"start": a, "end": b, "lang": x} for a, b, x in f[2]] for f in found]
+        return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "lang_spans": pd.Series(spans, dtype=object)})
 
     return predict(F.col(text_col))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to each row; existing columns of these names are
-    replaced. Null texts and those without letters get `und` and 0."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_lang", _predicted(docs, model, text_col)).select(*kept, "_lang.lang_pred", "_lang.score")
-
-
-def label_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_spans: an array of (start, end, lang) over the text's characters."""
-    shared = _shared(docs.sparkSession, model)
+    """Adds lang_pred, score and lang_spans, an array of (start, end, lang) in code points
+    of the text, to each row; existing columns of these names are replaced. Null texts
+    and those without letters get `und`, 0 and no spans."""
+    new = ("lang_pred", "score", "lang_spans")
+    kept = [c for c in docs.columns if c not in new]
+    return docs.withColumn("_lang", _predicted(docs, model, text_col)).select(*kept, *[f"_lang.{c}" for c in new])
 
-    @F.pandas_udf("array<struct<start:int,end:int,lang:string>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        model = shared.value
-        return pd.Series([[{"start": a, "end": b, "lang": x} for a, b, x in model.spans(t)] if model.langs else [] for t in texts])
 
-    return docs.withColumn("lang_spans", spans(F.col(text_col)))
+def span_list(spans: F.Column) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["lang"], s["start"], s["end"])), ",")
 
 
 def training_rows(docs: DataFrame, key_col: str = "doc_id") -> F.Column:
@@ -258,7 +262,8 @@ def training_rows(docs: DataFrame, key_col: str = "doc_id") -> F.Column:
 
 
 def identified_only(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.2) -> DataFrame:
-    """The documents whose language is told: those with letters, most of them labelled
-    with some confidence. Returns the columns of docs as they are."""
+    """The documents whose language is told: those with letters and a score of min_score
+    at least, as texts in a script that the model never saw can't reach. Returns the
+    columns of docs as they are."""
     own = docs.withColumn("_lang", _predicted(docs, model, text_col))
     return own.filter((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") >= min_score)).select(*docs.columns)

@@ -24,12 +24,15 @@ def _safe(text: Column) -> Column:
 def turn_arrays(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turns: array<struct<role,text>>) by turn; turns with equal numbers go by
     role and text, null numbers first. Null roles and texts are empty. Rows of a null
-    conv_id make one conversation."""
+    conv_id belong to no known conversation, so each is one of its own turn and none are
+    gathered. A conversation is one row, so its turns have to fit a task."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     role = F.coalesce(F.col(role_col), F.lit(""))
     item = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    grouped = conversations.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(item)).alias("turns"))
-    return grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    known = conversations.filter(F.col(conv_col).isNotNull())
+    grouped = known.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(item)).alias("turns"))
+    alone = conversations.filter(F.col(conv_col).isNull()).select(F.col(conv_col).alias("conv_id"), F.array(item).alias("turns"))
+    return grouped.union(alone).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -37,7 +37,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learn = langid.training_rows(docs)
     model = langid.train(docs.filter(learn))
-    return langid.identify(docs.drop("lang"), model).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs.drop("lang"), model).select("doc_id", (~learn).alias("held_out"), "lang_pred", "score", langid.span_list(F.col("lang_spans")).alias("lang_spans"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,8 @@ ORACLES = {
     "op8_preference": r"""
         WITH items AS (
             SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
-            FROM conversations GROUP BY conv_id
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+            UNION ALL SELECT conv_id, [{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}] FROM conversations WHERE conv_id IS NULL
         ), placed AS (
             SELECT conv_id, l, list_max(list_filter(range(1, len(l) + 1), lambda i: l[i].role = 'assistant')) AS last FROM items
         ), parts AS (

@@ -35,6 +35,12 @@ def test_turns_and_echo(spark):
     assert got == {
         1: ([("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "a")]),
         3: ([("assistant", "")], [("assistant", "")]),
-        None: ([("", "t"), ("assistant", "u")], [("", "t"), ("assistant", "t")]),
+        None: ([("assistant", "u")], [("assistant", "")]),
         4: ([("assistant", "z")], [("assistant", "")]),
     }
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 1, "assistant", "d"), (1, 0, "user", "c")]
+    turns = preference.turn_arrays(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert sorted([(r.conv_id, [t.text for t in r.turns]) for r in turns], key=repr) == [(1, ["c", "d"]), (None, ["a"]), (None, ["b"])]
