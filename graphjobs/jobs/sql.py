@@ -86,7 +86,7 @@ def valid(x: str, cfg: C.TextConfig) -> str:
     return f"(length({x}) >= {cfg.min_chars} AND len(regexp_extract_all({x}, {q(cfg.script)})) >= {cfg.min_script})"
 
 
-def filter_sections(x: str, cfg: C.TextConfig) -> str:
+def filter_sections(x: str, cfg: C.TextConfig, raw: bool = False) -> str:
     """Line by line: what comes before the first reference line, isn't in an abstract
     and isn't skipped, from a list of lines."""
     return f"""(SELECT coalesce(string_agg(l, chr(10) ORDER BY i), '') FROM (
@@ -94,4 +94,39 @@ def filter_sections(x: str, cfg: C.TextConfig) -> str:
                coalesce(max(CASE WHEN l = '' THEN i END) OVER (ORDER BY i), 0) AS blank, max(CASE WHEN ref THEN 1 ELSE 0 END) OVER (ORDER BY i) AS cut
         FROM (SELECT i, l, {any_of('lower(l)', cfg.abstract_marks)} AS mark, {any_of('lower(l)', cfg.reference_marks)} AS ref
               FROM (SELECT i, {strip('s[i]')} AS l FROM (SELECT string_split({x}, chr(10)) AS s), unnest(range(1, len(s) + 1)) AS r(i))))
-        WHERE cut = 0 AND marked <= blank AND l <> '' AND NOT {skip_line('l', cfg)})"""
+        WHERE cut = 0 AND marked <= blank AND l <> '' AND NOT {skip_line('l', cfg, raw)})"""
+
+
+def kept(x: str, cfg: C.TextConfig) -> str:
+    return f"({valid(x, cfg)} AND {any_of(x, cfg.relevant_words)})"
+
+
+_START = "{'now': '', 'out': CAST([] AS VARCHAR[])}"
+
+
+def _flushed(state: str, cfg: C.TextConfig) -> str:
+    return f"CASE WHEN {kept(state + '.now', cfg)} THEN list_append({state}.out, {state}.now) ELSE {state}.out END"
+
+
+def chunks(x: str, cfg: C.TextConfig, raw: bool = False) -> str:
+    """A list of chunks, folded sentence by sentence."""
+    step = f"""CASE WHEN length(a.now || s) < {cfg.target} THEN {{'now': a.now || s, 'out': a.out}}
+        ELSE {{'now': '', 'out': CASE WHEN {kept('(a.now || s)', cfg)} THEN list_append(a.out, a.now || s) ELSE a.out END}} END"""
+    sentences = f"list_filter(list_transform(string_split_regex({clean_paragraph(x, raw)}, {q(cfg.sentence_marks)}), lambda s: {strip('s')}), lambda s: s <> '')"
+    return f"(SELECT {_flushed('f', cfg)} FROM (SELECT list_reduce({sentences}, lambda a, s: {step}, {_START}) AS f))"
+
+
+def paragraphs(x: str, cfg: C.TextConfig, raw: bool = False) -> str:
+    """A list of paragraphs, folded block by block, or else of chunks."""
+    joins = f"a.now <> '' AND (length(b) < 100 OR NOT contains({q(cfg.closing_marks)}, right(a.now, 1)))"
+    step = f"CASE WHEN {joins} THEN {{'now': a.now || b, 'out': a.out}} ELSE {{'now': b, 'out': {_flushed('a', cfg)}}} END"
+    blocks = f"list_filter(list_transform(string_split(coalesce({x}, ''), chr(10) || chr(10)), lambda b: {clean_paragraph(strip('b'), raw)}), lambda b: b <> '')"
+    return f"(SELECT CASE WHEN len(l) < 3 THEN {chunks(x, cfg, raw)} ELSE l END FROM (SELECT {_flushed('f', cfg)} AS l FROM (SELECT list_reduce({blocks}, lambda a, b: {step}, {_START}) AS f)))"
+
+
+def season_of(paragraph: str, text: str, terms) -> str:
+    """The first term of the paragraph, else of the nearest short line before it."""
+    return f"""coalesce({first_in(paragraph, terms)},
+        (SELECT t FROM (SELECT i, CASE WHEN length(b[i]) < 100 THEN {first_in('b[i]', terms)} END AS t
+            FROM (SELECT string_split(substr({text}, greatest(p - 500, 1), p - greatest(p - 500, 1)), chr(10)) AS b FROM (SELECT instr({text}, left({paragraph}, 50)) AS p) WHERE p > 1), unnest(range(1, len(b) + 1)) AS r(i))
+            WHERE t IS NOT NULL ORDER BY i DESC LIMIT 1), {q(C.UNKNOWN_SEASON)})"""

@@ -45,16 +45,23 @@ def prepare_requests(mentions: DataFrame, cap: int = MAX_CANDIDATES) -> DataFram
 
 
 def apply_extractor(requests: DataFrame, extractor: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
-    """Adds response: extractor(candidates texts, contexts) for each batch. A batch that
-    fails gives empty responses; the job goes on. The responses are a table in the shared
-    folder, so that nothing that reads them asks the model again."""
+    """Adds response: extractor(candidates texts, contexts) for each batch. The requests
+    of a batch that fails are asked one by one, and one that fails alone gives an empty
+    response; the job goes on. The responses are a table in the shared folder, so that
+    nothing that reads them asks the model again."""
 
     @F.pandas_udf("string")
     def run(candidates: pd.Series, contexts: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(list(extractor(candidates, contexts)), dtype=object)
-        except Exception:
-            return pd.Series([None] * len(contexts), dtype=object)
+        def asked(a: pd.Series, b: pd.Series) -> list:
+            try:
+                found = list(extractor(a, b))
+                if len(found) == len(a):
+                    return found
+            except Exception:  # whatever a model's client raises
+                pass
+            return [x for i in range(len(a)) for x in asked(a.iloc[i : i + 1], b.iloc[i : i + 1])] if len(a) > 1 else [None]
+
+        return pd.Series(asked(candidates, contexts) if len(candidates) else [], dtype=object)
 
     return written(requests.withColumn("response", run("candidates_text", "context")), "responses")
 

@@ -1,26 +1,32 @@
 """Texts to cleaned, relevant paragraphs with seasons.
 
-Everything that concerns one text happens within its row; only headings that carry over
-paragraphs and numbering need the order of rows.
+Everything that concerns one text happens within its row, in time that grows with the
+text: runs of lines, sentences and blocks are told by marks in one string, not by folds
+that copy arrays. Rows are made of finished paragraphs only, so that no text is shuffled
+but by numbering, which needs the order of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import config as C
 from ..functions import text as X
 from ..sources.scratch import written
 
+#: Marks that part pieces of a text; cleaning drops them from texts before.
+_PART, _END = "\x01", "\x02"
+
 
 def section_patterns(cfg: C.TextConfig) -> tuple[str, str]:
     """Expressions for what follows a line of references, to the end, and for a line of
     an abstract or keywords with all lines up to a blank one; both start at a line's
-    break, so the text gets one in front."""
+    break, so the text gets one in front. The repeated parts are possessive: they step
+    from line to line and never go back, however many lines there are."""
     refs = rf"(?s)\n[^\n]*(?:{X.in_any_case(cfg.reference_marks)}).*"
-    filled = rf"\n[^\n]*[^{X.WS}][^\n]*"
-    abstract = rf"\n[^\n]*(?:{X.in_any_case(cfg.abstract_marks)})[^\n]*(?:{filled})*"
+    filled = rf"\n[{X.WS.replace(chr(92) + 'x09-' + chr(92) + 'x0d', chr(92) + 'x09' + chr(92) + 'x0b-' + chr(92) + 'x0d')}]*+[^{X.WS}][^\n]*+"
+    abstract = rf"\n[^\n]*(?:{X.in_any_case(cfg.abstract_marks)})[^\n]*+(?:{filled})*+"
     return refs, abstract
 
 
@@ -38,29 +44,15 @@ def _kept(paragraph: Column, cfg: C.TextConfig) -> Column:
     return X.valid_paragraph(paragraph, cfg) & X.relevant(paragraph, cfg)
 
 
-_STATE = "struct<now:string,out:array<string>>"
-
-
-def _start() -> Column:
-    return F.expr(f"cast(struct('', array()) as {_STATE})")
-
-
-def _flushed(state: Column, cfg: C.TextConfig) -> Column:
-    return F.when(_kept(state["now"], cfg), F.concat(state["out"], F.array(state["now"]))).otherwise(state["out"])
-
-
 def chunk_sentences(text: Column, cfg: C.TextConfig = C.TextConfig(), raw: bool = False) -> Column:
     """array of chunks: sentences are joined until they reach the target length; chunks
     that aren't valid and relevant are dropped."""
     sentences = F.transform(F.split(X.clean_paragraph_text(text, raw=raw), cfg.sentence_marks), X.strip)
-
-    def step(state, sentence):
-        now = F.concat(state["now"], sentence)
-        grown = F.struct(now.alias("now"), state["out"].alias("out"))
-        full = F.length(now) >= cfg.target
-        return F.when(full, F.struct(F.lit("").alias("now"), _flushed(grown, cfg).alias("out"))).otherwise(grown)
-
-    return F.aggregate(F.filter(sentences, lambda s: s != ""), _start(), step, lambda s: _flushed(s, cfg))
+    whole = F.array_join(F.filter(sentences, lambda s: s != ""), _PART)
+    # so many characters and what is left of the sentence; at the end whatever there is
+    chunk = rf"(?s)(?:{_PART}?[^{_PART}]){{{cfg.target}}}[^{_PART}]*+|{_PART}?[^{_PART}].*"
+    chunks = F.transform(F.regexp_extract_all(whole, F.lit(chunk), F.lit(0)), lambda c: F.replace(c, F.lit(_PART), F.lit("")))
+    return F.filter(chunks, lambda c: _kept(c, cfg))
 
 
 def split_paragraphs(text: Column, cfg: C.TextConfig = C.TextConfig(), raw: bool = False) -> Column:
@@ -68,28 +60,37 @@ def split_paragraphs(text: Column, cfg: C.TextConfig = C.TextConfig(), raw: bool
     one without a closing mark, are joined to it; fewer than three kept paragraphs give
     way to chunks of sentences."""
     blocks = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda b: X.clean_paragraph_text(X.strip(b), raw=raw))
+    blocks = F.filter(blocks, lambda b: b != "")
 
-    def step(state, block):
-        open_ = ~F.contains(F.lit(cfg.closing_marks), F.substring(state["now"], -1, 1))
-        joins = (state["now"] != "") & ((F.length(block) < 100) | open_)
-        joined = F.struct(F.concat(state["now"], block).alias("now"), state["out"].alias("out"))
-        return F.when(joins, joined).otherwise(F.struct(block.alias("now"), _flushed(state, cfg).alias("out")))
+    def paragraphs(blocks: Column) -> Column:
+        def begins(block: Column, i: Column) -> Column:
+            closed = F.contains(F.lit(cfg.closing_marks), F.substring(F.get(blocks, i - 1), -1, 1))
+            return (i > 0) & (F.length(block) >= 100) & closed
 
-    found = F.aggregate(F.filter(blocks, lambda b: b != ""), _start(), step, lambda s: _flushed(s, cfg))
-    # bound to a variable, as the blocks would be folded again for each mention
-    pick = F.transform(F.array(found), lambda f: F.when(F.size(f) < 3, chunk_sentences(text, cfg, raw)).otherwise(f))
+        marked = F.transform(blocks, lambda b, i: F.when(begins(b, i), F.concat(F.lit(_END), b)).otherwise(b))
+        return F.filter(F.split(F.array_join(marked, ""), _END), lambda p: _kept(p, cfg))
+
+    # bound to variables, as the blocks would be cleaned again for each mention
+    found = F.transform(F.array(blocks), paragraphs)
+    pick = F.transform(found, lambda f: F.when(F.size(f) < 3, chunk_sentences(text, cfg, raw)).otherwise(f))
     return F.get(pick, F.lit(0))
 
 
-def paragraphs_of(docs: DataFrame, cfg: C.TextConfig = C.TextConfig(), raw: bool = False) -> DataFrame:
-    """(doc, full_text, pos, paragraph) of documents (doc, text)."""
+def document_paragraphs(docs: DataFrame, cfg: C.TextConfig = C.TextConfig(), raw: bool = False) -> DataFrame:
+    """(doc, full_text, paragraphs array<string>) of documents (doc, text)."""
     rows = docs.select("doc", F.coalesce("text", F.lit("")).alias("full_text")).withColumn("_body", filter_sections(F.col("full_text"), cfg, raw))
-    return rows.select("doc", "full_text", F.posexplode(split_paragraphs(F.col("_body"), cfg, raw)).alias("pos", "paragraph"))
+    return rows.select("doc", "full_text", split_paragraphs(F.col("_body"), cfg, raw).alias("paragraphs"))
+
+
+def whole_parts(paragraphs: Column) -> Column:
+    """array<struct<pos,segment,paragraph,season>> of paragraphs without headings."""
+    none = F.lit(None).cast("string")
+    return F.transform(paragraphs, lambda p, i: F.struct(i.alias("pos"), F.lit(0).alias("segment"), p.alias("paragraph"), none.alias("season")))
 
 
-def split_headings(paragraphs: DataFrame, cfg: C.TextConfig = C.TextConfig(), min_chars: int = 20) -> DataFrame:
-    """(doc, full_text, pos, segment, paragraph, season) of paragraphs whose headings
-    `01 term LETTERS` tell the season of what follows, across paragraphs.
+def split_headings(paragraphs: Column, cfg: C.TextConfig = C.TextConfig(), min_chars: int = 20) -> Column:
+    """array<struct<pos,segment,paragraph,season>> of a document's paragraphs, whose
+    headings `01 term LETTERS` tell the season of what follows, across paragraphs.
 
     A paragraph that begins with a heading is dropped, but sets the season. Headings
     within one cut it; pieces of more than min_chars stay. season is null before the
@@ -98,38 +99,69 @@ def split_headings(paragraphs: DataFrame, cfg: C.TextConfig = C.TextConfig(), mi
     gap = r"[\s\x{3000}]+"
     named = rf"\p{{Nd}}{{1,2}}{gap}({X.alternatives(cfg.terms)}){gap}[A-Z]+"
     any_heading = rf"\p{{Nd}}{{1,2}}{gap}[\x{{4e00}}-\x{{9fff}}]{{2,3}}{gap}[A-Z]+"
-    p = F.col("paragraph")
-    opening = F.regexp_extract(X.strip(p), rf"\A{named}", 1)
-    pieces, terms = F.split(p, named, -1), F.regexp_extract_all(p, F.lit(named), F.lit(1))
-    cut = F.transform(pieces, lambda x, i: F.struct(i.alias("segment"), X.strip(x).alias("text"), F.when(i > 0, F.get(terms, i - 1)).alias("heading")))
-    whole = lambda text, heading: F.array(F.struct(F.lit(0).alias("segment"), text.alias("text"), heading.cast("string").alias("heading")))
     none = F.lit(None).cast("string")
-    parts = F.when(opening != "", whole(none, opening)).when(~p.rlike(any_heading), whole(p, none)).otherwise(cut)
-    strict = p.rlike(any_heading)
-    rows = paragraphs.select("doc", "full_text", "pos", strict.alias("_cut"), F.explode(parts).alias("s")).select("doc", "full_text", "pos", "_cut", "s.*")
-    order = Window.partitionBy("doc").orderBy("pos", "segment")
-    rows = rows.withColumn("season", F.last("heading", ignorenulls=True).over(order))
-    kept = rows.filter(F.col("text").isNotNull() & (~F.col("_cut") | (F.length("text") > min_chars)))
-    return kept.select("doc", "full_text", "pos", "segment", F.col("text").alias("paragraph"), "season")
+
+    def part(pos: Column, segment: Column, text: Column, heading: Column, cut: Column) -> Column:
+        return F.struct(pos.alias("pos"), segment.alias("segment"), text.alias("text"), heading.alias("heading"), cut.alias("cut"))
+
+    def parts(p: Column, pos: Column) -> Column:
+        opening = F.regexp_extract(X.strip(p), rf"\A{named}", 1)
+        pieces, terms = F.split(p, named, -1), F.regexp_extract_all(p, F.lit(named), F.lit(1))
+        cut = F.transform(pieces, lambda x, i: part(pos, i, X.strip(x), F.when(i > 0, F.get(terms, i - 1)), F.lit(True)))
+        first = lambda text, heading: F.array(part(pos, F.lit(0), text, heading, F.lit(False)))
+        return F.when(opening != "", first(none, opening)).when(~p.rlike(any_heading), first(p, none)).otherwise(cut)
+
+    def carried(rows: Column) -> Column:
+        places = F.transform(rows, lambda r, i: F.struct(i.alias("at"), r["heading"].alias("heading")))
+        start = F.array(F.struct(F.lit(0).alias("at"), none.alias("heading")))
+        bounds = F.concat(start, F.filter(places, lambda h: h["heading"].isNotNull()))
+
+        def under(bounds: Column) -> Column:
+            def stretch(b: Column, k: Column) -> Column:
+                until = F.coalesce(F.get(bounds, k + 1)["at"], F.size(rows))
+                own = F.slice(rows, b["at"] + 1, until - b["at"])
+                return F.transform(own, lambda r: F.struct(r["pos"].alias("pos"), r["segment"].alias("segment"), r["text"].alias("paragraph"), b["heading"].alias("season"), r["cut"].alias("cut")))
+
+            return F.flatten(F.transform(bounds, stretch))
+
+        return F.get(F.transform(F.array(bounds), under), F.lit(0))
+
+    rows = F.transform(F.array(F.flatten(F.transform(paragraphs, parts))), carried)
+    kept = F.filter(F.get(rows, F.lit(0)), lambda r: r["paragraph"].isNotNull() & (~r["cut"] | (F.length(r["paragraph"]) > min_chars)))
+    return F.transform(kept, lambda r: r.dropFields("cut"))
+
+
+def with_seasons(parts: Column, full_text: Column, cfg: C.TextConfig = C.TextConfig()) -> Column:
+    """array<struct<pos,segment,context,season>>: the carried season or the detected one;
+    line breaks become two spaces."""
+    return F.transform(
+        parts,
+        lambda r: F.struct(
+            r["pos"].alias("pos"),
+            r["segment"].alias("segment"),
+            F.replace(r["paragraph"], F.lit("\n"), F.lit("  ")).alias("context"),
+            F.coalesce(r["season"], X.detect_season(r["paragraph"], full_text, cfg)).alias("season"),
+        ),
+    )
 
 
-def with_seasons(paragraphs: DataFrame, cfg: C.TextConfig = C.TextConfig()) -> DataFrame:
-    """(doc, pos, segment, context, season): the carried season or the detected one; line
-    breaks become two spaces."""
-    carried = F.col("season") if "season" in paragraphs.columns else F.lit(None).cast("string")
-    segment = F.col("segment") if "segment" in paragraphs.columns else F.lit(0)
-    season = F.coalesce(carried, X.detect_season(F.col("paragraph"), F.col("full_text"), cfg))
-    return paragraphs.select("doc", "pos", segment.alias("segment"), F.replace("paragraph", F.lit("\n"), F.lit("  ")).alias("context"), season.alias("season"))
+def paragraphs_of(docs: DataFrame, cfg: C.TextConfig = C.TextConfig(), raw: bool = False, headings: bool = False) -> DataFrame:
+    """(doc, pos, segment, context, season) of documents (doc, text); seasons are told in
+    the document's row, before it becomes many."""
+    rows = document_paragraphs(docs, cfg, raw)
+    parts = split_headings(F.col("paragraphs"), cfg) if headings else whole_parts(F.col("paragraphs"))
+    return rows.select("doc", F.explode(with_seasons(parts, F.col("full_text"), cfg)).alias("p")).select("doc", "p.*")
 
 
 def number_paragraphs(paragraphs: DataFrame) -> DataFrame:
     """(id, title, context, season): ids from 1 in the order of documents' names, places
     and segments.
 
-    Rows are sorted by ranges and counted by partition; an id is a place within the
-    partition plus what lies before it. Only the partitions' counts reach the driver.
+    Rows are a table first, as sorting by ranges reads them twice. They are counted by
+    partition; an id is a place within the partition plus what lies before it. Only the
+    partitions' counts reach the driver.
     """
-    ordered = paragraphs.repartitionByRange("doc", "pos", "segment").sortWithinPartitions("doc", "pos", "segment")
+    ordered = written(paragraphs, "paragraphs").repartitionByRange("doc", "pos", "segment").sortWithinPartitions("doc", "pos", "segment")
     place = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     place = written(place, "numbered")
     counts = sorted((r["_part"], r.n) for r in place.groupBy("_part").agg(F.count("*").alias("n")).collect())

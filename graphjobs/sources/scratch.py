@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where it is unset, as in tests, a local
-    one is made."""
+    """The folder of spark.checkpoint.dir, or the one that the session was given. Only on
+    a local master, as in tests, one is made where there is none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")

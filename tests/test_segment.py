@@ -40,6 +40,16 @@ def test_sections(spark):
     assert got == ["立春时节宜养肝护肝\n雨水节气要注意祛湿\n惊蛰养生的方法有很多", "", ""]
 
 
+def test_texts_of_very_many_lines(spark):
+    lines = ["立春时节宜养肝护肝", "摘要"] + ["摘要继续的一行文字"] * 100_000 + ["", "惊蛰养生的方法有很多"] + ["  "] * 50_000
+    df = spark.createDataFrame([("\n".join(lines),), ("立春宜养肝。" * 200_000,)], "text string").repartition(2)
+    rows = df.select(segment.filter_sections(F.col("text")).alias("t"), F.size(segment.split_paragraphs(F.col("text"))).alias("n")).collect()
+    by_size = sorted(rows, key=lambda r: len(r.t))
+    assert by_size[0].t == "立春时节宜养肝护肝\n惊蛰养生的方法有很多"
+    # sixteen sentences of five characters reach eighty
+    assert by_size[1].n == 200_000 // 16
+
+
 def test_blocks(spark):
     long = SENTENCE * 4
     text = f"{long}。\n\n{long}，\n\n{long}。\n\n短块\n\n{long}！\n\n{long}？"
@@ -50,8 +60,9 @@ def test_blocks(spark):
 
 def test_headings_carry_over_paragraphs(spark):
     rows = [("d", 0, "没有节气的段落" * 5), ("d", 1, "01 立春 LICHUN 标题"), ("d", 2, "跟随的段落" * 6), ("d", 3, "前面的文字" * 5 + "02 雨水 YUSHUI " + "后面的文字" * 5 + " 03 甲乙 AB"), ("d", 4, "再后面" * 9), ("e", 0, "另一文件")]
-    df = spark.createDataFrame([(d, "full", p, t) for d, p, t in rows], "doc string, full_text string, pos int, paragraph string")
-    got = [(r.doc, r.pos, r.segment, r.season) for r in segment.split_headings(df).orderBy("doc", "pos", "segment").collect()]
+    df = spark.createDataFrame([(d, [t for e, _, t in rows if e == d]) for d in "de"], "doc string, paragraphs array<string>")
+    parts = df.select("doc", F.explode(segment.split_headings(F.col("paragraphs"))).alias("p")).select("doc", "p.*")
+    got = [(r.doc, r.pos, r.segment, r.season) for r in parts.orderBy("doc", "pos", "segment").collect()]
     assert got == [("d", 0, 0, None), ("d", 2, 0, "立春"), ("d", 3, 0, "立春"), ("d", 3, 1, "雨水"), ("d", 4, 0, "雨水"), ("e", 0, 0, None)]
 
 
@@ -126,6 +137,20 @@ def test_extractor_failures_are_empty(spark):
     assert extraction.apply_extractor(df, fails).first().response is None
 
 
+def test_one_bad_request_leaves_its_batch_alone(spark):
+    rows = [(i, f"c{i}", "bad" if i in (3, 8) else "t") for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, candidates_text string, context string").coalesce(1)
+
+    def model(candidates, contexts):
+        if (contexts == "bad").any():
+            raise ValueError("refused")
+        return candidates.str.upper()
+
+    got = {r.id: r.response for r in extraction.apply_extractor(df, model).collect()}
+    assert got == {i: None if i in (3, 8) else f"C{i}" for i in range(12)}
+    assert extraction.apply_extractor(df.limit(0), model).count() == 0
+
+
 def test_free_extraction(spark):
     texts = [json.dumps({"entities": ["e"], "relations": [["a", "b", "c", "d"], "x，y-z", "one"], "attributes": [{"entity": "e", "attribute": "k", "value": "v"}]}), 'so {"relations": []} ok', "[1]", None, "no"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")

@@ -74,3 +74,10 @@ def test_nonsense_and_titles(spark):
 
 def test_lists_are_whole():
     assert len(C.TERMS) == 24 and len(C.RELEVANT_WORDS) == 27 and len(C.SKIP_WORDS) == 16 and len(C.BLACKLIST) == 34 and len(set(C.SHORT_NAMES)) == len(C.SHORT_NAMES)
+
+
+def test_surnames_of_persons(spark):
+    names = {"贲志明": True, "甄妮": True, "姜尚": True, "欧阳修": False, "肖邦": False, "龙应台": False, "李血": False, "王": False, "赵钱孙李周": False}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: r.p for r in df.select("name", X.is_probable_person(F.col("name")).alias("p")).collect()}
+    assert got == names
