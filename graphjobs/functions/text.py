@@ -59,6 +59,12 @@ def in_any_case(words) -> str:
     return "|".join(spelt)
 
 
+def is_json(text: Column) -> Column:
+    """True for one whole JSON value: what follows a value makes an array of it invalid,
+    or longer. Null is none."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+
+
 def contains_any(text: Column, words) -> Column:
     return text.rlike(alternatives(words)) if words else F.lit(False)
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import config as C
 from ..functions import text as X
 from ..operators import analytics, cleaning, conflicts, graph
-from ..sources import records
 from . import sql as S
 from .fixtures import cte, frame
 
@@ -145,25 +144,6 @@ def reject_report(spark, sf_dir):
     return cleaning.reject_report(cleaning.clean_relations(frame(spark, sf_dir, "relations"), _known(spark, sf_dir))[1])
 
 
-@query(f"""{cte('entity_rows')} SELECT {S.strip('name')} AS name, {S.strip('label')} AS label, pos FROM entity_rows WHERE {S.strip('name')} <> '' AND {S.strip('label')} <> ''""")
-def read_entities(spark, sf_dir):
-    return records.entity_rows(frame(spark, sf_dir, "entity_rows"))
-
-
-@query(f"""{cte('relations')} SELECT {S.strip('source')} AS source, {S.strip('target')} AS target, {S.strip('type')} AS type, {S.strip('season')} AS season, row_no FROM relations
-    WHERE {S.strip('source')} <> '' AND {S.strip('target')} <> '' AND {S.strip('type')} <> ''""")
-def read_relations_strict(spark, sf_dir):
-    return records.relation_rows(frame(spark, sf_dir, "relations"), strict=True)
-
-
-@query(f"""{cte('relations')} SELECT coalesce(CASE WHEN row_no % 4 <> 0 THEN nullif(source, '') END, CASE WHEN row_no % 4 = 0 THEN nullif(source, '') END, '') AS source,
-    coalesce(nullif(target, ''), '') AS target, coalesce(nullif(type, ''), '') AS type, season, row_no FROM relations""")
-def read_relations(spark, sf_dir):
-    rows = frame(spark, sf_dir, "relations")
-    alt = rows.select(F.when(F.col("row_no") % 4 != 0, F.col("source")).alias("source"), F.when(F.col("row_no") % 4 == 0, F.col("source")).alias("head"), F.col("target").alias("object"), F.col("type").alias("relation"), "season", "row_no")
-    return records.relation_rows(alt)
-
-
 # --- graph -------------------------------------------------------------------------
 
 _ID = "sha256(label || chr(31) || name)"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import config as C
+from ..functions import text as X
 from ..sources.scratch import written
 
 MAX_CANDIDATES, MAX_CONTEXT, MIN_CONTEXT = 60, 1500, 5
@@ -76,8 +77,8 @@ def parse_response_object(response: Column) -> Column:
     from its first to its last brace; null if none is an object."""
     fenced = F.regexp_extract(response, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     braced = F.regexp_extract(response, r"(?s)(\{.*\})", 1)
-    is_object = lambda c: F.try_parse_json(c).isNotNull() & c.rlike(r"(?s)\A\s*\{")
-    return F.when(is_object(response), response).when(F.try_parse_json(response).isNotNull(), F.lit(None)).when(is_object(fenced), fenced).when(is_object(braced), braced)
+    is_object = lambda c: X.is_json(c) & c.rlike(r"(?s)\A\s*\{")
+    return F.when(is_object(response), response).when(X.is_json(response), F.lit(None)).when(is_object(fenced), fenced).when(is_object(braced), braced)
 
 
 def parse_response_list(response: Column) -> Column:
@@ -90,7 +91,7 @@ def parse_response_list(response: Column) -> Column:
         .when(F.contains(response, F.lit("```")), F.get(plain, F.lit(1)))
         .otherwise(response)
     )
-    return F.when(F.try_parse_json(body).isNotNull() & body.rlike(r"(?s)\A\s*\["), body).otherwise(F.lit("[]"))
+    return F.when(X.is_json(body) & body.rlike(r"(?s)\A\s*\["), body).otherwise(F.lit("[]"))
 
 
 def normalize_extraction(parsed: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip
+from ..functions.text import is_json, strip
+from .scratch import broadcast_if_small, written
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -18,11 +19,20 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) with line numbers from 1 that count blank lines. Each file
-    is read by one task: line-based exchange files are rolled at a bounded size."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    parts = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n", -1)
-    return lines.select("file", F.posexplode(parts).alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line_no"), "value")
+    """(file, line_no, value) with line numbers from 1 that count blank lines.
+
+    Files are read in splits of any number. A line's number is its place in its split and
+    the lines of the file's splits before; only the splits' counts are gathered, one row
+    for each of a file's splits.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value"
+    )
+    splits = lines.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = written(splits.select("file", "_split", "_first", F.coalesce(before, F.lit(0)).alias("_before")), "splits")
+    placed = lines.join(broadcast_if_small(splits), ["file", "_split"])
+    return placed.select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +42,7 @@ def parse_lines(lines: DataFrame, schema: T.StructType | str) -> tuple[DataFrame
         schema = T._parse_datatype_string(schema)
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     parsed = lines.filter(strip(F.col("value")) != "").withColumn("_r", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_bad"}))
-    whole = F.col("_r").isNotNull() & F.col("_r._bad").isNull()
+    whole = F.col("_r").isNotNull() & F.col("_r._bad").isNull() & is_json(F.col("value"))
     good = parsed.filter(whole).select("line_no", *[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
     bad = parsed.filter(~whole).select(F.lit("reject_node_json_error").alias("category"), "line_no")
     return good, bad
@@ -70,29 +80,35 @@ def relation_rows(rows: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a CSV file with their order within the table: partitions are numbered by
+#: Fields are quoted as other CSV tools do it, and their spaces are kept.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Rows of CSV files with their order within the table: partitions are numbered by
     file and offset."""
-    return spark.read.csv(path, header=True, multiLine=True).withColumn("pos", F.monotonically_increasing_id())
+    return spark.read.csv(path, multiLine=multi_line, **_CSV).withColumn("pos", F.monotonically_increasing_id())
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    return entity_rows(_csv(spark, path))
+def read_entities(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A file is one task if fields may hold line breaks; without them it is split."""
+    return entity_rows(_csv(spark, path, multi_line))
 
 
-def read_relations(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Row numbers start at 2, after the header, and grow with the rows."""
-    rows = _csv(spark, path)
+def read_relations(spark: SparkSession, path: str, strict: bool = False, multi_line: bool = True) -> DataFrame:
+    """Row numbers start at 2, after the header, and grow with the rows. A file is one
+    task if fields may hold line breaks; without them it is split."""
+    rows = _csv(spark, path, multi_line)
     return relation_rows(rows.withColumn("row_no", F.col("pos") + 2), strict)
 
 
 def write_nodes(nodes: DataFrame, path: str) -> None:
-    nodes.select("name", "label").orderBy("name").write.csv(path, header=True)
+    nodes.select("name", "label").orderBy("name").write.csv(path, **_CSV)
 
 
 def write_relations(relations: DataFrame, path: str, order: tuple[str, ...] = ("source", "target", "type")) -> None:
     kept = [c for c in ("source", "target", "type", "season") if c in relations.columns]
-    relations.orderBy(*order).select(*kept).write.csv(path, header=True)
+    relations.orderBy(*order).select(*kept).write.csv(path, **_CSV)
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:

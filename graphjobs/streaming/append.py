@@ -8,26 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.scratch import written
+
 KEYS = ("source", "target", "type", "season")
 
 
+#: Parts of the table by the keys' hash; a batch reads those that its rows fall in.
+BUCKETS = 64
+
+
 def append_new(batch: DataFrame, batch_id: int, table: str) -> None:
     """Adds the relations of a batch that the table doesn't have, as a part of its own
     that the batch's number names: a batch that runs again after a failure writes over
     its part and leaves the others alone."""
     spark = batch.sparkSession
     new = batch.groupBy(*KEYS).agg(F.min("row_no").alias("row_no"))
-    try:
-        old = spark.read.parquet(table).filter(F.col("batch") != batch_id).select(*KEYS)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        old = None
-    if old is not None:
+    new = written(new.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int")), "stream-batch")
+    if _exists(spark, table):
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+        old = spark.read.schema("source string, target string, type string, season string, row_no long, batch long, bucket int").parquet(table)
+        old = old.filter((F.col("batch") != batch_id) & F.col("bucket").isin(touched)).select(*KEYS)
         # null-safe, so that a missing season equals a missing season
         same = [new[k].eqNullSafe(old[k]) for k in KEYS]
         new = new.join(old, same[0] & same[1] & same[2] & same[3], "left_anti")
-    new.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    new.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def append_relations_stream(
