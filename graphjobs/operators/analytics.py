@@ -143,24 +143,22 @@ def neighbor_query(nodes: DataFrame, edges: DataFrame, requests: DataFrame, limi
     return _back(requests, distinct, _ranked(found, limit))
 
 
-def general_query(nodes: DataFrame, edges: DataFrame, requests: DataFrame, limit: int = 30) -> DataFrame:
-    """The same over all directed edges for requests without a focus. Each distinct
-    (season, keywords), of which a configuration has few, is one pass with a top-k; its
-    requests get the answer by a join."""
+def general_query(nodes: DataFrame, edges: DataFrame, requests: DataFrame, limit: int = 30, block: int = 10_000) -> DataFrame:
+    """The same over all directed edges for requests without a focus. Distinct (season,
+    keywords), of which a configuration has some hundreds, are a query set that goes to
+    the edges in broadcast blocks; each task keeps the first `limit` of each before they
+    are shuffled, and the requests get their answers by a join."""
     distinct = requests.select("season", "keywords").distinct()
-    distinct = distinct.withColumn("request_id", F.sha2(F.to_json(F.struct("season", "keywords")), 256))
-    rows = written(_edge_rows(nodes, edges).withColumns({"n_name": F.col("source"), "m_name": F.col("target")}), "edge-rows")
-    out = None
-    for r in distinct.toLocalIterator():
-        season = F.lit(r.season).cast("string")
-        words = F.array(*[F.lit(w) for w in r["keywords"]]).cast("array<string>")
-        found = rows.filter(_fits(season, words)).select(F.lit(r.request_id).alias("request_id"), season.alias("asked"), "source", "relation", "target", F.coalesce("season", F.lit("")).alias("season"))
-        first = F.when(F.col("asked").isNotNull() & (F.col("season") == F.col("asked")), 0).otherwise(1)
-        part = found.orderBy(first, "relation", "target", "source", "season").limit(limit)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = rows.limit(0).select(F.lit("").alias("request_id"), F.lit(None).cast("string").alias("asked"), "source", "relation", "target", "season")
-    return _back(requests, distinct, _ranked(out, limit))
+    distinct = written(distinct.withColumn("request_id", F.sha2(F.to_json(F.struct("season", "keywords")), 256)), "requests")
+    asked = distinct.select("request_id", F.col("season").alias("asked"), "keywords")
+    rows = _edge_rows(nodes, edges).withColumns({"n_name": F.col("source"), "m_name": F.col("target")})
+    blocks, found = max(1, -(-distinct.count() // block)), None
+    for b in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == b)
+        part = rows.join(F.broadcast(own), _fits(F.col("asked"), F.col("keywords")))
+        part = _ranked(part.select("request_id", "asked", "source", "relation", "target", F.coalesce("season", F.lit("")).alias("season")), limit)
+        found = part if found is None else found.unionByName(part)
+    return _back(requests, distinct, found)
 
 
 def _back(requests: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import config as C
 from ..functions import text as X
+from ..sources.scratch import written
 
 #: Names that a dictionary may have to be matched name by name.
 FEW_NAMES = 300
@@ -60,51 +63,69 @@ def _by_name(docs: DataFrame, names: list) -> DataFrame:
 _FOUND = "array<struct<start:int,short:int,pos:bigint,name:string,label:string>>"
 
 
+class _Names:
+    """Names on their way to the workers, each of which builds the automaton once."""
+
+    def __init__(self, listed: list[tuple]):
+        self.listed, self._automaton = listed, None
+
+    def __getstate__(self):
+        return {"listed": self.listed, "_automaton": None}
+
+    def places(self, text: str | None) -> list[dict]:
+        """Where each name first occurs."""
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for name, label, pos in self.listed:
+                self._automaton.add_word(name, (len(name), pos, name, label))
+            self._automaton.make_automaton()
+        first: dict = {}
+        for last, hit in self._automaton.iter(text or ""):
+            first.setdefault(hit, last - hit[0] + 2)
+        return [{"start": at, "short": -n, "pos": pos, "name": name, "label": label} for (n, pos, name, label), at in first.items()]
+
+
 def _by_automaton(docs: DataFrame, names: list) -> DataFrame:
     """One Aho-Corasick pass over each text finds all names."""
-    import ahocorasick
-
-    listed = [(r.name, r.label, r.pos) for r in names]
+    shared = docs.sparkSession.sparkContext.broadcast(_Names([(r.name, r.label, r.pos) for r in names]))
 
     @F.pandas_udf(_FOUND)
-    def find(texts: pd.Series) -> pd.Series:
-        automaton = ahocorasick.Automaton()
-        for name, label, pos in listed:
-            automaton.add_word(name, (len(name), pos, name, label))
-        if listed:
-            automaton.make_automaton()
-
-        def places(text: str) -> list[dict]:
-            first: dict = {}
-            if listed:
-                for last, hit in automaton.iter(text or ""):
-                    first.setdefault(hit, last - hit[0] + 2)
-            return [{"start": at, "short": -n, "pos": pos, "name": name, "label": label} for (n, pos, name, label), at in first.items()]
-
-        return pd.Series([places(t) for t in texts])
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shared.value.places(t) for t in texts], dtype=object)
 
     return docs.withColumn("_found", find("context"))
 
 
+def with_names(docs: DataFrame, dictionary: DataFrame, method: str = "auto", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Adds _all, where each dictionary name (name, label, pos) first occurs in the
+    context. method names looks for few names one by one with SQL functions, automaton
+    for any number in one pass; auto decides by their number. Names come in blocks of a
+    bounded size, one after the other; with more than one, what each finds is a table in
+    the shared folder before the next is loaded."""
+    size = dictionary.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("chars")).first()
+    few = method == "names" or (method == "auto" and size.n <= FEW_NAMES)
+    blocks = 1 if few else max(1, -(-size.chars // block_chars))
+    out = docs.withColumn("_all", F.expr(f"cast(array() as {_FOUND})"))
+    for b in range(blocks):
+        names = dictionary.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).select("name", "label", F.col("pos").cast("long").alias("pos")).collect()
+        if names:
+            out = (_by_name if few else _by_automaton)(out, names).withColumn("_all", F.concat("_all", "_found")).drop("_found")
+            out = written(out, "named") if b + 1 < blocks else out
+    return out
+
+
 def link_mentions(docs: DataFrame, dictionary: DataFrame, method: str = "auto", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, season, context, entities array<struct<name,label>>) of documents (id,
     season, context) that hold a dictionary name.
 
     Each name counts once, by where it first occurs; of names that start together the
     longer comes first, then the dictionary's order. Names within names stay. A null
-    season is unknown. method names looks for few names one by one with SQL functions,
-    automaton for any number in one pass, in blocks of names of a bounded size; auto
-    decides by their number. Documents are never shuffled.
+    season is unknown. Documents are never shuffled; see with_names for the methods.
     """
-    size = dictionary.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("chars")).first()
-    few = method == "names" or (method == "auto" and size.n <= FEW_NAMES)
     own = docs.filter(F.col("context") != "").select("id", F.coalesce("season", F.lit(C.UNKNOWN_SEASON)).alias("season"), "context")
-    blocks = 1 if few else max(1, -(-size.chars // block_chars))
-    found = F.expr(f"cast(array() as {_FOUND})")
-    out = own.withColumn("_all", found)
-    for b in range(blocks):
-        names = dictionary.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).select("name", "label", F.col("pos").cast("long").alias("pos")).collect()
-        if names:
-            out = (_by_name if few else _by_automaton)(out, names).withColumn("_all", F.concat("_all", "_found")).drop("_found")
+    out = with_names(own, dictionary, method, block_chars).filter(F.size("_all") > 0)
     ordered = F.transform(F.array_sort("_all"), lambda p: F.struct(p["name"].alias("name"), p["label"].alias("label")))
-    return out.filter(F.size("_all") > 0).select("id", "season", "context", ordered.alias("entities"))
+    return out.select("id", "season", "context", ordered.alias("entities"))

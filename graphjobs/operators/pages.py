@@ -82,11 +82,12 @@ def html_main_text(html: Column) -> Column:
 
 
 def filter_urls(pages: DataFrame, url: str = "url", pos: str = "pos") -> DataFrame:
-    """Rows with a URL that starts with http, each URL once, where it came first. Only
-    positions are grouped, the rows follow by a semi-join on them."""
+    """Rows with a URL that starts with http, each URL once, where it came first; of rows
+    with equal URL and place the least one. One aggregation moves each row once at most."""
     web = pages.filter(F.col(url).startswith("http"))
-    first = web.groupBy(F.col(url).alias("_url")).agg(F.min(pos).alias("_pos"))
-    return web.join(first, (F.col(url) == F.col("_url")) & (F.col(pos) == F.col("_pos")), "left_semi").dropDuplicates([url])
+    rest = [c for c in pages.columns if c not in (url, pos)]
+    first = web.groupBy(url).agg(F.min_by(F.struct(pos, *rest), F.struct(pos, F.xxhash64(*rest) if rest else F.lit(0))).alias("_first"))
+    return first.select(*[F.col(url) if c == url else F.col(f"_first.{c}") for c in pages.columns])
 
 
 def pages_to_articles(pages: DataFrame, min_chars: int = 100, limit: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import config as C
 from ..functions import text as X
 from ..sources.scratch import written
 from . import analytics
-from .mentions import FEW_NAMES, _by_automaton, _by_name
+from .mentions import with_names
 
 MAX_MATCHED, MAX_PATH_ROWS = 12, 40
 PATH, INVALID = "关系路径", "无效提问"
@@ -88,9 +88,8 @@ def link_question(questions: DataFrame, lexicon: DataFrame, cap: int = MAX_MATCH
     then the terms in calendar order and the words of the fixed groups, each once."""
     names = lexicon.select("name", "label", F.col("pos").cast("long").alias("pos"))
     rows = questions.withColumn("context", X.strip(F.coalesce("question", F.lit(""))))
-    found = names.limit(FEW_NAMES + 1).collect()
-    rows = _by_name(rows, found) if len(found) <= FEW_NAMES else _by_automaton(rows, names.collect())
-    by_length = F.array_sort(F.transform("_found", lambda p: F.struct(p["short"].alias("short"), p["pos"].alias("pos"), p["name"].alias("name"), p["label"].alias("label"))))
+    rows = with_names(rows, names)
+    by_length = F.array_sort(F.transform("_all", lambda p: F.struct(p["short"].alias("short"), p["pos"].alias("pos"), p["name"].alias("name"), p["label"].alias("label"))))
     listed = F.transform(F.slice(by_length, 1, cap), lambda p: F.struct(p["name"].alias("name"), p["label"].alias("label")))
     fixed = [(t, "SolarTerm") for t in C.TERMS] + [(w, g) for g, words in C.QUESTION_GROUPS for w in words]
     more = F.filter(_pairs(fixed), lambda p: F.contains(F.col("context"), p["name"]))
