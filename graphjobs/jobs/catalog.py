@@ -354,12 +354,12 @@ def entity_neighbors(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 = 0")
-    other = F.concat(F.lit("Customer#"), F.lpad(((F.col("c_custkey") * 7 + 6) % 600).cast("string"), 9, "0"))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    other = F.concat(F.lit("Customer#"), F.lpad(((F.col("c_custkey") * 7 + 6) % F.lit(customers.count())).cast("string"), 9, "0"))
     return customers.select(F.col("c_custkey").alias("pair_id"), F.col("c_name").alias("src"), other.alias("dst"))
 
 
-@query(f"""{_BOTH}, pairs AS (SELECT c_custkey AS pair_id, c_name AS src, 'Customer#' || lpad(CAST((c_custkey * 7 + 6) % 600 AS VARCHAR), 9, '0') AS dst FROM customer WHERE c_custkey % 3 = 0),
+@query(f"""{_BOTH}, pairs AS (SELECT c_custkey AS pair_id, c_name AS src, 'Customer#' || lpad(CAST((c_custkey * 7 + 6) % (SELECT count(*) FROM customer) AS VARCHAR), 9, '0') AS dst FROM customer),
     -- customers hang on nations only, and nations on regions: one step within a nation, else over the region
     home AS (SELECT c_name, src_id AS c, dst_id AS n FROM edges JOIN customer ON src_id = 'C' || CAST(c_custkey AS VARCHAR) WHERE rel_type = 'located_in'),
     region_of AS (SELECT src_id AS n, dst_id AS r FROM edges WHERE rel_type = 'part_of')

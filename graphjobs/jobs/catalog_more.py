@@ -103,18 +103,19 @@ def drop_generic_relations(spark, sf_dir):
 
 
 _FENCE = "```"
-_RESPONSES = ('{"a": 1}', f'x {_FENCE}json\n{{"b": [1]}}\n{_FENCE}', 'say {"c": "}"} so', "[1, 2]", "nothing", f'{_FENCE}json\n[["a", "r", "b"]]\n{_FENCE}', f'{_FENCE}\n[]\n{_FENCE}')
-_OBJECTS = ('{"a": 1}', '{"b": [1]}', '{"c": "}"}', "", "", "", "")
-_LISTS = ("[]", "[]", "[]", "[1, 2]", "[]", '[["a", "r", "b"]]', "[]")
+#: Kinds of responses, with @ for a text of the row.
+_RESPONSES = ('{"a": "@"}', f'x {_FENCE}json\n{{"b": ["@"]}}\n{_FENCE}', 'say {"c": "}@"} so', '["@", 2]', "nothing @", f'{_FENCE}json\n[["@", "r", "b"]]\n{_FENCE}', f'{_FENCE}\n[]\n{_FENCE}@')
+_OBJECTS = ('{"a": "@"}', '{"b": ["@"]}', '{"c": "}@"}', "", "", "", "")
+_LISTS = ("[]", "[]", "[]", '["@", 2]', "[]", '[["@", "r", "b"]]', "[]")
 
 
 def _responses(spark, sf_dir) -> DataFrame:
     text = F.element_at(F.array(*map(F.lit, _RESPONSES)), (F.col("row_no") % 7 + 1).cast("int"))
-    return _rows(spark, sf_dir).select("row_no", text.alias("response"))
+    return _rows(spark, sf_dir).select("row_no", F.replace(text, F.lit("@"), F.col("source")).alias("response"))
 
 
 def _case(values) -> str:
-    return f"([{S.listed(values)}])[CAST(row_no % 7 + 1 AS INT)]"
+    return f"replace(([{S.listed(values)}])[CAST(row_no % 7 + 1 AS INT)], '@', source)"
 
 
 @query(f"{_REL} SELECT row_no, {_case(_OBJECTS)} AS parsed FROM relations")

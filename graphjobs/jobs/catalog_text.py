@@ -228,14 +228,14 @@ def relation_types(spark, sf_dir):
 
 
 _DICTIONARY = """words AS (SELECT item_id, string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ') AS w FROM benchmark),
-    dictionary AS (SELECT name, min(pos) AS pos, 'L' || CAST(length(name) % 3 AS VARCHAR) AS label FROM (SELECT item_id * 10 + i AS pos, w[i] AS name FROM words, unnest(range(1, 4)) AS r(i)) WHERE length(name) >= 4 GROUP BY name)"""
+    dictionary AS (SELECT name, min(pos) AS pos, 'L' || CAST(length(name) % 3 AS VARCHAR) AS label FROM (SELECT item_id * 100000 + i AS pos, w[i] AS name FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)) WHERE length(name) >= 4 GROUP BY name)"""
 
 
 def _dictionary(spark, sf_dir) -> DataFrame:
-    words = F.slice(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), 1, 3)
+    words = F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " ")
     rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.posexplode(words).alias("i", "name")).filter(F.length("name") >= 4)
-    rows = rows.groupBy("name").agg(F.min(F.col("item_id") * 10 + F.col("i") + 1).alias("pos"))
-    return rows.select("name", F.concat(F.lit("L"), (F.length("name") % 3).cast("string")).alias("label"), "pos")
+    rows = rows.groupBy("name").agg(F.min(F.col("item_id") * 100000 + F.col("i") + 1).alias("pos"), F.countDistinct("item_id").alias("items"))
+    return rows.select("name", F.concat(F.lit("L"), (F.length("name") % 3).cast("string")).alias("label"), "pos", "items")
 
 
 def _contexts(spark, sf_dir) -> DataFrame:
@@ -252,12 +252,18 @@ _LINKED = f"""WITH {_DICTIONARY}, found AS (SELECT doc_id AS id, CASE WHEN doc_i
 
 @query(_LINKED)
 def link_mentions(spark, sf_dir):
-    return _entities_flat(mentions.link_mentions(_contexts(spark, sf_dir), _dictionary(spark, sf_dir), "automaton", block_chars=600)).drop("context")
+    return _entities_flat(mentions.link_mentions(_contexts(spark, sf_dir), _dictionary(spark, sf_dir), "automaton", block_chars=4000)).drop("context")
 
 
-@query(_LINKED)
+# the SQL of the names' method is for few names: here words of a twentieth of the items
+_COMMON = """dictionary AS (SELECT * FROM every WHERE items * 20 >= (SELECT count(*) FROM benchmark))"""
+
+
+@query(_LINKED.replace("dictionary AS", "every AS", 1).replace(", found AS", f", {_COMMON}, found AS", 1).replace("SELECT name, min(pos) AS pos,", "SELECT name, min(pos) AS pos, count(DISTINCT pos // 100000) AS items,", 1))
 def link_mentions_by_name(spark, sf_dir):
-    return _entities_flat(mentions.link_mentions(_contexts(spark, sf_dir), _dictionary(spark, sf_dir), "names")).drop("context")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
+    common = _dictionary(spark, sf_dir).filter(F.col("items") * 20 >= items)
+    return _entities_flat(mentions.link_mentions(_contexts(spark, sf_dir), common, "names")).drop("context")
 
 
 # --- extraction --------------------------------------------------------------------
@@ -266,14 +272,14 @@ def link_mentions_by_name(spark, sf_dir):
 def _linked(spark, sf_dir) -> DataFrame:
     """Mentions in the order in which names occur, from the reply turns' words."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'assistant'")
-    words = F.slice(F.array_distinct(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " +")), 1, 80)
+    words = F.array_distinct(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " +"))
     entities = F.transform(words, lambda w: F.struct(w.alias("name"), F.concat(F.lit("L"), (F.length(w) % 3).cast("string")).alias("label")))
     season = F.when(F.col("conv_id") % 2 == 0, F.get(words, F.lit(3))).otherwise(F.lit(C.UNKNOWN_SEASON))
     return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.coalesce(season, F.lit(C.UNKNOWN_SEASON)).alias("season"), F.col("text").alias("context"), entities.alias("entities"))
 
 
 _MENTIONED = """WITH rows AS (SELECT conv_id * 100 + turn AS id, conv_id, text AS context, string_split_regex(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +') AS s FROM conversations WHERE role = 'assistant'),
-    uniq AS (SELECT id, conv_id, context, list_filter(s, lambda x, i: list_position(s, x) = i)[1:80] AS w FROM rows),
+    uniq AS (SELECT id, conv_id, context, list_filter(s, lambda x, i: list_position(s, x) = i) AS w FROM rows),
     seasons AS (SELECT *, CASE WHEN conv_id % 2 = 0 AND len(w) >= 4 THEN w[4] ELSE '未知' END AS season FROM uniq),
     moved AS (SELECT *, CASE WHEN season <> '未知' THEN list_concat([season], list_filter(w, lambda x: x <> season)) ELSE w END AS m FROM seasons WHERE len(w) >= 2 AND length(context) >= 5),
     picked AS (SELECT id, season, context, CASE WHEN len(m) > 60 THEN list_transform(list_sort(list_transform(m, lambda x, i: {'s': -length(x), 'i': i, 'x': x}))[1:60], lambda k: k.x) ELSE m END AS c FROM moved)"""

@@ -23,6 +23,11 @@ QUESTIONS = (
 )
 
 
+#: Characters of a page of boxes; a document has as many pages as its text fills.
+PAGE_CHARS = 240
+_NUMBERED = "(SELECT doc_id, unnest(range(length(text))) AS n, unnest(string_split(text, '')) AS text FROM documents WHERE text <> '')"
+
+
 def text_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -53,7 +58,7 @@ def _sql(engine: str) -> dict[str, str]:
             UNION ALL SELECT 'V' || CAST(s_suppkey AS STRING), replace(s_name, '#', ' # '), {array("'Organization'")} FROM {{supplier}} WHERE s_suppkey % 15 = 0
             UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), n_name, {array("'Location'")} FROM {{nation}}
             UNION ALL SELECT 'R' || CAST(r_regionkey AS STRING), r_name, {array("'Location'")} FROM {{region}}
-            UNION ALL SELECT 'C' || CAST(c_custkey AS STRING), c_name, {array("'Person'")} FROM {{customer}} WHERE c_custkey % 3 = 0
+            UNION ALL SELECT 'C' || CAST(c_custkey AS STRING), c_name, {array("'Person'")} FROM {{customer}}
             UNION ALL SELECT 'T' || CAST(r_regionkey AS STRING), {pick(C.TERMS, 'r_regionkey * 3')}, {array("'SolarTerm'")} FROM {{region}}
             UNION ALL SELECT 'P' || CAST(p_partkey AS STRING), p_name || ' ' || CAST(p_partkey AS STRING), {array("'FoodHerb'")} FROM {{part}}""",
         "edges": f"""SELECT 'Q' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS edge_id,
@@ -62,18 +67,18 @@ def _sql(engine: str) -> dict[str, str]:
             UNION ALL SELECT 'L' || CAST(s_suppkey AS STRING), 'S' || CAST(s_suppkey AS STRING), 'N' || CAST(s_nationkey AS STRING), 'located_in', '位于', NULL FROM {{supplier}}
             UNION ALL SELECT 'B' || CAST(n_nationkey AS STRING), 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING), 'part_of', '属于', '' FROM {{nation}}
             UNION ALL SELECT 'O' || CAST(s_suppkey AS STRING), 'S' || CAST(s_suppkey AS STRING), 'S' || CAST(s_suppkey AS STRING), 'knows', '认识', '冬至' FROM {{supplier}} WHERE s_suppkey % 7 = 0
-            UNION ALL SELECT 'W' || CAST(c_custkey AS STRING), 'C' || CAST(c_custkey AS STRING), 'N' || CAST(c_nationkey AS STRING), 'located_in', '位于', '立春' FROM {{customer}} WHERE c_custkey % 6 = 0
+            UNION ALL SELECT 'W' || CAST(c_custkey AS STRING), 'C' || CAST(c_custkey AS STRING), 'N' || CAST(c_nationkey AS STRING), 'located_in', '位于', '立春' FROM {{customer}}
             UNION ALL SELECT 'T' || CAST(r_regionkey AS STRING), 'T' || CAST(r_regionkey AS STRING), 'R' || CAST(r_regionkey AS STRING), 'suits', '宜', '立春' FROM {{region}} WHERE r_regionkey < 3""",
         "graph_entities": """SELECT s_name AS name, 'Organization' AS label FROM {supplier} UNION ALL SELECT s_name, 'Person' FROM {supplier} WHERE s_suppkey % 10 = 0
             UNION ALL SELECT n_name, 'Location' FROM {nation} UNION ALL SELECT p_name || ' ' || CAST(p_partkey AS STRING), 'FoodHerb' FROM {part}""",
         "graph_relations": f"""SELECT s_name AS source, p_name || ' ' || CAST(p_partkey AS STRING) AS target, {pick(('宜 食', '宜-食', '供应'), 'l_linenumber')} AS type,
                 {pick(C.TERMS, 'month(l_shipdate) * 2')} AS season, l_orderkey * 1000000 + l_partkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS row_no
             FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{part}} ON l_partkey = p_partkey""",
-        "questions": f"""SELECT conv_id * 100 + turn AS question_id, {pick(QUESTIONS, 'conv_id + turn')} || CASE WHEN conv_id % 4 = 0 THEN ' ' || substr(text, 1, 20) ELSE '' END AS question
+        "questions": f"""SELECT conv_id * 100 + turn AS question_id, {pick(QUESTIONS, 'conv_id + turn')} || CASE WHEN conv_id % 4 = 0 THEN ' ' || text ELSE '' END AS question
             FROM {{conversations}} WHERE role = 'user'""",
-        "char_boxes": """SELECT 'doc' || CAST(CAST(floor(doc_id / 5) AS BIGINT) AS STRING) AS doc, CAST(doc_id % 5 AS INT) AS page, CAST(p AS BIGINT) AS pos,
-                CAST((p * 37) % 60 * 5 + CASE WHEN (p * 37) % 60 >= 30 THEN 200 ELSE 0 END AS DOUBLE) AS x0, CAST(floor(p / 7) * 2.5 AS DOUBLE) AS top,
-                substr(text, p, 1) AS text, CAST(600 AS DOUBLE) AS page_width FROM {numbered} WHERE substr(text, p, 1) <> ''""",
+        "char_boxes": f"""SELECT doc, page, CAST(p AS BIGINT) AS pos, CAST((p * 37) % 60 * 5 + CASE WHEN (p * 37) % 60 >= 30 THEN 200 ELSE 0 END AS DOUBLE) AS x0,
+                CAST(floor(p / 7) * 2.5 AS DOUBLE) AS top, text, CAST(600 AS DOUBLE) AS page_width
+            FROM (SELECT 'doc' || CAST(doc_id AS STRING) AS doc, CAST(floor(n / {PAGE_CHARS}) AS INT) AS page, n % {PAGE_CHARS} + 1 AS p, text FROM {{numbered}}) AS c""",
     }
 
 
@@ -84,8 +89,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture as a DataFrame."""
     text = _sql("spark")[name]
     if name == "char_boxes":
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-        return spark.sql(text, numbered=docs.selectExpr("doc_id", "text", "explode(sequence(1, 240)) AS p"))
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        return spark.sql(text, numbered=docs.selectExpr("doc_id", "posexplode(split(text, '')) AS (n, text)").filter("text <> ''"))
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(_TABLES.findall(text))}
     return spark.sql(text, **tables)
 
@@ -94,6 +99,6 @@ def cte(*names: str) -> str:
     """WITH clauses that name the fixtures for DuckDB."""
     out = []
     for n in names:
-        text = _sql("duckdb")[n].replace("{numbered}", "(SELECT doc_id, text, unnest(range(1, 241)) AS p FROM documents)")
+        text = _sql("duckdb")[n].replace("{numbered}", _NUMBERED)
         out.append(f"{n} AS ({_TABLES.sub(r'\1', text)})")
     return "WITH " + ",\n".join(out)
