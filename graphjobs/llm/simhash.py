@@ -5,6 +5,10 @@ bits agree on b - d whole blocks at least, so a join on every choice of b - d bl
 finds each close pair; the Hamming distance then verifies it. With b = 5 and d = 3 a
 key has about 26 bits: random fingerprints seldom meet, unlike on single 16-bit
 blocks, where the work would grow with the square of the rows.
+
+Three bits of 64 link texts that hardly differ. To find texts whose shingles have a
+similarity of 0.8, keep_one takes several fingerprints of a text, joins on two of six
+blocks of any of them and verifies the distance over all their bits.
 """
 
 from __future__ import annotations
@@ -23,6 +27,14 @@ from .common import broadcast_if_small, written
 #: Shingles whose bits are counted at once, so that one very long text stays small.
 CHUNK = 1 << 15
 
+#: Fingerprints of a text in keep_one, their blocks, and the differing bits of all their
+#: 384 up to which texts link: at a similarity of 0.8 a bit differs with 0.15, so that 58
+#: are expected and 68 passed by one pair in twelve.
+SIGNATURES, WIDE_BLOCKS, WIDE_DISTANCE = 6, 6, 68
+#: Differing bits of one more fingerprint up to which rows of a bucket go on to the full
+#: comparison, and the bucket's size from which all do.
+SKETCH_DISTANCE, UNCHECKED = 22, 256
+
 
 #: Odd numbers that mix a shingle's hash into those of further signatures.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
@@ -83,17 +95,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """(fingerprint, least fingerprint of its component) among one cell's members."""
-    fps = np.unique(fps)
-    bits = fps.view(np.uint64)
-    root = np.arange(len(fps))
-    near = []
-    for at in range(0, len(fps), 256):
-        close = np.bitwise_count(bits[at : at + 256, None] ^ bits[None, :]) <= distance
-        i, j = np.nonzero(close)
-        keep = i + at < j
-        near.append(np.stack([i[keep] + at, j[keep]]))
+def _roots(near, n: int) -> np.ndarray:
+    """The least number of each one's component; near lists linked numbers."""
+    root = np.arange(n)
     a, b = np.concatenate(near, axis=1)
     while len(a):
         # only roots are hooked, and all nodes point at roots again before edges go
@@ -103,6 +107,26 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
             root = root[root]
         rest = root[a] != root[b]
         a, b = a[rest], b[rest]
+    return root
+
+
+def _near(bits: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Numbers of the rows of bits (64 in a word) that differ in few bits, lower first."""
+    near = []
+    for at in range(0, len(bits), 256):
+        far = np.zeros((len(bits[at : at + 256]), len(bits)), dtype=np.uint16)
+        for word in bits.T:
+            far += np.bitwise_count(word[at : at + 256, None] ^ word[None, :])
+        i, j = np.nonzero(far <= distance)
+        keep = i + at < j
+        near.append(np.stack([i[keep] + at, j[keep]]))
+    return near
+
+
+def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """(fingerprint, least fingerprint of its component) among one cell's members."""
+    fps = np.unique(fps)
+    root = _roots(_near(fps.view(np.uint64)[:, None], distance), len(fps))
     own = np.nonzero(root != np.arange(len(fps)))[0]
     return list(zip(fps[own].tolist(), fps[root[own]].tolist()))
 
@@ -203,41 +227,129 @@ def _row_places(docs: DataFrame) -> DataFrame:
     return own.withColumn("_file", F.xxhash64("_file"))
 
 
-def linked_rows(rows: DataFrame, signatures: int, distance: int, blocks: int) -> DataFrame:
-    """(_sigs, root) of the distinct lists of signatures: lists are linked if one of their
-    signatures is close to the other's of the same number. A list goes by its 64-bit
+def _words_of(sigs: pd.Series) -> np.ndarray:
+    """The fingerprints of packed lists, a row for each."""
+    return np.frombuffer(b"".join(sigs), dtype=np.uint64).reshape(len(sigs), -1)
+
+
+def block_rows(groups: DataFrame, blocks: int = WIDE_BLOCKS) -> DataFrame:
+    """(key, node, sketch) of (node, sigs): a key for each choice of two blocks of each
+    fingerprint, with the next fingerprint."""
+    masks = block_masks(blocks, blocks - 2)
+
+    def deal(batches):
+        for batch in batches:
+            words, node = _words_of(batch["sigs"]), batch["node"].to_numpy()
+            for k in range(words.shape[1]):
+                sketch = words[:, (k + 1) % words.shape[1]].view(np.int64)
+                for n, m in enumerate(masks):
+                    key = _mixed((words[:, k] & np.uint64(m)) ^ np.uint64(k * len(masks) + n << 57), 1).view(np.int64)
+                    yield pd.DataFrame({"key": key, "node": node, "sketch": sketch})
+
+    return groups.select("node", "sigs").mapInPandas(deal, "key long, node long, sketch long")
+
+
+def with_partners(rows: DataFrame, distance: int = SKETCH_DISTANCE, unchecked: int = UNCHECKED) -> DataFrame:
+    """(key, node) of the rows whose bucket holds one with a sketch near their own; all
+    rows of buckets beyond `unchecked`. A task streams its buckets in order and keeps that
+    many rows at most."""
+
+    def emit(key, node, sketch, opened):
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
+        out = (size > unchecked) | ((key == opened) if opened is not None else False)
+        later = np.flatnonzero(~out & (size > 1))
+        for d in range(1, unchecked):
+            later = later[later >= d]
+            later = later[key[later] == key[later - d]]
+            if not len(later):
+                break
+            hit = later[np.bitwise_count((sketch[later] ^ sketch[later - d]).view(np.uint64)) <= distance]
+            out[hit] = out[hit - d] = True
+        return pd.DataFrame({"key": key[out], "node": node[out]})
+
+    def meet(batches):
+        kept, opened = [np.zeros(0, dtype=np.int64)] * 3, None
+        for batch in batches:
+            key, node, sketch = (np.concatenate([k, batch[c].to_numpy(np.int64)]) for k, c in zip(kept, ("key", "node", "sketch")))
+            if not len(key):
+                continue
+            # the last bucket may go on
+            start = int(np.argmax(key == key[-1]))
+            if len(key) - start > unchecked or key[-1] == opened:
+                yield emit(key, node, sketch, opened)
+                opened, kept = key[-1], [np.zeros(0, dtype=np.int64)] * 3
+            else:
+                if start:
+                    yield emit(key[:start], node[:start], sketch[:start], opened)
+                kept = [key[start:], node[start:], sketch[start:]]
+        if len(kept[0]):
+            yield emit(*kept, opened)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "key long, node long")
+
+
+def wide_links(groups: DataFrame, distance: int = WIDE_DISTANCE, blocks: int = WIDE_BLOCKS, cell: int = 512) -> DataFrame:
+    """Links (a, b) between nodes of groups (node, sigs) that share two blocks of a
+    fingerprint and differ in few bits of all: a spanning forest of each bucket's cell, as
+    in close_links."""
+    met = written(with_partners(block_rows(groups, blocks)), "simhash-met")
+    sizes = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    cells = (
+        met.join(sizes, "key")
+        .withColumn("slices", F.ceil(F.col("n") / cell))
+        .withColumn("own", F.pmod(F.hash("node"), F.col("slices")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        .join(groups, "node")
+        .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .agg(F.collect_list(F.struct("node", "sigs")).alias("c"))
+        .select(F.col("c.node").alias("nodes"), F.col("c.sigs").alias("sigs"))
+    )
+
+    def link(batches):
+        for batch in batches:
+            out = []
+            for nodes, sigs in zip(batch["nodes"], batch["sigs"]):
+                root = _roots(_near(_words_of(sigs), distance), len(nodes))
+                own = np.flatnonzero(root != np.arange(len(nodes)))
+                out.append(np.stack([nodes[own], nodes[root[own]]]))
+            yield pd.DataFrame(np.concatenate(out, axis=1).T if out else np.zeros((0, 2)), columns=["a", "b"], dtype="int64")
+
+    return cells.mapInPandas(link, "a long, b long").filter("a != b").distinct()
+
+
+def linked_rows(rows: DataFrame, distance: int = WIDE_DISTANCE, blocks: int = WIDE_BLOCKS) -> DataFrame:
+    """(_sigs, root) of the distinct packed lists of fingerprints, which go by their 64-bit
     hash."""
     groups = written(rows.groupBy("sigs").agg(F.count("*")).select("sigs", F.xxhash64("sigs").alias("node")), "simhash-groups")
-    links = None
-    for k in range(signatures):
-        fps = groups.select(F.get("sigs", F.lit(k)).alias("fp"), "node")
-        least = written(fps.groupBy("fp").agg(F.min("node").alias("low")), "simhash-values")
-        same = fps.join(least, "fp").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-        near = close_links(least.select("fp"), distance, blocks)
-        near = near.join(least.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
-        own = written(same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))), "simhash-links")
-        links = own if links is None else links.unionByName(own)
-    roots = components(links)
+    roots = components(written(wide_links(groups, distance, blocks), "simhash-links"))
     named = groups.join(roots, "node", "left")
     return written(named.select(F.col("sigs").alias("_sigs"), F.coalesce("root", "node").alias("root")), "simhash-roots")
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, blocks: int = 5, signatures: int = 4, most: int = 2_000_000
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    signatures: int = SIGNATURES,
+    distance: int = WIDE_DISTANCE,
+    blocks: int = WIDE_BLOCKS,
+    most: int = 2_000_000,
 ) -> DataFrame:
     """One row of each component of near copies: that with the least doc_id, rows without
     one last, and of equals the first by the text's hash and place.
 
-    A near copy may miss the distance under one fingerprint by chance, so `signatures`
-    of them are taken and a link under any counts. Equal ids with different texts are
-    judged row by row. Rows are told apart by file and number; up to `most` that go are
-    broadcast, so that the texts are filtered where they lie, and more are joined.
+    Texts link if they share two blocks of one of their fingerprints and differ in at most
+    `distance` bits of all. Equal ids with different texts are judged row by row. Rows are
+    told apart by file and number; up to `most` that go are broadcast, so that the texts
+    are filtered where they lie, and more are joined.
     """
     own = _row_places(docs)
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("binary")
     def signed(texts: pd.Series) -> pd.Series:
-        return pd.Series([signatures_of(t, words, signatures) for t in texts])
+        return pd.Series([np.array(signatures_of(t, words, signatures), dtype=np.int64).tobytes() for t in texts], dtype=object)
 
     def signed_rows(own: DataFrame) -> DataFrame:
         return written(own.select(F.col(id_col).alias("doc_id"), signed(text_col).alias("sigs"), F.xxhash64(text_col).alias("hash"), "_file", "_at"), "simhash")
@@ -247,7 +359,7 @@ def keep_one(
         # a row of a file became several on the way here
         own = _row_places(written(docs, "simhash-docs"))
         rows = signed_rows(own)
-    found = linked_rows(rows, signatures, distance, blocks)
+    found = linked_rows(rows, distance, blocks)
     joined = rows.join(found, rows["sigs"] == found["_sigs"])
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "_file", "_at")
     kept = written(joined.groupBy("root").agg(F.min(order).alias("k")).select("k._file", "k._at"), "simhash-kept")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from graphjobs.llm import simhash
 
 
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+EDGES = (0, 11, 21, 32, 43, 53, 64)
 
 
 def mixed(h, n):
@@ -19,8 +20,19 @@ def mixed(h, n):
     return h
 
 
-def brute(rows, words=3, distance=3, signatures=1):
-    """(id, fingerprint, component) of each row, sorted; links by any of the signatures."""
+def linked(x, y):
+    """Two of six blocks of a fingerprint agree, the next one is near, and all of them."""
+    far = [a ^ b for a, b in zip(x, y)]
+    if len(far) == 1:
+        return far[0].bit_count() <= 3
+    if sum(f.bit_count() for f in far) > 68:
+        return False
+    alike = [sum(f >> a & (1 << b - a) - 1 == 0 for a, b in zip(EDGES, EDGES[1:])) for f in far]
+    return any(n >= 2 and far[(k + 1) % len(far)].bit_count() <= 22 for k, n in enumerate(alike))
+
+
+def brute(rows, words=3, signatures=1):
+    """(id, fingerprint, component) of each row, sorted."""
     out, all_fps = [], []
     for doc_id, text in rows:
         t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
@@ -43,7 +55,7 @@ def brute(rows, words=3, distance=3, signatures=1):
 
     for i in range(n):
         for j in range(i):
-            if any(bin(x ^ y).count("1") <= distance for x, y in zip(all_fps[i], all_fps[j])):
+            if linked(all_fps[i], all_fps[j]):
                 root[find(i)] = find(j)
     best = {}
     for i, (d, _) in enumerate(out):
@@ -124,7 +136,7 @@ def test_keep_one_of_rows_that_share_a_file_row(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     twice = docs.select("doc_id", F.explode(F.array("text", F.concat(F.lit("quite another beginning "), F.reverse("text")))).alias("text"))
     rows = [tuple(r) for r in twice.collect()]
-    want = brute([(n, t) for n, (_, t) in enumerate(rows)], signatures=4)
+    want = brute([(n, t) for n, (_, t) in enumerate(rows)], words=5, signatures=6)
     assert simhash.keep_one(twice).count() == len({c for _, _, c in want})
     assert simhash.keep_one(docs, most=0).count() == simhash.keep_one(docs).count()
 
@@ -139,3 +151,57 @@ def test_keep_one_goes_by_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
+
+
+def similarity(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def near_copies(n=300, seed=5):
+    """(text, copy, similarity of five-word shingles) with words replaced or a passage lost."""
+    rng = random.Random(seed)
+    vocab = ["w%d" % i for i in range(5000)]
+    out = []
+    for i in range(n):
+        text = rng.choices(vocab, k=rng.randint(120, 500))
+        copy = list(text)
+        if i % 4 == 3:
+            at = rng.randrange(len(copy))
+            del copy[at : at + int(len(copy) * rng.uniform(0, 0.2))]
+        else:
+            for at in rng.sample(range(len(copy)), int(len(copy) * rng.uniform(0, 0.035))):
+                copy[at] = rng.choice(vocab)
+        out.append((" ".join(text), " ".join(copy), similarity(text, copy)))
+    return out
+
+
+def test_keep_one_finds_copies_of_similarity_08(spark):
+    pairs = near_copies()
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * i for i in range(len(pairs))} <= kept
+    near = [2 * i + 1 not in kept for i, p in enumerate(pairs) if p[2] >= 0.8]
+    assert sum(near) >= 0.9 * len(near) and len(near) > 100
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        own = [2 * i + 1 not in kept for i, p in enumerate(pairs) if low <= p[2] < high]
+        print(low, len(own), sum(own) / len(own))
+    # half-alike texts stay apart
+    halves = [(i, " ".join(p[0].split()[: len(p[0].split()) // 2]) + " " + pairs[i - 1][1]) for i, p in enumerate(pairs)]
+    assert simhash.keep_one(spark.createDataFrame(halves, "doc_id long, text string")).count() == len(halves)
+
+
+def test_partners_of_hot_buckets_over_batches(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, k * 10_000 + i, int(rng.integers(-(2**62), 2**62))) for k, n in enumerate((3, 40, 2, 700, 1, 5000, 30)) for i in range(n)]
+    rows += [(k, r + 500_000, s ^ 7) for k, r, s in rows if r % 9 == 0]
+    own = {}
+    for k, r, s in rows:
+        own.setdefault(k, []).append((r, s))
+    want = {(k, r) for k, b in own.items() for r, s in b if len(b) > 64 or any(r != o and ((s ^ t) & (1 << 64) - 1).bit_count() <= 22 for o, t in b)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = simhash.with_partners(spark.createDataFrame(rows, "key long, node long, sketch long"), unchecked=64).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == sorted(want)
