@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, media, mixing, preference, secrets, simhash, toxicity, urlglobs, warc
-from .common import table
+from . import alignment, decontam, langid, media, mixing, preference, secrets, simhash, toxicity, urlglobs, warc
+from .common import table, written
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.digest(simhash.near_duplicates(docs))
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.scored(written(alignment.align(docs, keep_groups=False), "aligned"))
 
 
 def _spans_sql(rule: secrets.Rule, rank: int) -> str:
@@ -90,6 +93,7 @@ QUERIES = {
     "op8_preference": op8_preference,
     "op9_url_globs": op9_url_globs,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLES = {
