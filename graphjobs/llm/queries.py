@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, langid, media, mixing, preference, secrets, simhash, toxicity, urlglobs, warc
+from . import alignment, decontam, langid, media, mixing, preference, repair, secrets, simhash, toxicity, urlglobs, warc
 from .common import table, written
 
 
@@ -67,6 +67,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.scored(written(alignment.align(docs, keep_groups=False), "aligned"))
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.digest(repair.repair(repair.damaged(conversations)), conversations)
+
 
 def _spans_sql(rule: secrets.Rule, rank: int) -> str:
     """DuckDB: a list of the rule's spans in the text t, from the lengths of matches and
@@ -79,6 +83,72 @@ def _spans_sql(rule: secrets.Rule, rank: int) -> str:
         FROM (SELECT regexp_extract_all(t, '{regex}') AS m, string_split_regex(t, '{regex}') AS p))"""
 
 
+def _edit_sql(state: str, cost: str, letter: str, line: str = "''") -> str:
+    """DuckDB: a state after one more edit."""
+    return f"{{'c': {state}.c + {cost}, 'p': {state}.p || '{letter}', 'l': {state}.l || {line}}}"
+
+
+def _repair_sql() -> str:
+    """The fold as a recursion over the rows of a conversation; e, s, u and a are its states,
+    and insertions are tried before each row as well as at the end."""
+    user, assistant = (f"chr(10) || '{r}:'" for r in (repair.USER, repair.ASSISTANT))
+    stays, cost = "chr(10) || role || ':' || text", "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    never = "{'c': 1000000000, 'p': '', 'l': ''}"
+
+    def moved(own: str, before: str, letter: str, name: str) -> str:
+        kept = f"CASE WHEN initial = '{letter}' THEN {_edit_sql(before, cost, 'K', stays)} ELSE {_edit_sql(before, f'3 + {cost}', 'R', f'{name} || text')} END"
+        return f"CASE WHEN gone THEN {_edit_sql(own, '4', 'D')} ELSE least({_edit_sql(own, '4', 'D')}, {kept}) END"
+
+    return rf"""
+        WITH RECURSIVE crcs AS (
+            SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i)
+        ), fates AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+                                   lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295), 4294967295) % 20 AS fate
+            FROM conversations, crcs
+        ), turns AS (
+            SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                   CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM fates WHERE fate <> 0
+        ), placed AS (
+            SELECT *, role[1] AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+            FROM turns
+        ), told AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again THEN 'duplicate'
+                           WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+                   (lag(initial) OVER w) || initial AS steps
+            FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY n)
+        ), edits AS (
+            SELECT conv_id, n, role, text, initial, fault, fault IN ('blank', 'duplicate') AS gone FROM told
+        ), counts AS (
+            SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (steps NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM told GROUP BY conv_id
+        ), fold(conv_id, n, e, s, u, a) AS (
+            SELECT conv_id, CAST(0 AS BIGINT), {{'c': 0, 'p': '', 'l': ''}}, {never}, {never}, {never} FROM counts
+            UNION ALL
+            SELECT conv_id, n, {_edit_sql("e", "4", "D")},
+                   CASE WHEN gone OR initial <> 's' THEN {_edit_sql("s", "4", "D")} ELSE least({_edit_sql("s", "4", "D")}, {_edit_sql("e", cost, "K", stays)}) END,
+                   {moved("u1", "tu", "u", user)}, {moved("a1", "ta", "a", assistant)}
+            FROM (
+                SELECT *, least(e, s, a1) AS tu, u1 AS ta FROM (
+                    SELECT *, least(a, {_edit_sql("u1", "3", "I", assistant)}) AS a1 FROM (
+                        SELECT r.*, e, s, u, a, least(u, {", ".join(_edit_sql(x, "3", "I", user) for x in "esa")}) AS u1
+                        FROM fold f JOIN edits r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.n = f.n + 1)))
+        ), ended AS (
+            SELECT f.conv_id, least(e, a, {_edit_sql("u", "3", "I", assistant)}) AS best FROM fold f JOIN counts k ON f.conv_id IS NOT DISTINCT FROM k.conv_id AND f.n = k.n
+        )
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.p, '') AS audit, sha256(coalesce(substr(best.l, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i
+        LEFT JOIN counts k ON i.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN ended d ON i.conv_id IS NOT DISTINCT FROM d.conv_id
+    """
+
+
 _RULES = secrets.BASE_RULES + secrets.MORE_RULES
 _LISTED = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start || ':' || (s.start + s.n)), ',')"
 
@@ -94,6 +164,7 @@ QUERIES = {
     "op9_url_globs": op9_url_globs,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op12_repair": op12_repair,
 }
 
 ORACLES = {
@@ -193,4 +264,5 @@ ORACLES = {
             ELSE 'allow' END AS verdict
         FROM fits
     """,
+    "op12_repair": _repair_sql(),
 }
