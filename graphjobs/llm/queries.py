@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, langid, media, mixing, preference, repair, secrets, simhash, toxicity, urlglobs, warc
+from . import alignment, decontam, langid, media, mixing, preference, repair, secrets, simhash, toxicity, urlglobs, warc, weighted
 from .common import table, written
 
 
@@ -71,6 +71,9 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair.digest(repair.repair(repair.damaged(conversations)), conversations)
 
+def op13_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
 
 def _spans_sql(rule: secrets.Rule, rank: int) -> str:
     """DuckDB: a list of the rule's spans in the text t, from the lengths of matches and
@@ -117,8 +120,10 @@ def _repair_sql() -> str:
                    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
             FROM turns
         ), told AS (
-            SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN again THEN 'duplicate'
-                           WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again THEN 'duplicate'
+                           WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault,
                    (lag(initial) OVER w) || initial AS steps
             FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY n)
         ), edits AS (
@@ -165,6 +170,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
     "op12_repair": op12_repair,
+    "op13_weighted_fingerprints": op13_weighted_fingerprints,
 }
 
 ORACLES = {
