@@ -359,17 +359,26 @@ def _pairs(spark, sf_dir) -> DataFrame:
     return customers.select(F.col("c_custkey").alias("pair_id"), F.col("c_name").alias("src"), other.alias("dst"))
 
 
-@query(f"""{_BOTH}, pairs AS (SELECT c_custkey AS pair_id, c_name AS src, 'Customer#' || lpad(CAST((c_custkey * 7 + 6) % (SELECT count(*) FROM customer) AS VARCHAR), 9, '0') AS dst FROM customer),
-    -- customers hang on nations only, and nations on regions: one step within a nation, else over the region
-    home AS (SELECT c_name, src_id AS c, dst_id AS n FROM edges JOIN customer ON src_id = 'C' || CAST(c_custkey AS VARCHAR) WHERE rel_type = 'located_in'),
-    region_of AS (SELECT src_id AS n, dst_id AS r FROM edges WHERE rel_type = 'part_of')
-    SELECT pair_id, CAST(CASE WHEN a.n = b.n THEN 2 ELSE 4 END AS INTEGER) AS hops FROM pairs JOIN home a ON a.c_name = src JOIN home b ON b.c_name = dst
-    JOIN region_of p ON p.n = a.n JOIN region_of q ON q.n = b.n WHERE src <> dst AND (a.n = b.n OR p.r = q.r)""")
+#: Customers hang on nations only, and nations on regions, so each path is the only one of
+#: its length: over the nation of both, or over both nations and their region.
+_HOMES = f"""{_BOTH}, pairs AS (SELECT c_custkey AS pair_id, c_name AS src, 'Customer#' || lpad(CAST((c_custkey * 7 + 6) % (SELECT count(*) FROM customer) AS VARCHAR), 9, '0') AS dst FROM customer),
+    home AS (SELECT c_name, dst_id AS n, type, season FROM edges JOIN customer ON src_id = 'C' || CAST(c_custkey AS VARCHAR) WHERE rel_type = 'located_in'),
+    region_of AS (SELECT src_id AS n, dst_id AS r, type, season FROM edges WHERE rel_type = 'part_of'),
+    met AS (SELECT pair_id, src, dst, a.n AS na, b.n AS nb, p.r AS r, a.n = b.n AS near, a.type AS ta, a.season AS sa, b.type AS tb, b.season AS sb, p.type AS tp, p.season AS sp, q.type AS tq, q.season AS sq
+        FROM pairs JOIN home a ON a.c_name = src JOIN home b ON b.c_name = dst JOIN region_of p ON p.n = a.n JOIN region_of q ON q.n = b.n WHERE src <> dst AND (a.n = b.n OR p.r = q.r))"""
+
+
+@query(f"""{_HOMES} SELECT pair_id, CAST(CASE WHEN near THEN 2 ELSE 4 END AS INTEGER) AS hops FROM met""")
 def shortest_path_lengths(spark, sf_dir):
     found = shortest_path(spark, sf_dir)
     return found.groupBy("pair_id").agg(F.max("hop").alias("hops"))
 
 
-@query()
+@query(f"""{_HOMES}, names AS (SELECT node_id, name FROM nodes),
+    hops AS (SELECT pair_id, 1 AS hop, src AS source, ta AS relation, x.name AS target, sa AS season FROM met JOIN names x ON x.node_id = na
+        UNION ALL SELECT pair_id, CASE WHEN near THEN 2 ELSE 4 END, y.name, tb, dst, sb FROM met JOIN names y ON y.node_id = nb
+        UNION ALL SELECT pair_id, 2, x.name, tp, z.name, sp FROM met JOIN names x ON x.node_id = na JOIN names z ON z.node_id = r WHERE NOT near
+        UNION ALL SELECT pair_id, 3, z.name, tq, y.name, sq FROM met JOIN names y ON y.node_id = nb JOIN names z ON z.node_id = r WHERE NOT near)
+    SELECT pair_id, CAST(hop AS INTEGER) AS hop, source, relation, target, coalesce(season, '') AS season FROM hops""")
 def shortest_path(spark, sf_dir):
     return analytics.shortest_path(*tables(spark, sf_dir, "nodes", "edges"), _pairs(spark, sf_dir))

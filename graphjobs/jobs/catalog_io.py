@@ -3,7 +3,7 @@ back through the library."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, graph
@@ -55,9 +55,12 @@ def read_jsonl_with_rejects(spark, sf_dir):
     return _parsed(spark, sf_dir)[0].select("doc_id", "text", "lang")
 
 
-@query("SELECT category, count(*) AS n FROM (SELECT 'reject_node_json_error' AS category FROM documents WHERE doc_id % 7 = 3) GROUP BY category")
+@query("SELECT category, line_no FROM (SELECT 'reject_node_json_error' AS category, doc_id, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents) WHERE doc_id % 7 = 3")
 def read_jsonl_rejects(spark, sf_dir):
-    return _parsed(spark, sf_dir)[1].groupBy("category").agg(F.count("*").alias("n"))
+    """Of one file, so that lines have one numbering."""
+    path = scratch(spark, "lines")
+    _lines(spark, sf_dir).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    return records.read_jsonl_with_rejects(spark, path, "doc_id long, text string, lang string")[1].select("category", "line_no")
 
 
 @query("SELECT row_number() OVER (ORDER BY doc_id) AS line_no, doc_id FROM documents")
@@ -69,26 +72,55 @@ def numbered_lines(spark, sf_dir):
     return records.numbered_lines(spark, path).select("line_no", F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
 
 
-@query(f"""{cte('entity_rows')} SELECT {S.strip('name')} AS name, {S.strip('label')} AS label FROM entity_rows WHERE {S.strip('name')} <> '' AND {S.strip('label')} <> ''""")
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def read_records_of_arrays(spark, sf_dir):
+    """Three files, each an array over many lines, with braces, brackets and quotes in texts."""
+    path = scratch(spark, "arrays")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    record = F.to_json(F.struct("conv_id", "turn", "role", F.concat(F.col("text"), F.lit(' }],[{"\\"')).alias("text")))
+    ordered = rows.select(F.pmod("conv_id", F.lit(3)).alias("file"), "conv_id", "turn", record.alias("r"))
+    last = F.lead("r").over(Window.partitionBy("file").orderBy("conv_id", "turn")).isNull()
+    first = F.lag("r").over(Window.partitionBy("file").orderBy("conv_id", "turn")).isNull()
+    lines = ordered.select("file", "conv_id", "turn", F.concat(F.when(first, "[\n").otherwise(""), "r", F.when(last, "\n]").otherwise(",")).alias("value"))
+    lines.repartition(3, "file").sortWithinPartitions("file", "conv_id", "turn").select("file", "value").write.partitionBy("file").text(path)
+    found = records.read_records(spark, path, rows.schema)
+    return found.select("conv_id", "turn", "role", F.expr("left(text, length(text) - 8)").alias("text"))
+
+
+#: Some fields hold line breaks, quotes and commas.
+_BROKEN = "CASE WHEN {0} IS NOT NULL AND {1} % 9 = 4 THEN {0} || chr(10) || '\"q\", ' || chr(10) || 'x' ELSE {0} END"
+
+
+@query(f"""{cte('entity_rows')}, broken AS (SELECT {_BROKEN.format('name', 'pos')} AS name, label, pos FROM entity_rows)
+    SELECT {S.strip('name')} AS name, {S.strip('label')} AS label, pos FROM broken WHERE {S.strip('name')} <> '' AND {S.strip('label')} <> ''""")
 def read_entities(spark, sf_dir):
-    path = _csv_of(frame(spark, sf_dir, "entity_rows").select("name", "label"), "entities")
-    return records.read_entities(spark, path).select("name", "label")
+    """From four files, whose rows are numbered on from one to the next."""
+    rows = frame(spark, sf_dir, "entity_rows").select(F.expr(_BROKEN.format("name", "pos")).alias("name"), "label", "pos")
+    path = _csv_of(rows.repartitionByRange(4, "pos").sortWithinPartitions("pos").select("name", "label"), "entities")
+    return records.read_entities(spark, path).select("name", "label", "pos")
+
+
+def _in_one_file(spark, sf_dir) -> DataFrame:
+    rows = frame(spark, sf_dir, "relations").withColumn("target", F.expr(_BROKEN.format("target", "row_no")))
+    return rows.repartitionByRange(1, "row_no").sortWithinPartitions("row_no")
 
 
-@query(f"""{_REL} SELECT {S.strip('source')} AS source, {S.strip('target')} AS target, {S.strip('type')} AS type, {S.strip('season')} AS season FROM relations
+_REL_BROKEN = f"{_REL}, broken AS (SELECT source, {_BROKEN.format('target', 'row_no')} AS target, type, season, row_no FROM relations)"
+
+
+@query(f"""{_REL_BROKEN} SELECT {S.strip('source')} AS source, {S.strip('target')} AS target, {S.strip('type')} AS type, {S.strip('season')} AS season, row_no FROM broken
     WHERE {S.strip('source')} <> '' AND {S.strip('target')} <> '' AND {S.strip('type')} <> ''""")
 def read_relations_strict(spark, sf_dir):
-    path = _csv_of(frame(spark, sf_dir, "relations").select("source", "target", "type", "season"), "relations")
-    return records.read_relations(spark, path, strict=True).select("source", "target", "type", "season")
+    path = _csv_of(_in_one_file(spark, sf_dir).select("source", "target", "type", "season"), "relations")
+    return records.read_relations(spark, path, strict=True).select("source", "target", "type", "season", "row_no")
 
 
-@query(f"""{_REL} SELECT coalesce(source, '') AS source, coalesce(target, '') AS target, coalesce(type, '') AS type, coalesce(season, '') AS season FROM relations""")
+@query(f"""{_REL_BROKEN} SELECT coalesce(source, '') AS source, coalesce(target, '') AS target, coalesce(type, '') AS type, coalesce(season, '') AS season, row_no FROM broken""")
 def read_relations(spark, sf_dir):
     """From a file with the other names of the columns."""
-    rows = frame(spark, sf_dir, "relations")
     odd = F.col("row_no") % 4 != 0
-    path = _csv_of(rows.select(F.when(odd, F.col("source")).alias("source"), F.when(~odd, F.col("source")).alias("head"), F.col("target").alias("object"), F.col("type").alias("relation"), "season"), "relations")
-    return records.read_relations(spark, path).select("source", "target", "type", "season")
+    path = _csv_of(_in_one_file(spark, sf_dir).select(F.when(odd, F.col("source")).alias("source"), F.when(~odd, F.col("source")).alias("head"), F.col("target").alias("object"), F.col("type").alias("relation"), "season"), "relations")
+    return records.read_relations(spark, path).select("source", "target", "type", "season", "row_no")
 
 
 # --- writers -----------------------------------------------------------------------

@@ -52,54 +52,135 @@ def entity_neighbors(nodes: DataFrame, edges: DataFrame, names: DataFrame, limit
     return both.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n", "edge_id")
 
 
-def _levels(starts: DataFrame, both: DataFrame, depth: int, name: str) -> DataFrame:
-    """(pair_id, node_id, parent, via, depth) of the nodes within depth steps of the
-    starts; a node keeps its least parent edge, so ties fall the same way in every run.
-    Each level is a table in the shared folder."""
-    none = F.lit(None).cast("string")
-    level = written(starts.distinct().select("pair_id", "node_id", none.alias("parent"), none.alias("via"), F.lit(0).alias("depth")), f"{name}-0")
-    seen = level
+#: A step of a path: from a node to its neighbour by an edge.
+_STEPS = "array<struct<at:string,to:string,via:string>>"
+
+
+def _step(at: str, to: str, via: str) -> F.Column:
+    return F.struct(F.col(at).alias("at"), F.col(to).alias("to"), F.col(via).alias("via"))
+
+
+def _turned(steps: F.Column) -> F.Column:
+    """The same way back."""
+    return F.reverse(F.transform(steps, lambda s: F.struct(s["to"].alias("at"), s["at"].alias("to"), s["via"].alias("via"))))
+
+
+def neighbor_steps(edges: DataFrame) -> DataFrame:
+    """(at, to, via) for each node and different neighbour, by the least edge between them."""
+    ends = edges.filter("src_id != dst_id").select("src_id", "dst_id", "edge_id")
+    both = ends.union(ends.select("dst_id", "src_id", "edge_id")).toDF("at", "to", "via")
+    return both.groupBy("at", "to").agg(F.min("via").alias("via"))
+
+
+def peeled(steps: DataFrame, ends: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(core, hung): the graph without nodes that hang on one neighbour, and for each of
+    ends (node_id) its anchor in the core with the steps that lead there.
+
+    A node with one neighbour lies on no shortest path but those that begin or end there or
+    in what hangs on it, so each round takes all such nodes away. Ends among them move to
+    their neighbour and remember the step. Of two nodes that have only each other the lesser
+    stays. Rounds stop early when nothing hangs any more.
+    """
+    core = steps
+    hung = ends.select("node_id").distinct().select("node_id", F.col("node_id").alias("anchor"), F.lit(None).cast(_STEPS).alias("chain")).withColumn("chain", F.coalesce("chain", F.array().cast(_STEPS)))
+    for k in range(rounds):
+        single = core.groupBy("at").agg(F.count("*").alias("n"), F.min("to").alias("to"), F.min("via").alias("via")).filter("n = 1").drop("n")
+        leaves = written(single, f"leaves-{k}")
+        pairs = leaves.alias("a").join(leaves.alias("b"), (F.col("a.to") == F.col("b.at")) & (F.col("a.at") < F.col("a.to"))).select(F.col("a.at").alias("at"))
+        leaves = written(leaves.join(pairs, "at", "left_anti"), f"hanging-{k}")
+        if leaves.isEmpty():
+            break
+        moved = leaves.select(F.col("at").alias("anchor"), F.array(_step("at", "to", "via")).alias("_more"), F.col("to").alias("_next"))
+        hung = hung.join(moved, "anchor", "left").select("node_id", F.coalesce("_next", "anchor").alias("anchor"), F.when(F.col("_next").isNull(), F.col("chain")).otherwise(F.concat("chain", "_more")).alias("chain"))
+        gone = leaves.select("at")
+        core = core.join(gone, "at", "left_anti").join(gone.withColumnRenamed("at", "to"), "to", "left_anti").select("at", "to", "via")
+        core, hung = written(core, f"core-{k}"), written(hung, f"hung-{k}")
+    return core, hung
+
+
+def _balls(starts: DataFrame, core: DataFrame, depth: int, name: str) -> list[DataFrame]:
+    """Tables (start, node_id, path) of the nodes at 0, 1 ... depth steps of each start. A
+    start is searched from once, whatever number of pairs it is in; of equally long paths
+    the one by the least parent and edge stays."""
+    level = written(starts.select(F.col("node_id").alias("start"), "node_id", F.array().cast(_STEPS).alias("path")), f"{name}-0")
+    levels = [level]
     for d in range(1, depth + 1):
-        step = level.select("pair_id", F.col("node_id").alias("at")).join(both, "at").select("pair_id", F.col("to").alias("node_id"), F.col("at").alias("parent"), "edge_id")
-        new = step.groupBy("pair_id", "node_id").agg(F.min(F.struct("parent", "edge_id")).alias("p"))
-        new = new.join(seen.select("pair_id", "node_id"), ["pair_id", "node_id"], "left_anti")
-        level = written(new.select("pair_id", "node_id", F.col("p.parent").alias("parent"), F.col("p.edge_id").alias("via"), F.lit(d).alias("depth")), f"{name}-{d}")
-        seen = seen.union(level)
-    return seen
+        near = _opened(level, core)
+        for known in levels[-2:]:  # a neighbour of a level is in the level before, in this one or new
+            near = near.join(known.select("start", "node_id"), ["start", "node_id"], "left_anti")
+        level = written(near, f"{name}-{d}")
+        levels.append(level)
+    return levels
+
 
+def _opened(level: DataFrame, core: DataFrame) -> DataFrame:
+    """The neighbours of a level's nodes, each once for its start."""
+    met = level.join(core, level["node_id"] == core["at"]).select("start", F.col("to").alias("node_id"), "at", "via", "path")
+    last = F.struct("at", "via", "path")
+    return met.groupBy("start", "node_id").agg(F.min(last).alias("p")).select("start", "node_id", F.concat("p.path", F.array(F.struct(F.col("p.at").alias("at"), F.col("node_id").alias("to"), F.col("p.via").alias("via")))).alias("path"))
 
-def _walk(at: DataFrame, seen: DataFrame, depth: int) -> DataFrame | None:
-    """(pair_id, depth, node_id, parent, via) of the steps from each (pair_id, node_id)
-    back to its start."""
-    trail = None
-    for _ in range(depth):
-        step = at.join(seen, ["pair_id", "node_id"]).filter("depth > 0").select("pair_id", "depth", "node_id", "parent", "via")
-        trail = step if trail is None else trail.union(step)
-        at = step.select("pair_id", F.col("parent").alias("node_id"))
-    return trail
+
+def _core_paths(core: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """(a, b, path) of the shortest path in the core, of at most depth steps, for each of
+    pairs (a, b) of different nodes.
+
+    Both ends are opened to half of the depth. The last level of the nearer half isn't kept:
+    its nodes are held against the other side's at once, and only those that some end of
+    the other side reaches are looked at.
+    """
+    ahead, back = depth - depth // 2, depth // 2
+    far = _balls(pairs.select(F.col("b").alias("node_id")).distinct(), core, back, "path-back")
+    near = _balls(pairs.select(F.col("a").alias("node_id")).distinct(), core, ahead - 1, "path-ahead")
+    reached = None
+    for d, level in enumerate(far):
+        rows = level.select(F.col("start").alias("b"), "node_id", F.lit(d).alias("rest"), F.col("path").alias("back"))
+        reached = rows if reached is None else reached.union(rows)
+    nodes = written(reached.select("node_id").distinct(), "path-reached")
+    last = _opened(near[-1], core.join(nodes.withColumnRenamed("node_id", "to"), "to", "left_semi"))
+    found = None
+    for d, level in enumerate([*near, last]):
+        rows = level.join(pairs, level["start"] == pairs["a"]).select("a", "b", "node_id", F.lit(d).alias("steps"), "path")
+        met = rows.join(reached, ["b", "node_id"]).select("a", "b", F.struct((F.col("steps") + F.col("rest")).alias("total"), "node_id", "steps", "path", "back").alias("m"))
+        found = met if found is None else found.union(met)
+    best = found.groupBy("a", "b").agg(F.min("m").alias("m"))
+    return best.select("a", "b", F.concat("m.path", _turned(F.col("m.back"))).alias("path"))
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> DataFrame:
     """(pair_id, hop, source, relation, target, season): one undirected shortest path of
     at most max_depth edges for each of pairs (pair_id, src, dst), hop by hop.
 
-    All pairs search together and from both ends, so that a hub is opened on the last of
-    half the steps only; the paths meet where the two depths' sum is least, of equals at
-    the least node. A pair of equal names has no path of edges and no rows.
+    The graph is reduced first: what hangs on one neighbour is taken away, and ends that
+    hang move to where they hang. Ends in one hanging part meet there; the others are
+    searched between their anchors, each different pair of anchors once and each anchor's
+    surroundings once, so that a hub is not opened for every pair that hangs on it. Of
+    equally long paths one is taken that does not depend on how rows lie. A pair of equal
+    names has no path of edges and no rows.
     """
     ids = nodes.select("node_id", "name")
-    ends = pairs.select("pair_id", "src", "dst").filter("src != dst")
-    both = edges.select("edge_id", F.col("src_id").alias("at"), F.col("dst_id").alias("to")).union(edges.select("edge_id", F.col("dst_id"), F.col("src_id")))
-    ahead, back = max_depth - max_depth // 2, max_depth // 2
-    f = _levels(ends.join(ids, ends["src"] == ids["name"]).select("pair_id", "node_id"), both, ahead, "path-ahead")
-    b = _levels(ends.join(ids, ends["dst"] == ids["name"]).select("pair_id", "node_id"), both, back, "path-back")
-    meet = f.select("pair_id", "node_id", "depth").join(b.select("pair_id", "node_id", F.col("depth").alias("rest")), ["pair_id", "node_id"])
-    best = meet.groupBy("pair_id").agg(F.min(F.struct((F.col("depth") + F.col("rest")).alias("total"), "node_id", "depth")).alias("m"))
-    best = written(best.select("pair_id", "m.node_id", "m.total"), "path-meet")
-    hops = _walk(best.select("pair_id", "node_id"), f, ahead).select("pair_id", F.col("depth").alias("hop"), F.col("parent").alias("from_id"), F.col("node_id").alias("to_id"), "via")
-    if back:
-        rest = _walk(best.select("pair_id", "node_id"), b, back).join(best.select("pair_id", "total"), "pair_id")
-        hops = hops.union(rest.select("pair_id", F.col("total") - F.col("depth") + 1, "node_id", "parent", "via"))
+    named = pairs.select("pair_id", "src", "dst").filter("src != dst")
+    own = named.join(ids, named["src"] == ids["name"]).select("pair_id", "dst", F.col("node_id").alias("a"))
+    own = written(own.join(ids, own["dst"] == ids["name"]).select("pair_id", "a", F.col("node_id").alias("b")).distinct(), "path-pairs")
+    ends = own.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    core, hung = peeled(written(neighbor_steps(edges), "path-steps"), ends, max(1, max_depth // 2))
+    for side in ("a", "b"):
+        own = own.join(hung.select(F.col("node_id").alias(side), F.col("anchor").alias(f"{side}0"), F.col("chain").alias(f"chain_{side}")), side)
+
+    def through(side: str) -> F.Column:
+        return F.concat(F.array(side), F.transform(f"chain_{side}", lambda s: s["to"]))
+
+    own = own.withColumns({"_na": through("a"), "_nb": through("b")}).withColumn("_at", F.get(F.array_intersect("_na", "_nb"), F.lit(0)))
+    upto = lambda side: F.slice(f"chain_{side}", F.lit(1), F.array_position(f"_n{side}", F.col("_at")).cast("int") - 1)
+    own = written(own.withColumn("path", F.when(F.col("_at").isNotNull(), F.concat(upto("a"), _turned(upto("b"))))).drop("_na", "_nb", "_at"), "path-hung")
+    spent = F.size("chain_a") + F.size("chain_b")
+    apart = own.filter(F.col("path").isNull() & (spent < max_depth))
+    anchors = written(apart.select(F.col("a0").alias("a"), F.col("b0").alias("b")).distinct(), "path-anchors")
+    depth = max_depth - (apart.agg(F.min(spent)).first()[0] or 0)
+    between = _core_paths(core, anchors, depth).withColumnsRenamed({"a": "a0", "b": "b0", "path": "core_path"})
+    whole = apart.drop("path").join(between, ["a0", "b0"]).select("pair_id", "a", "b", F.concat("chain_a", "core_path", _turned(F.col("chain_b"))).alias("path"))
+    paths = own.filter("path is not null").select("pair_id", "a", "b", "path").union(whole).filter(F.size("path") <= max_depth)
+    best = paths.groupBy("pair_id").agg(F.min(F.struct(F.size("path").alias("n"), "a", "b", "path")).alias("p"))
+    hops = best.select("pair_id", F.posexplode("p.path").alias("hop", "s")).select("pair_id", (F.col("hop") + 1).alias("hop"), F.col("s.at").alias("from_id"), F.col("s.to").alias("to_id"), F.col("s.via").alias("via"))
     out = hops.join(edges.select(F.col("edge_id").alias("via"), "type", "rel_type", "season"), "via")
     out = out.join(ids.select(F.col("node_id").alias("from_id"), F.col("name").alias("source")), "from_id")
     out = out.join(ids.select(F.col("node_id").alias("to_id"), F.col("name").alias("target")), "to_id")

@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_json, strip
+from . import splits
 from .scratch import broadcast_if_small, written
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A JSON array, or else one record in each line; blank lines are left out. The form
-    is told by the first character that isn't white space."""
-    first = spark.read.text(path).filter("trim(value) != ''").limit(1).collect()
-    whole = bool(first) and first[0].value.lstrip("﻿ \t").startswith("[")
-    return spark.read.schema(schema).json(path, multiLine=whole)
+    """A JSON array of objects, or else one record in each line; blank lines are left out.
+    The form is told by the first character that isn't white space. Arrays are read in
+    splits like lines, in whatever way they are laid out; what can't be parsed is a row of
+    nulls."""
+    start = F.ltrim(F.substring("value", 1, 256), F.lit("\ufeff \t\r\n"))
+    first = spark.read.text(path, lineSep="}").select(start.alias("s")).filter("s != ''").limit(1).collect()
+    if not first or not first[0].s.startswith("["):
+        return spark.read.schema(schema).json(path)
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    found = splits.whole_records(spark, path, splits.Brackets())
+    found = found.filter(F.col("ended") | (F.trim("value", F.lit("] \t\r\n,")) != ""))
+    return found.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +37,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value"
     )
-    splits = lines.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    per_split = lines.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
-    splits = written(splits.select("file", "_split", "_first", F.coalesce(before, F.lit(0)).alias("_before")), "splits")
-    placed = lines.join(broadcast_if_small(splits), ["file", "_split"])
+    per_split = written(per_split.select("file", "_split", "_first", F.coalesce(before, F.lit(0)).alias("_before")), "splits")
+    placed = lines.join(broadcast_if_small(per_split), ["file", "_split"])
     return placed.select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
 
 
@@ -84,22 +93,23 @@ def relation_rows(rows: DataFrame, strict: bool = False) -> DataFrame:
 _CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """Rows of CSV files with their order within the table: partitions are numbered by
-    file and offset."""
-    return spark.read.csv(path, multiLine=multi_line, **_CSV).withColumn("pos", F.monotonically_increasing_id())
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV files with pos, their place in the table from 0 (files by name), and
+    row_no, their place in their file from 2, as the header is the first. Fields may hold
+    line breaks; blank lines are no rows. A file is read in splits of any number."""
+    names = [c.removeprefix("\ufeff") for c in spark.read.csv(path, **_CSV).columns]
+    found = splits.whole_records(spark, path, splits.Quotes(), with_header=True).filter("at > 0")
+    fields = F.from_csv(F.rtrim("value", F.lit("\r")), ", ".join(f"`{c}` string" for c in names), {k: str(v) for k, v in _CSV.items() if k != "header"})
+    return found.select(fields.alias("r"), (F.col("before") + F.col("at") - 1).alias("pos"), (F.col("at") + 1).alias("row_no")).select("r.*", "pos", "row_no")
 
 
-def read_entities(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A file is one task if fields may hold line breaks; without them it is split."""
-    return entity_rows(_csv(spark, path, multi_line))
+def read_entities(spark: SparkSession, path: str) -> DataFrame:
+    return entity_rows(_csv(spark, path))
 
 
-def read_relations(spark: SparkSession, path: str, strict: bool = False, multi_line: bool = True) -> DataFrame:
-    """Row numbers start at 2, after the header, and grow with the rows. A file is one
-    task if fields may hold line breaks; without them it is split."""
-    rows = _csv(spark, path, multi_line)
-    return relation_rows(rows.withColumn("row_no", F.col("pos") + 2), strict)
+def read_relations(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Row numbers are those of the rows in their file, from 2 after the header."""
+    return relation_rows(_csv(spark, path), strict)
 
 
 def write_nodes(nodes: DataFrame, path: str) -> None:

@@ -101,25 +101,44 @@ def brute_paths(edges, src, dst, depth):
     return None
 
 
-def test_shortest_paths_against_brute_force(spark):
-    rng = random.Random(7)
-    nodes = [(str(i), f"n{i}", ["X"]) for i in range(40)]
-    edges = [(f"e{k:03}", str(rng.randrange(36)), str(rng.randrange(36)), "r", None if k % 3 else f"t{k}", "") for k in range(50)]
-    pairs = [(k, f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for k in range(60)] + [(99, "n1", "n1"), (98, "n1", "nowhere")]
-    found = analytics.shortest_path(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), spark.createDataFrame(pairs, "pair_id long, src string, dst string")).collect()
+def held_against_brute_force(spark, nodes, edges, pairs, depth):
+    found = analytics.shortest_path(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), spark.createDataFrame(pairs, "pair_id long, src string, dst string"), depth).collect()
     by_pair = {}
     for r in found:
         by_pair.setdefault(r.pair_id, []).append(r)
-    ends = {(f"n{a}", f"n{b}") for _, a, b, *_ in edges} | {(f"n{b}", f"n{a}") for _, a, b, *_ in edges}
+    names = {i: n for i, n, _ in nodes}
+    ends = {(names[a], names[b]) for _, a, b, *_ in edges} | {(names[b], names[a]) for _, a, b, *_ in edges}
     for pair_id, src, dst in pairs:
-        want = None if src == dst or dst == "nowhere" else brute_paths(edges, src[1:], dst[1:], 4)
+        sides = [[i for i, n in names.items() if n == x] for x in (src, dst)]
+        lengths = [n for a in sides[0] for b in sides[1] if (n := brute_paths(edges, a, b, depth))]
         hops = sorted(by_pair.get(pair_id, []), key=lambda r: r.hop)
-        assert len(hops) == (want or 0)
+        assert len(hops) == (min(lengths, default=0) if src != dst else 0), (pair_id, src, dst)
         if hops:
+            assert [h.hop for h in hops] == list(range(1, len(hops) + 1))
             assert hops[0].source == src and hops[-1].target == dst
             assert all(a.target == b.source for a, b in zip(hops, hops[1:])) and all((h.source, h.target) in ends for h in hops)
 
 
+def test_shortest_paths_against_brute_force(spark):
+    rng = random.Random(7)
+    nodes = [(str(i), f"n{i % 38}", ["X"]) for i in range(40)]
+    edges = [(f"e{k:03}", str(rng.randrange(36)), str(rng.randrange(36)), "r", None if k % 3 else f"t{k}", "") for k in range(50)]
+    pairs = [(k, f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for k in range(60)] + [(99, "n1", "n1"), (98, "n1", "nowhere")]
+    held_against_brute_force(spark, nodes, edges, pairs, 4)
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6])
+def test_shortest_paths_where_much_hangs_on_little(spark, depth):
+    """Trees on a ring, chains, a star, two nodes with only each other, one alone."""
+    rng = random.Random(8)
+    links = [(k, (k + 1) % 5) for k in range(5)] + [(k, rng.randrange(max(1, k - 6), k)) for k in range(6, 30)]
+    links += [(30, 31), (32, 33), (33, 34), (34, 35), (36, 36)] + [(2, 40 + k) for k in range(9)] + [(2, 2), (40, 2)]
+    edges = [(f"e{k:03}", str(a), str(b), "r", "t", None) for k, (a, b) in enumerate(links)]
+    nodes = [(str(i), f"n{i}", ["X"]) for i in range(50)]
+    pairs = [(k, f"n{rng.randrange(50)}", f"n{rng.randrange(50)}") for k in range(80)] + [(90, "n30", "n31"), (91, "n32", "n35"), (92, "n40", "n48"), (93, "n41", "n2")]
+    held_against_brute_force(spark, nodes, edges, pairs, depth)
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_results_do_not_depend_on_partitions(spark, parts):
     nodes, edges = small_graph(spark)

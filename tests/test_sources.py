@@ -1,5 +1,9 @@
+import csv
+import io
 import json
+import random
 
+import pytest
 from graphjobs.sources import records
 from graphjobs.streaming import append
 
@@ -13,6 +17,62 @@ def test_records_as_array_or_lines(spark, tmp_path):
     assert sorted(r.id for r in records.read_records(spark, str(tmp_path / "b.json"), RECORD).collect()) == [3, 4]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Splits of so few bytes that records go over several."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    yield lambda n: spark.conf.set(name, str(n))
+    spark.conf.set(name, before)
+
+
+TEXTS = ["立春", 'a "quoted" word', "x }, {", "]", "[{", "\\", '\\"', "line\nbreak", "", "tab\t,", "}" * 30, 'é"', "\n\n", " lead", "long " * 60]
+
+
+@pytest.mark.parametrize("bytes_each", [23, 200, 100_000])
+def test_arrays_in_splits_of_any_size(spark, tmp_path, small_splits, bytes_each):
+    rng = random.Random(bytes_each)
+    rows = [{"id": k, "name": rng.choice(TEXTS), "in": {"l": [1, {"x": rng.choice(TEXTS)}]}} for k in range(60)]
+    for k, (indent, part) in enumerate([(None, rows[:25]), (2, rows[25:40]), (0, rows[40:]), (None, [])]):
+        (tmp_path / f"{k}.json").write_text("\ufeff" * (k == 1) + json.dumps(part, indent=indent, ensure_ascii=k == 0) + "\n" * k, encoding="utf-8")
+    small_splits(bytes_each)
+    got = records.read_records(spark, str(tmp_path), "id long, name string, in struct<l: array<string>>").collect()
+    assert sorted((r.id, r.name, json.loads(r["in"].l[1])["x"]) for r in got) == sorted((r["id"], r["name"], r["in"]["l"][1]["x"]) for r in rows)
+
+
+def test_an_array_that_breaks_off(spark, tmp_path, small_splits):
+    (tmp_path / "a.json").write_text('[{"id": 1, "name": "x"}, {"id": 2, "na')
+    small_splits(10)
+    assert sorted(str(r.id) for r in records.read_records(spark, str(tmp_path), RECORD).collect()) == ["1", "None"]
+
+
+@pytest.mark.parametrize("bytes_each", [17, 150, 100_000])
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_csv_rows_are_numbered_in_splits_of_any_size(spark, tmp_path, small_splits, bytes_each, ending):
+    rng = random.Random(bytes_each)
+    want, pos = [], 0
+    for k in range(3):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=ending)
+        writer.writerow(["source", "target", "type", "season"])
+        for i in range(30 * (k != 1)):
+            if rng.random() < 0.1:
+                out.write(ending)  # no row
+            writer.writerow([f"s{k}-{i}", rng.choice(TEXTS), rng.choice(TEXTS), rng.choice(["", "冬至"])])
+        if k == 2:
+            out.write('s2-x,a"b,"c"d,e')  # quotes that quote nothing, and no break at the end
+        (tmp_path / f"{k}.csv").write_text(out.getvalue(), newline="")
+        for n, row in enumerate(csv.DictReader(io.StringIO(out.getvalue(), newline="")), start=2):
+            want.append((row["source"], row["target"], row["type"], row["season"], n))
+            pos += 1
+    small_splits(bytes_each)
+    got = [tuple(r) for r in records.read_relations(spark, str(tmp_path)).collect()]
+    assert sorted(r for r in got if r[0] != "s2-x") == sorted(r for r in want if r[0] != "s2-x")
+    assert [r[-1] for r in got if r[0] == "s2-x"] == [32]
+    places = records._csv(spark, str(tmp_path)).orderBy("pos").select("source", "pos").collect()
+    assert [r.source for r in places] == [r[0] for r in want] and [r.pos for r in places] == list(range(len(want)))
+
+
 def test_broken_lines_are_rejected_with_numbers(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"id": 1}\n\n{broken\n{"id": 2, "name": "n"}\n   \nnot json')
     good, bad = records.read_jsonl_with_rejects(spark, str(tmp_path / "x.jsonl"), RECORD)
