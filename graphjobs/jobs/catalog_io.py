@@ -72,19 +72,23 @@ def numbered_lines(spark, sf_dir):
     return records.numbered_lines(spark, path).select("line_no", F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
 
 
+#: The end of each text in the arrays.
+_ODD = ' }],[{"\\"'
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def read_records_of_arrays(spark, sf_dir):
     """Three files, each an array over many lines, with braces, brackets and quotes in texts."""
     path = scratch(spark, "arrays")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    record = F.to_json(F.struct("conv_id", "turn", "role", F.concat(F.col("text"), F.lit(' }],[{"\\"')).alias("text")))
+    record = F.to_json(F.struct("conv_id", "turn", "role", F.concat(F.col("text"), F.lit(_ODD)).alias("text")))
     ordered = rows.select(F.pmod("conv_id", F.lit(3)).alias("file"), "conv_id", "turn", record.alias("r"))
     last = F.lead("r").over(Window.partitionBy("file").orderBy("conv_id", "turn")).isNull()
     first = F.lag("r").over(Window.partitionBy("file").orderBy("conv_id", "turn")).isNull()
     lines = ordered.select("file", "conv_id", "turn", F.concat(F.when(first, "[\n").otherwise(""), "r", F.when(last, "\n]").otherwise(",")).alias("value"))
     lines.repartition(3, "file").sortWithinPartitions("file", "conv_id", "turn").select("file", "value").write.partitionBy("file").text(path)
     found = records.read_records(spark, path, rows.schema)
-    return found.select("conv_id", "turn", "role", F.expr("left(text, length(text) - 8)").alias("text"))
+    return found.select("conv_id", "turn", "role", F.expr(f"left(text, length(text) - {len(_ODD)})").alias("text"))
 
 
 #: Some fields hold line breaks, quotes and commas.
