@@ -5,50 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.scratch import written
-
 KEYS = ("source", "target", "type", "season")
 
-
-#: Parts of the table by the keys' hash; a batch reads those that its rows fall in.
-BUCKETS = 64
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def append_new(batch: DataFrame, batch_id: int, table: str) -> None:
-    """Adds the relations of a batch that the table doesn't have, as a part of its own
-    that the batch's number names: a batch that runs again after a failure writes over
-    its part and leaves the others alone."""
-    spark = batch.sparkSession
-    new = batch.groupBy(*KEYS).agg(F.min("row_no").alias("row_no"))
-    new = written(new.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int")), "stream-batch")
-    if _exists(spark, table):
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
-        old = spark.read.schema("source string, target string, type string, season string, row_no long, batch long, bucket int").parquet(table)
-        old = old.filter((F.col("batch") != batch_id) & F.col("bucket").isin(touched)).select(*KEYS)
-        # null-safe, so that a missing season equals a missing season
-        same = [new[k].eqNullSafe(old[k]) for k in KEYS]
-        new = new.join(old, same[0] & same[1] & same[2] & same[3], "left_anti")
-    new.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
+def new_relations(relations: DataFrame) -> DataFrame:
+    """Of a stream of relations those whose keys did not come before; a missing season equals
+    a missing season. Keys that were seen are in the state store, by their hash in as many
+    parts as the session has shuffle partitions when the stream first starts."""
+    return relations.dropDuplicates(list(KEYS))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+def append_batch(batch: DataFrame, batch_id: int, table: str) -> None:
+    """Writes a batch as a part of its own that its number names: a batch that runs again
+    after a failure writes over its part and leaves the others alone."""
+    batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
 
 def append_relations_stream(
     spark: SparkSession, source: str, schema: str, to_relations: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, files_per_batch: int = 100
 ) -> StreamingQuery:
-    """Reads JSON records that arrive in the folder `source`, turns each batch into
-    (source, target, type, season, row_no) and appends what is new. Files that were
-    processed are in the checkpoint, so a restart resumes after them."""
+    """Reads JSON records that arrive in the folder `source`, turns them row by row into
+    (source, target, type, season, row_no) and appends to `table` what is new. Of equal
+    relations in one batch one stays, whichever comes first.
+
+    What was read and which keys were seen is in the checkpoint, the keys in a RocksDB state
+    store on the executors' disks, so a batch costs what it holds, however large the table
+    is: the table is never read. A restart resumes after the last batch that ended.
+    """
     records = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
-    return (
-        records.writeStream.foreachBatch(lambda batch, n: append_new(to_relations(batch), n, table))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = new_relations(to_relations(records)).writeStream.foreachBatch(lambda batch, n: append_batch(batch, n, table))
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)  # a query keeps what the session has when it starts
+    try:
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_PROVIDER, before)

@@ -99,19 +99,41 @@ def test_csv_readers_and_writers(spark, tmp_path):
     assert "立春" in "".join(p.read_text() for p in (tmp_path / "j").glob("part-*.json"))
 
 
-def test_two_micro_batches_equal_one(spark, tmp_path):
+STREAM = "source string, target string, type string, season string, row_no long"
+
+
+def arriving(folder, name, rows):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+
+def appended(spark, tmp_path, **options):
     source, table, check = (str(tmp_path / x) for x in ("in", "table", "check"))
-    (tmp_path / "in").mkdir()
-    schema = "source string, target string, type string, season string, row_no long"
-    rows = [dict(source=f"a{i % 5}", target="b", type="t", season=None if i % 2 else "s", row_no=i) for i in range(30)]
+    append.append_relations_stream(spark, source, STREAM, lambda df: df, table, check, **options).awaitTermination()
+    return sorted(tuple(r) for r in spark.read.parquet(table).select("source", "season").na.fill("").collect())
 
-    def run(part, name):
-        (tmp_path / "in" / name).write_text("".join(json.dumps(r) + "\n" for r in part))
-        append.append_relations_stream(spark, source, schema, lambda df: df, table, check).awaitTermination()
 
-    run(rows[:12], "1.json")
-    run(rows[12:], "2.json")
-    got = sorted(tuple(r) for r in spark.read.parquet(table).select("source", "season").na.fill("").collect())
+def test_two_micro_batches_equal_one(spark, tmp_path):
+    rows = [dict(source=f"a{i % 5}", target="b", type="t", season=None if i % 2 else "s", row_no=i) for i in range(30)]
+    arriving(tmp_path / "in", "1.json", rows[:12])
+    appended(spark, tmp_path)
+    arriving(tmp_path / "in", "2.json", rows[12:])
+    got = appended(spark, tmp_path)
     assert got == sorted({(r["source"], r["season"] or "") for r in rows})
-    append.append_relations_stream(spark, source, schema, lambda df: df, table, check).awaitTermination()
-    assert spark.read.parquet(table).count() == len(got)
+    assert appended(spark, tmp_path) == got
+    assert "Rocks" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_batches_don_t_read_the_table_and_run_again_after_a_failure(spark, tmp_path):
+    rows = [dict(source=f"a{i % 7}", target="b", type="t", season="s", row_no=i) for i in range(20)]
+    arriving(tmp_path / "in", "1.json", rows)
+    appended(spark, tmp_path)
+    (tmp_path / "table").rename(tmp_path / "old")
+    arriving(tmp_path / "in", "2.json", [*rows, dict(rows[0], source="new")])
+    assert appended(spark, tmp_path) == [("new", "s")]
+    # the last batch is not known to have ended, and the first rows of a third came
+    last = max((p for p in (tmp_path / "check" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    (tmp_path / "check" / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    arriving(tmp_path / "in", "3.json", [dict(rows[0], source="third"), rows[3]])
+    assert appended(spark, tmp_path, files_per_batch=1) == [("new", "s"), ("third", "s")]
