@@ -71,6 +71,11 @@ def _named(spark, sf_dir) -> DataFrame:
     return _docs(spark, sf_dir).select(name.alias("doc"), "text")
 
 
+def _listed(docs: DataFrame, paragraphs) -> DataFrame:
+    rows = docs.select("doc", F.posexplode_outer(paragraphs).alias("pos", "paragraph"))
+    return rows.filter("paragraph is not null")
+
+
 #: The paragraphs of all documents, as lists.
 _BODIES = f"""named AS (SELECT coalesce(source, 'none') || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.pdf' AS doc, {_TEXT} AS full_text FROM documents),
     bodies AS (SELECT doc, full_text, {S.filter_sections('full_text', LATIN, raw=True)} AS body FROM named),
@@ -80,7 +85,7 @@ _BODIES = f"""named AS (SELECT coalesce(source, 'none') || '_' || lpad(CAST(doc_
 
 @query(f"WITH {_BODIES} SELECT doc, pos, paragraph FROM paragraphs")
 def chunk_sentences(spark, sf_dir):
-    return segment.document_paragraphs(_named(spark, sf_dir), LATIN, raw=True).select("doc", F.posexplode("paragraphs").alias("pos", "paragraph"))
+    return _listed(segment.document_paragraphs(_named(spark, sf_dir), LATIN, raw=True), F.col("paragraphs"))
 
 
 @query(f"""WITH lists AS (SELECT coalesce(source, 'none') || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.pdf' AS doc, replace({_TEXT}, chr(10), chr(10) || chr(10)) AS t FROM documents),
@@ -88,7 +93,7 @@ def chunk_sentences(spark, sf_dir):
     SELECT doc, CAST(i - 1 AS INT) AS pos, l[i] AS paragraph FROM listed, unnest(range(1, len(l) + 1)) AS r(i)""")
 def split_paragraphs(spark, sf_dir):
     blocks = F.regexp_replace("text", "\n", "\n\n")
-    return _named(spark, sf_dir).select("doc", F.posexplode(segment.split_paragraphs(blocks, LATIN, raw=True)).alias("pos", "paragraph"))
+    return _listed(_named(spark, sf_dir), segment.split_paragraphs(blocks, LATIN, raw=True))
 
 
 @query(f"WITH {_BODIES} SELECT doc, pos, {S.season_of('paragraph', 'full_text', LATIN.terms)} AS season FROM paragraphs")
@@ -121,14 +126,14 @@ _HEADED = f"""{_BODIES}, headed AS (SELECT *, ([{S.listed(C.TERMS)}])[pos % 24 +
 
 @query(f"WITH {_HEADED} SELECT doc, pos, segment, paragraph, season FROM parts")
 def split_headings(spark, sf_dir):
-    return _with_headings(spark, sf_dir).select("doc", F.explode("parts").alias("p")).select("doc", "p.*")
+    return segment.in_rows(_with_headings(spark, sf_dir), "doc", items="parts")
 
 
 @query(f"""WITH {_HEADED} SELECT row_number() OVER (ORDER BY doc, pos, segment) AS id, string_split(doc, '_')[1] AS title, replace(paragraph, chr(10), '  ') AS context,
     coalesce(season, {S.season_of('paragraph', 'full_text', LATIN.terms)}) AS season FROM parts""")
 def number_paragraphs(spark, sf_dir):
-    rows = _with_headings(spark, sf_dir).select("doc", F.explode(segment.with_seasons(F.col("parts"), F.col("full_text"), LATIN)).alias("p"))
-    return segment.number_paragraphs(rows.select("doc", "p.*"))
+    rows = _with_headings(spark, sf_dir)
+    return segment.number_paragraphs(rows.select("doc", segment.with_seasons(F.col("parts"), F.col("full_text"), LATIN).alias("parts")))
 
 
 _AS_PARAGRAPHS = "SELECT replace(source, 'src', 'title') AS title FROM documents"
@@ -141,7 +146,7 @@ def paragraph_stats(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY source || '_' || lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS id, source AS title, text AS context, lang AS season FROM documents")
 def number_documents(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select(F.concat("source", F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("doc"), F.lit(0).alias("pos"), F.lit(0).alias("segment"), F.col("text").alias("context"), F.col("lang").alias("season"))
+    rows = _docs(spark, sf_dir).select(F.concat("source", F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("doc"), F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("segment"), F.col("text").alias("context"), F.col("lang").alias("season"))).alias("parts"))
     return segment.number_paragraphs(rows)
 
 

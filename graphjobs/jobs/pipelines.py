@@ -12,7 +12,7 @@ from ..sources.scratch import written
 
 def text_to_mentions(docs: DataFrame, dictionary: DataFrame, cfg: C.TextConfig = C.TextConfig(), raw: bool = False) -> DataFrame:
     """Documents (doc, text) to numbered paragraphs with seasons and their mentions."""
-    numbered = segment.number_paragraphs(segment.paragraphs_of(docs, cfg, raw))
+    numbered = segment.number_paragraphs(segment.paragraph_lists(docs, cfg, raw))
     return mentions.link_mentions(numbered.select("id", "season", "context"), dictionary)
 
 

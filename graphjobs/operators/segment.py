@@ -2,18 +2,17 @@
 
 Everything that concerns one text happens within its row, in time that grows with the
 text: runs of lines, sentences and blocks are told by marks in one string, not by folds
-that copy arrays. Rows are made of finished paragraphs only, so that no text is shuffled
-but by numbering, which needs the order of rows.
+that copy arrays. Rows are made of finished paragraphs only, so that no text is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import config as C
 from ..functions import text as X
-from ..sources.scratch import written
+from ..sources.scratch import broadcast_if_small, written
 
 #: Marks that part pieces of a text; cleaning drops them from texts before.
 _PART, _END = "\x01", "\x02"
@@ -78,8 +77,17 @@ def split_paragraphs(text: Column, cfg: C.TextConfig = C.TextConfig(), raw: bool
 
 def document_paragraphs(docs: DataFrame, cfg: C.TextConfig = C.TextConfig(), raw: bool = False) -> DataFrame:
     """(doc, full_text, paragraphs array<string>) of documents (doc, text)."""
-    rows = docs.select("doc", F.coalesce("text", F.lit("")).alias("full_text")).withColumn("_body", filter_sections(F.col("full_text"), cfg, raw))
-    return rows.select("doc", "full_text", split_paragraphs(F.col("_body"), cfg, raw).alias("paragraphs"))
+    rows = docs.select("doc", F.coalesce("text", F.lit("")).alias("full_text"))
+    # bound to a variable, as the text would be filtered again for each mention
+    bodies = F.array(filter_sections(F.col("full_text"), cfg, raw))
+    return rows.select("doc", "full_text", F.get(F.transform(bodies, lambda b: split_paragraphs(b, cfg, raw)), F.lit(0)).alias("paragraphs"))
+
+
+def in_rows(docs: DataFrame, *keep: str, items: str) -> DataFrame:
+    """A row for each struct of the array `items`, with its fields. An inner explode would
+    also ask each scanned row for the size of the array, and so compute it twice."""
+    rows = docs.select(*keep, F.explode_outer(items).alias("_item")).filter("_item is not null")
+    return rows.select(*keep, "_item.*")
 
 
 def whole_parts(paragraphs: Column) -> Column:
@@ -145,33 +153,43 @@ def with_seasons(parts: Column, full_text: Column, cfg: C.TextConfig = C.TextCon
     )
 
 
+def paragraph_lists(docs: DataFrame, cfg: C.TextConfig = C.TextConfig(), raw: bool = False, headings: bool = False) -> DataFrame:
+    """(doc, parts: array<struct<pos,segment,context,season>>) of documents (doc, text)."""
+    rows = document_paragraphs(docs, cfg, raw)
+    parts = split_headings(F.col("paragraphs"), cfg) if headings else whole_parts(F.col("paragraphs"))
+    return rows.select("doc", with_seasons(parts, F.col("full_text"), cfg).alias("parts"))
+
+
 def paragraphs_of(docs: DataFrame, cfg: C.TextConfig = C.TextConfig(), raw: bool = False, headings: bool = False) -> DataFrame:
     """(doc, pos, segment, context, season) of documents (doc, text); seasons are told in
     the document's row, before it becomes many."""
-    rows = document_paragraphs(docs, cfg, raw)
-    parts = split_headings(F.col("paragraphs"), cfg) if headings else whole_parts(F.col("paragraphs"))
-    return rows.select("doc", F.explode(with_seasons(parts, F.col("full_text"), cfg)).alias("p")).select("doc", "p.*")
+    return in_rows(paragraph_lists(docs, cfg, raw, headings), "doc", items="parts")
 
 
-def number_paragraphs(paragraphs: DataFrame) -> DataFrame:
-    """(id, title, context, season): ids from 1 in the order of documents' names, places
-    and segments.
+def number_paragraphs(lists: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(id, title, context, season) of documents (doc, parts): ids from 1 in the order of
+    documents' names, then of their parts. Documents of one name go one after the other.
 
-    Rows are a table first, as sorting by ranges reads them twice. They are counted by
-    partition; an id is a place within the partition plus what lies before it. Only the
-    partitions' counts reach the driver.
+    An id is its document's offset and the place in its list. Offsets are a sum over
+    (doc, number of parts) in two levels: within ranges of names, and over the ranges, whose
+    sums reach the driver. Texts are a table first, as they are needed after their number is
+    known; they are not sorted, nor moved while there are `most` documents at most. Beyond,
+    the join with the offsets moves each list once.
     """
-    ordered = written(paragraphs, "paragraphs").repartitionByRange("doc", "pos", "segment").sortWithinPartitions("doc", "pos", "segment")
-    place = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    place = written(place, "numbered")
-    counts = sorted((r["_part"], r.n) for r in place.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    kept = written(lists.select(F.monotonically_increasing_id().alias("_row"), "doc", "parts", F.coalesce(F.size("parts"), F.lit(0)).alias("_n")), "parts")
+    ranged = kept.select("_row", "doc", "_n").filter("_n > 0").repartitionByRange("doc", "_row")
+    ranged = written(ranged.withColumn("_range", F.spark_partition_id()), "part-counts")
     before, sums = 0, []
-    for part, n in counts:
-        sums.append((part, before))
-        before += n
-    offsets = place.sparkSession.createDataFrame(sums, "_part int, _before long")
-    rows = place.join(F.broadcast(offsets), "_part")
-    return rows.select((F.col("_row") + F.col("_before") + 1).alias("id"), X.normalize_title(F.col("doc")).alias("title"), "context", "season")
+    for r in sorted(ranged.groupBy("_range").agg(F.sum("_n").alias("n")).collect()):
+        sums.append((r["_range"], before))
+        before += r.n
+    starts = ranged.sparkSession.createDataFrame(sums, "_range int, _start long")
+    earlier = Window.partitionBy("_range").orderBy("doc", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.join(F.broadcast(starts), "_range").select("_row", (F.col("_start") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_before"))
+    placed = kept.join(broadcast_if_small(written(offsets, "offsets"), most), "_row")
+    title = X.normalize_title(F.col("doc"))
+    rows = placed.select("_before", title.alias("title"), F.posexplode_outer("parts").alias("_pos", "_item")).filter("_item is not null")
+    return rows.select((F.col("_before") + F.col("_pos") + 1).alias("id"), "title", "_item.context", "_item.season")
 
 
 def paragraph_stats(paragraphs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@ import json
 import random
 import re
 
+import pytest
+
 from graphjobs.functions import config as C
 from graphjobs.jobs import pipelines
 from graphjobs.operators import extraction, layout, mentions, pages, segment
@@ -66,11 +68,24 @@ def test_headings_carry_over_paragraphs(spark):
     assert got == [("d", 0, 0, None), ("d", 2, 0, "立春"), ("d", 3, 0, "立春"), ("d", 3, 1, "雨水"), ("d", 4, 0, "雨水"), ("e", 0, 0, None)]
 
 
-def test_numbers_follow_the_order(spark):
-    rows = [(f"f{i % 7}_x.pdf", i, 0, "c", "s") for i in range(300)]
-    df = spark.createDataFrame(rows, "doc string, pos int, segment int, context string, season string").repartition(9)
-    got = segment.number_paragraphs(df).orderBy("id").collect()
-    assert [r.id for r in got] == list(range(1, 301)) and [r.title for r in got] == sorted(r.title for r in got)
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_numbers_follow_the_order(spark, most):
+    rng = random.Random(2)
+    docs = [(f"f{i % 37}_x{i:03}.pdf", [(k, 0, f"{i}-{k}", "s") for k in range(rng.choice([0, 1, 3, 40]))]) for i in range(200)]
+    docs += [("f3_x003.pdf", [(0, 0, "again", "s")]), ("g", None), ("h", [])]
+    df = spark.createDataFrame(docs, "doc string, parts array<struct<pos:int,segment:int,context:string,season:string>>").repartition(9)
+    got = segment.number_paragraphs(df, most).orderBy("id").collect()
+    want = [(d, p[0], p[2]) for d, parts in docs for p in parts or []]
+    assert [r.id for r in got] == list(range(1, len(want) + 1))
+    own = [r.context for r in got if r.context != "again"]
+    assert own == [c for _, _, c in sorted(w for w in want if w[2] != "again")]
+
+
+def test_numbering_moves_no_text(spark):
+    df = spark.createDataFrame([("a", [(0, 0, "c", "s")])], "doc string, parts array<struct<pos:int,segment:int,context:string,season:string>>")
+    plan = segment.number_paragraphs(df)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.split("\n") if "Exchange" in x]
+    assert moved and all("Broadcast" in x for x in moved)
 
 
 def test_lines_of_two_columns(spark):
