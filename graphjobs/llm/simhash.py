@@ -31,8 +31,8 @@ CHUNK = 1 << 15
 #: 384 up to which texts link: at a similarity of 0.8 a bit differs with 0.15, so that 58
 #: are expected and 68 passed by one pair in twelve.
 SIGNATURES, WIDE_BLOCKS, WIDE_DISTANCE = 6, 6, 68
-#: Differing bits of one more fingerprint up to which rows of a bucket go on to the full
-#: comparison, and the bucket's size from which all do.
+#: Differing bits of the next fingerprint up to which two rows of a bucket are compared in
+#: full, and the bucket's size from which rows are not looked through one by one before.
 SKETCH_DISTANCE, UNCHECKED = 22, 256
 
 
@@ -110,14 +110,18 @@ def _roots(near, n: int) -> np.ndarray:
     return root
 
 
-def _near(bits: np.ndarray, distance: int) -> list[np.ndarray]:
-    """Numbers of the rows of bits (64 in a word) that differ in few bits, lower first."""
+def _near(bits: np.ndarray, distance: int, sketch: np.ndarray | None = None) -> list[np.ndarray]:
+    """Numbers of the rows of bits (64 in a word) that differ in few bits, lower first; with
+    sketches only those whose sketches are near as well."""
     near = []
     for at in range(0, len(bits), 256):
         far = np.zeros((len(bits[at : at + 256]), len(bits)), dtype=np.uint16)
         for word in bits.T:
             far += np.bitwise_count(word[at : at + 256, None] ^ word[None, :])
-        i, j = np.nonzero(far <= distance)
+        close = far <= distance
+        if sketch is not None:
+            close &= np.bitwise_count(sketch[at : at + 256, None] ^ sketch[None, :]) <= SKETCH_DISTANCE
+        i, j = np.nonzero(close)
         keep = i + at < j
         near.append(np.stack([i[keep] + at, j[keep]]))
     return near
@@ -250,9 +254,9 @@ def block_rows(groups: DataFrame, blocks: int = WIDE_BLOCKS) -> DataFrame:
 
 
 def with_partners(rows: DataFrame, distance: int = SKETCH_DISTANCE, unchecked: int = UNCHECKED) -> DataFrame:
-    """(key, node) of the rows whose bucket holds one with a sketch near their own; all
-    rows of buckets beyond `unchecked`. A task streams its buckets in order and keeps that
-    many rows at most."""
+    """The rows (key, node, sketch) whose bucket holds one with a sketch near their own, and
+    all rows of buckets beyond `unchecked`, whose pairs are held to the same distance when
+    they are compared. A task streams its buckets in order and keeps that many rows at most."""
 
     def emit(key, node, sketch, opened):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -266,7 +270,7 @@ def with_partners(rows: DataFrame, distance: int = SKETCH_DISTANCE, unchecked: i
                 break
             hit = later[np.bitwise_count((sketch[later] ^ sketch[later - d]).view(np.uint64)) <= distance]
             out[hit] = out[hit - d] = True
-        return pd.DataFrame({"key": key[out], "node": node[out]})
+        return pd.DataFrame({"key": key[out], "node": node[out], "sketch": sketch[out]})
 
     def meet(batches):
         kept, opened = [np.zeros(0, dtype=np.int64)] * 3, None
@@ -286,13 +290,14 @@ def with_partners(rows: DataFrame, distance: int = SKETCH_DISTANCE, unchecked: i
         if len(kept[0]):
             yield emit(*kept, opened)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "key long, node long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "key long, node long, sketch long")
 
 
 def wide_links(groups: DataFrame, distance: int = WIDE_DISTANCE, blocks: int = WIDE_BLOCKS, cell: int = 512) -> DataFrame:
     """Links (a, b) between nodes of groups (node, sigs) that share two blocks of a
-    fingerprint and differ in few bits of all: a spanning forest of each bucket's cell, as
-    in close_links."""
+    fingerprint, differ in SKETCH_DISTANCE bits of the next one at most and in few bits of
+    all: a spanning forest of each bucket's cell, as in close_links. Whether two nodes link
+    depends on these two alone, not on the size of a bucket."""
     met = written(with_partners(block_rows(groups, blocks)), "simhash-met")
     sizes = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     cells = (
@@ -302,15 +307,15 @@ def wide_links(groups: DataFrame, distance: int = WIDE_DISTANCE, blocks: int = W
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
         .join(groups, "node")
         .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.collect_list(F.struct("node", "sigs")).alias("c"))
-        .select(F.col("c.node").alias("nodes"), F.col("c.sigs").alias("sigs"))
+        .agg(F.collect_list(F.struct("node", "sigs", "sketch")).alias("c"))
+        .select(F.col("c.node").alias("nodes"), F.col("c.sigs").alias("sigs"), F.col("c.sketch").alias("sketches"))
     )
 
     def link(batches):
         for batch in batches:
             out = []
-            for nodes, sigs in zip(batch["nodes"], batch["sigs"]):
-                root = _roots(_near(_words_of(sigs), distance), len(nodes))
+            for nodes, sigs, sketches in zip(batch["nodes"], batch["sigs"], batch["sketches"]):
+                root = _roots(_near(_words_of(sigs), distance, np.asarray(sketches, dtype=np.int64).view(np.uint64)), len(nodes))
                 own = np.flatnonzero(root != np.arange(len(nodes)))
                 out.append(np.stack([nodes[own], nodes[root[own]]]))
             yield pd.DataFrame(np.concatenate(out, axis=1).T if out else np.zeros((0, 2)), columns=["a", "b"], dtype="int64")
@@ -340,8 +345,8 @@ def keep_one(
     """One row of each component of near copies: that with the least doc_id, rows without
     one last, and of equals the first by the text's hash and place.
 
-    Texts link if they share two blocks of one of their fingerprints and differ in at most
-    `distance` bits of all. Equal ids with different texts are judged row by row. Rows are
+    Texts link if they share two blocks of one of their fingerprints, differ in at most
+    SKETCH_DISTANCE bits of the next one and in at most `distance` bits of all. Equal ids with different texts are judged row by row. Rows are
     told apart by file and number; up to `most` that go are broadcast, so that the texts
     are filtered where they lie, and more are joined.
     """

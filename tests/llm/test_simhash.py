@@ -204,4 +204,51 @@ def test_partners_of_hot_buckets_over_batches(spark):
         got = simhash.with_partners(spark.createDataFrame(rows, "key long, node long, sketch long"), unchecked=64).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted((r.key, r.node) for r in got) == sorted(want)
+    assert {(r.key, r.node, r.sketch) for r in got} <= set(rows)
+
+
+def test_links_don_t_depend_on_the_bucket_s_size(spark, monkeypatch):
+    """Nodes of one bucket whose next fingerprints are now near, now far."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(2**62), 2**62, 6)
+    sigs = []
+    for i in range(90):
+        own = base.copy()
+        for k, n in enumerate(rng.permutation([0, 30, 9, 9, 9, 9]) if i % 2 else [0, 0, 0, 0, 0, 1]):
+            for bit in rng.permutation(64)[:n]:
+                own[k] ^= np.int64(1) << np.int64(bit)
+        sigs.append([int(x) for x in own])
+    df = spark.createDataFrame([(i, bytearray(np.array(s, dtype=np.int64).tobytes())) for i, s in enumerate(sigs)], "node long, sigs binary")
+    unsigned = [[x & (1 << 64) - 1 for x in s] for s in sigs]
+    root = list(range(90))
+    for _ in range(90):
+        for i in range(90):
+            for j in range(i):
+                if linked(unsigned[i], unsigned[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert len(set(root)) > 1
+    partners = simhash.with_partners
+    for unchecked in (1, 30, 1000):
+        monkeypatch.setattr(simhash, "with_partners", lambda rows, u=unchecked: partners(rows, unchecked=u))
+        roots = {r.node: r.root for r in simhash.components(simhash.wide_links(df, cell=16)).collect()}
+        assert [roots.get(i, i) for i in range(90)] == root
+
+
+def test_recall_on_documents(spark):
+    """Of all pairs of different documents that share four fifths of their five-word
+    shingles, counted over every shingle, at least nine tenths link."""
+    texts = sorted({r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()})
+    words = [t.encode().lower().split() for t in texts]
+    shingles = [set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else {tuple(w)} for w in words]
+    holders, shared = {}, {}
+    for i, own in enumerate(shingles):
+        for s in own:
+            for j in holders.setdefault(s, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            holders[s].append(i)
+    pairs = [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(shingles[i]) + len(shingles[j]) - n)]
+    sigs = {i: [x & (1 << 64) - 1 for x in simhash.signatures_of(texts[i], 5, 6)] for p in pairs for i in p}
+    found = sum(linked(sigs[i], sigs[j]) for i, j in pairs)
+    print(len(pairs), found)
+    assert len(pairs) > 40 and found >= 0.9 * len(pairs)
