@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A character of a page.
+_CHAR = ("x0", "pos", "top", "text")
+
+
+def page_arrays(chars: DataFrame) -> DataFrame:
+    """(doc, page, page_width, chars): a page's characters by x0 and pos in one array. This is
+    the only time that characters are shuffled; a page has to fit a task."""
+    item = F.struct(*_CHAR) if {"top", "text"} <= set(chars.columns) else F.struct("x0", F.col("pos") if "pos" in chars.columns else F.lit(0).alias("pos"))
+    return chars.groupBy("doc", "page").agg(F.max("page_width").alias("page_width"), F.array_sort(F.collect_list(item)).alias("chars"))
+
+
+def dividers_of(chars: Column, page_width: Column, gap_ratio: float = 0.05, max_dividers: int = 2) -> Column:
+    """Middles of the widest gaps between neighbouring x0 of a page's sorted characters, if
+    wider than gap_ratio of the page; of equal gaps the left one."""
+    places = F.filter(F.transform(chars, lambda c: c["x0"]), lambda x: x.isNotNull())
+    gaps = F.transform(F.array(places), lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda x, y: F.struct((x - y).alias("g"), x.alias("x"))))
+    wide = F.filter(F.get(gaps, F.lit(0)), lambda s: -s["g"] > page_width * gap_ratio)
+    return F.array_sort(F.transform(F.slice(F.array_sort(wide), 1, max_dividers), lambda s: s["x"] - s["g"] / 2))
+
+
 def detect_columns(chars: DataFrame, gap_ratio: float = 0.05, max_dividers: int = 2) -> DataFrame:
-    """(doc, page, dividers array<double>): the middles of a page's widest gaps between
-    neighbouring x0, if wider than gap_ratio of the page; of equal gaps the left one."""
-    page = Window.partitionBy("doc", "page")
-    rows = chars.withColumn("_gap", F.lead("x0").over(page.orderBy("x0")) - F.col("x0"))
-    wide = F.when(F.col("_gap") > F.col("page_width") * gap_ratio, F.struct((-F.col("_gap")).alias("g"), F.col("x0").alias("x")))
-    widest = rows.groupBy("doc", "page").agg(F.slice(F.array_sort(F.collect_list(wide)), 1, max_dividers).alias("w"))
-    return widest.select("doc", "page", F.array_sort(F.transform("w", lambda s: s["x"] - s["g"] / 2)).alias("dividers"))
+    """(doc, page, dividers array<double>) of characters (doc, page, x0, page_width)."""
+    found = page_arrays(chars)
+    return found.select("doc", "page", dividers_of(F.col("chars"), F.col("page_width"), gap_ratio, max_dividers).alias("dividers"))
 
 
 def assign_column(x0: Column, dividers: Column) -> Column:
@@ -21,18 +37,34 @@ def assign_column(x0: Column, dividers: Column) -> Column:
     return F.size(F.filter(dividers, lambda d: d <= x0))
 
 
+def page_text(chars: Column, dividers: Column, tolerance: int = 5) -> Column:
+    """A page's text: characters by x0 on lines by column and height, to the half-even
+    multiple of the tolerance. One sort of the page's array; a line breaks where column or
+    height change."""
+
+    def placed(c: Column) -> Column:
+        line = F.rint(c["top"] / tolerance) * tolerance
+        return F.struct(assign_column(c["x0"], dividers).alias("col"), line.alias("line"), c["x0"].alias("x0"), c["pos"].alias("pos"), c["text"].alias("text"))
+
+    def joined(rows: Column) -> Column:
+        def piece(r: Column, i: Column) -> Column:
+            before = F.get(rows, i - 1)
+            same = before["col"].eqNullSafe(r["col"]) & before["line"].eqNullSafe(r["line"])
+            return F.concat(F.when((i > 0) & ~same, "\n").otherwise(""), F.coalesce(r["text"], F.lit("")))
+
+        return F.array_join(F.transform(rows, piece), "")
+
+    # bound to a variable, as the array would be sorted again for each look at it
+    return F.get(F.transform(F.array(F.array_sort(F.transform(chars, placed))), joined), F.lit(0))
+
+
 def reconstruct_lines(chars: DataFrame, tolerance: int = 5) -> DataFrame:
-    """(doc, text): characters by x0 on lines by column and height, to the half-even
-    multiple of the tolerance; pages follow each other.
-
-    Boxes are dealt by page once; the columns' windows, the lines and the pages reuse
-    that, and a document gathers finished pages.
-    """
-    dealt = chars.repartition("doc", "page")
-    rows = dealt.join(detect_columns(dealt), ["doc", "page"]).select(
-        "doc", "page", assign_column(F.col("x0"), F.col("dividers")).alias("col"), (F.rint(F.col("top") / tolerance) * tolerance).alias("line"), F.struct("x0", "pos", "text").alias("c")
-    )
-    lines = rows.groupBy("doc", "page", "col", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["text"]), "").alias("text"))
-    pages = lines.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n")
-    return pages.groupBy("doc").agg(whole.alias("text"))
+    """(doc, text) of characters (doc, page, pos, x0, top, text, page_width): the pages' texts
+    one after the other. Characters are shuffled once, by page; gaps, columns and lines are
+    told within a page's row, and a document gathers finished pages."""
+    # bound to a variable, as the dividers would be told again for each character
+    dividers = F.array(dividers_of(F.col("chars"), F.col("page_width")))
+    text = F.get(F.transform(dividers, lambda d: page_text(F.col("chars"), d, tolerance)), F.lit(0))
+    texts = page_arrays(chars).select("doc", F.struct("page", text.alias("text")).alias("p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["text"]), "\n")
+    return texts.groupBy("doc").agg(whole.alias("text"))

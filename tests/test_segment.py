@@ -96,6 +96,29 @@ def test_lines_of_two_columns(spark):
     assert layout.reconstruct_lines(df).first().text == "AB\nEF\nCD\nZ"
 
 
+def test_pages_against_plain_python(spark):
+    rng = random.Random(21)
+    rows = []
+    for page in range(25):
+        for pos in range(rng.choice([1, 2, 30, 200])):
+            x = rng.choice([rng.uniform(0, 40), rng.uniform(47, 70), rng.uniform(90, 100), 10.0])
+            rows.append((f"d{page % 4}", page, pos, x, rng.uniform(0, 40), rng.choice(["a", "立", " ", None]), 100.0))
+    want = {}
+    for page in range(25):
+        own = sorted((r for r in rows if r[1] == page), key=lambda r: r[3])
+        gaps = sorted(((r[3] - q[3], -i) for i, (q, r) in enumerate(zip(own, own[1:])) if r[3] - q[3] > 5), reverse=True)[:2]
+        dividers = [own[-i][3] + g / 2 for g, i in gaps]
+        lines = {}
+        for _, _, pos, x, top, text, _ in own:
+            lines.setdefault((sum(d <= x for d in dividers), round(top / 5) * 5), []).append((x, pos, text or ""))
+        text = "\n".join("".join(c for *_, c in sorted(lines[k])) for k in sorted(lines))
+        want.setdefault(f"d{page % 4}", []).append(text)
+    df = spark.createDataFrame(rows, "doc string, page int, pos long, x0 double, top double, text string, page_width double").repartition(7)
+    assert {r.doc: r.text for r in layout.reconstruct_lines(df).collect()} == {d: "\n".join(t) for d, t in want.items()}
+    plan = layout.reconstruct_lines(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_main_text():
     html = "<html><body><nav>menu</nav><p>out</p><article><h1>T<b>i</b></h1><script>x()</script><p>one<br>two</p><div class='ads big'>ad</div><footer>f</footer></article><article>second</article></body></html>"
     assert pages.main_text(html) == "Ti\none\ntwo"
