@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import config as C
-from ..sources.scratch import written
+from ..sources.scratch import broadcast_if_small, written
 from .conflicts import _named
 
 
@@ -224,22 +224,66 @@ def neighbor_query(nodes: DataFrame, edges: DataFrame, requests: DataFrame, limi
     return _back(requests, distinct, _ranked(found, limit))
 
 
-def general_query(nodes: DataFrame, edges: DataFrame, requests: DataFrame, limit: int = 30, block: int = 10_000) -> DataFrame:
-    """The same over all directed edges for requests without a focus. Distinct (season,
-    keywords), of which a configuration has some hundreds, are a query set that goes to
-    the edges in broadcast blocks; each task keeps the first `limit` of each before they
-    are shuffled, and the requests get their answers by a join."""
+#: The term that is in every text, for requests that ask for no season or no word.
+_ANY = ""
+
+
+def _grams(text: F.Column) -> F.Column:
+    """The different characters and pairs of neighbouring characters of a text."""
+    text = F.coalesce(text, F.lit(""))
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    ones = F.transform(places, lambda i: F.substring(text, i, F.lit(1)))
+    twos = F.transform(F.filter(places, lambda i: i < F.length(text)), lambda i: F.substring(text, i, F.lit(2)))
+    return F.array_distinct(F.concat(ones, twos))
+
+
+def posted(rows: DataFrame, terms: DataFrame, texts: tuple[str, ...], name: str, whole: str | None = None) -> DataFrame:
+    """Rows under each of the terms (term) that a text of theirs holds, as column `name`; the
+    term '' is in every text. Where the column `whole` is the term, no text has to hold it.
+
+    The rows' characters and pairs meet the terms' beginnings by an equal join, and what
+    begins like a term is then looked at. Terms are distinct.
+    """
+    keys = F.array_distinct(F.concat(F.array(F.lit(_ANY)), *(_grams(F.col(t)) for t in texts)))
+    holds = None
+    for t in texts:
+        one = F.contains(F.coalesce(F.col(t), F.lit("")), F.col("_term"))
+        holds = one if holds is None else holds | one
+    own = terms.select(F.col("term").alias("_term"), F.substring("term", 1, 2).alias("_key"))
+    met = rows.withColumn("_key", F.explode(keys)).join(broadcast_if_small(own), "_key").filter(holds)
+    if whole:
+        equal = rows.join(broadcast_if_small(own.drop("_key")), F.col(whole) == F.col("_term")).filter(~holds)
+        met = met.drop("_key").unionByName(equal)
+    return met.select(*rows.columns, F.col("_term").alias(name))
+
+
+def general_query(nodes: DataFrame, edges: DataFrame, requests: DataFrame, limit: int = 30) -> DataFrame:
+    """The same over all directed edges for requests (request_id, season, keywords) without a
+    focus.
+
+    Edges are posted under the pairs of a season and a keyword that some request asks for.
+    Of each list the first `limit` are kept, by the tasks before they are shuffled and then
+    for all; a request's answer is the first of its keywords' lists, put together. An edge
+    among a request's first stands among the first of each list that has it, so the lists'
+    beginnings are enough.
+    """
     distinct = requests.select("season", "keywords").distinct()
     distinct = written(distinct.withColumn("request_id", F.sha2(F.to_json(F.struct("season", "keywords")), 256)), "requests")
-    asked = distinct.select("request_id", F.col("season").alias("asked"), "keywords")
-    rows = _edge_rows(nodes, edges).withColumns({"n_name": F.col("source"), "m_name": F.col("target")})
-    blocks, found = max(1, -(-distinct.count() // block)), None
-    for b in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == b)
-        part = rows.join(F.broadcast(own), _fits(F.col("asked"), F.col("keywords")))
-        part = _ranked(part.select("request_id", "asked", "source", "relation", "target", F.coalesce("season", F.lit("")).alias("season")), limit)
-        found = part if found is None else found.unionByName(part)
-    return _back(requests, distinct, found)
+    # an empty keyword is in every text
+    words = F.when((F.size("keywords") <= 0) | F.array_contains("keywords", ""), F.array(F.lit(_ANY))).otherwise(F.col("keywords"))
+    words = F.array_distinct(F.filter(F.coalesce(words, F.array(F.lit(_ANY))), lambda w: w.isNotNull()))
+    # an empty season asks for none
+    season = F.when(F.col("season") != "", F.col("season"))
+    asked = written(distinct.select("request_id", F.coalesce(season, F.lit(_ANY)).alias("_s"), season.alias("asked"), F.explode(words).alias("_w")), "asked")
+    seasons, terms = (asked.select(F.col(c).alias("term")).distinct() for c in ("_s", "_w"))
+    rows = _named(edges, nodes).select("edge_id", "source", "target", F.col("type").alias("raw"), F.coalesce("type", "rel_type").alias("relation"), F.coalesce("season", F.lit("")).alias("season"))
+    lists = posted(posted(rows, seasons, ("source", "target"), "_s", "season"), terms, ("raw", "target"), "_w")
+    lists = lists.join(broadcast_if_small(asked.select("_s", "_w").distinct()), ["_s", "_w"], "left_semi")
+    first = F.when((F.col("_s") != _ANY) & (F.col("season") == F.col("_s")), 0).otherwise(1)
+    order = (first, "relation", "target", "source", "season", "edge_id")
+    kept = lists.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_w").orderBy(*order))).filter(F.col("_n") <= limit)
+    found = asked.join(kept.drop("_n"), ["_s", "_w"]).select("request_id", "asked", "edge_id", "source", "relation", "target", "season").distinct()
+    return _back(requests, distinct, _ranked(found, limit))
 
 
 def _back(requests: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:

@@ -154,3 +154,28 @@ def test_neighbors_limit(spark):
     got = analytics.entity_neighbors(nodes, edges, names, limit=2).collect()
     assert len(got) == 2 and {r.direction for r in got} == {"out"}
     assert edges.filter(F.col("season").isNull()).count() == 1
+
+
+def test_general_query_against_a_plain_loop(spark):
+    rng = random.Random(17)
+    names = ["立春食", "冬至", "茶", "粥茶", "a", "ab", "", "春立", "立春立春"]
+    nodes = [(str(i), f"{rng.choice(names)}{i % 7 or ''}", ["X"]) for i in range(30)]
+    edges = [(f"e{k:03}", str(rng.randrange(30)), str(rng.randrange(30)), "rel", rng.choice([None, "宜食", "宜", "ab茶", "食"]), rng.choice([None, "", "立春", "冬至"])) for k in range(300)]
+    seasons, words = [None, "立春", "冬至", "", "春", "无"], [[], ["宜"], ["茶", "宜食"], ["ab", "b", "无"], ["无"], ["食", ""]]
+    requests = [(k, s, w) for k, (s, w) in enumerate([(s, w) for s in seasons for w in words] * 2)]
+    frames = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), spark.createDataFrame(requests, "request_id long, season string, keywords array<string>")
+    named = {i: n for i, n, _ in nodes}
+    want = []
+    for request_id, season, keywords in requests:
+        found = []
+        for _, src, dst, rel, kind, own in edges:
+            s, t, own = named[src], named[dst], own or ""
+            if season and not (own == season or season in s or season in t):
+                continue
+            if keywords and not any(w in (kind or "") or w in t for w in keywords):
+                continue
+            found.append((0 if season and own == season else 1, kind or rel, t, s, own))
+        want += [(request_id, s, r, t, own, n) for n, (_, r, t, s, own) in enumerate(sorted(found)[:10], 1)]
+    got = analytics.general_query(*frames, limit=10)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "NestedLoop" not in analytics.general_query(*frames)._jdf.queryExecution().executedPlan().toString()
