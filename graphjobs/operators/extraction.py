@@ -6,15 +6,17 @@ The model is a function of the user's; its answers are a column like any other.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import config as C
 from ..functions import text as X
-from ..sources.scratch import written
+from ..sources.scratch import scratch, written
 
 MAX_CANDIDATES, MAX_CONTEXT, MIN_CONTEXT = 60, 1500, 5
 
@@ -45,26 +47,78 @@ def prepare_requests(mentions: DataFrame, cap: int = MAX_CANDIDATES) -> DataFram
     return rows.select("id", "season", "candidates", F.array_join(F.transform("candidates", line), "\n").alias("candidates_text"), F.substring("context", 1, MAX_CONTEXT).alias("context"))
 
 
-def apply_extractor(requests: DataFrame, extractor: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
-    """Adds response: extractor(candidates texts, contexts) for each batch. The requests
-    of a batch that fails are asked one by one, and one that fails alone gives an empty
-    response; the job goes on. The responses are a table in the shared folder, so that
-    nothing that reads them asks the model again."""
+def request_key() -> Column:
+    """A request's hash: its answer is known by it in any later run."""
+    return F.sha2(F.concat_ws("\x1f", F.coalesce("candidates_text", F.lit("")), F.coalesce("context", F.lit(""))), 256)
 
-    @F.pandas_udf("string")
-    def run(candidates: pd.Series, contexts: pd.Series) -> pd.Series:
-        def asked(a: pd.Series, b: pd.Series) -> list:
+
+_ANSWER = "key string, response string"
+
+
+def known_answers(spark: SparkSession, log: str) -> DataFrame:
+    """(key, response) that tasks have put into the folder `log`; a line that was cut off is
+    none, and of several answers to one request the least stays."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+    return spark.read.schema(_ANSWER).json(log).filter("key is not null").groupBy("key").agg(F.min("response").alias("response"))
+
+
+class _Log:
+    """Answers on their way into a folder that all executors share, a file for each save."""
+
+    def __init__(self, folder: str) -> None:
+        self.files, self.folder = FileSystem.from_uri(folder)
+
+    def save(self, answers: list[tuple[str, str | None]]) -> None:
+        lines = "".join(json.dumps({"key": k, "response": r}, ensure_ascii=False) + "\n" for k, r in answers)
+        with self.files.open_output_stream(f"{self.folder}/{uuid.uuid4().hex}.json") as out:
+            out.write(lines.encode())
+
+
+def apply_extractor(
+    requests: DataFrame, extractor: Callable[[pd.Series, pd.Series], pd.Series], log: str | None = None, save_every: int = 16, parallel: int | None = None, retries: int = 1
+) -> DataFrame:
+    """Adds response: extractor(candidates texts, contexts).
+
+    Each different request is asked once. Requests go to the model `save_every` at a time,
+    and what it answers is in the folder `log` before the next ones go: a run that was
+    stopped, or a task that Spark runs again, asks only what has no answer there. A folder
+    that every executor reaches serves later runs as well; without one a new one is made.
+    At most `parallel` tasks ask at once, as a model's server may demand. Where several
+    fail together, each is asked alone; one that fails alone is tried `retries` times more,
+    then it has an empty response, no answer is kept and the job goes on.
+    """
+    spark = requests.sparkSession
+    log = log or scratch(spark, "answers")
+    asked = requests.withColumn("_key", request_key())
+    missing = asked.groupBy(F.col("_key").alias("key")).agg(F.first("candidates_text").alias("candidates_text"), F.first("context").alias("context"))
+    missing = missing.join(known_answers(spark, log).select("key"), "key", "left_anti")
+
+    def tried(a: pd.Series, b: pd.Series) -> list:
+        """(number, answer) of those that were answered."""
+        for _ in range(1 if len(a) > 1 else 1 + retries):
             try:
                 found = list(extractor(a, b))
                 if len(found) == len(a):
-                    return found
+                    return list(enumerate(found))
             except Exception:  # whatever a model's client raises
                 pass
-            return [x for i in range(len(a)) for x in asked(a.iloc[i : i + 1], b.iloc[i : i + 1])] if len(a) > 1 else [None]
-
-        return pd.Series(asked(candidates, contexts) if len(candidates) else [], dtype=object)
-
-    return written(requests.withColumn("response", run("candidates_text", "context")), "responses")
+        return [(i, x) for i in range(len(a)) for _, x in tried(a.iloc[i : i + 1], b.iloc[i : i + 1])] if len(a) > 1 else []
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = _Log(log)
+        for batch in batches:
+            for at in range(0, len(batch), save_every):
+                part = batch.iloc[at : at + save_every].reset_index(drop=True)
+                answers = [(part["key"][i], x) for i, x in tried(part["candidates_text"], part["context"])]
+                if answers:
+                    kept.save(answers)
+                yield pd.DataFrame({"n": [len(answers)]})
+
+    missing = missing.repartition(parallel) if parallel else missing
+    missing.mapInPandas(ask, "n long").agg(F.sum("n")).collect()
+    answers = known_answers(spark, log).withColumnRenamed("key", "_key")
+    return written(asked.join(answers, "_key", "left").drop("_key"), "responses")
 
 
 #: What a free extraction holds; relations keep each item as JSON, as they are lists or

@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import uuid
 
 import pytest
 
@@ -189,6 +190,51 @@ def test_one_bad_request_leaves_its_batch_alone(spark):
     assert extraction.apply_extractor(df.limit(0), model).count() == 0
 
 
+def test_a_run_that_was_stopped_asks_only_what_is_missing(spark, tmp_path):
+    calls, stop, log = tmp_path / "calls", tmp_path / "stop", str(tmp_path / "log")
+    calls.mkdir()
+    rows = [(i, f"c{i % 30}", "t") for i in range(40)]  # ten requests come twice
+    df = spark.createDataFrame(rows, "id long, candidates_text string, context string")
+
+    def model(candidates, contexts):
+        for c in candidates:
+            if stop.exists() and len(list(calls.iterdir())) >= 17:
+                raise KeyboardInterrupt("the run is stopped")
+            (calls / f"{c}-{uuid.uuid4().hex}").touch()
+        return candidates.str.upper()
+
+    stop.touch()
+    with pytest.raises(Exception, match="stopped"):
+        extraction.apply_extractor(df, model, log, save_every=1, parallel=2)
+    known = {r.key for r in extraction.known_answers(spark, log).collect()}
+    assert 0 < len(known) < 30
+    stop.unlink()
+    (tmp_path / "log" / "cut.json").write_text('{"key": "abc", "resp')
+    before = len(list(calls.iterdir()))
+    got = {r.id: r.response for r in extraction.apply_extractor(df, model, log, save_every=4).collect()}
+    assert got == {i: f"C{i % 30}" for i in range(40)}
+    # each answer that was kept was asked for once, by either run
+    assert len(list(calls.iterdir())) - before == 30 - len(known)
+    asked = [p.name.split("-")[0] for p in calls.iterdir()]
+    assert max(map(asked.count, asked)) <= 2 and len(asked) - 30 <= 2  # what was asked when it stopped
+    assert extraction.apply_extractor(df, None, log).count() == 40  # no model is needed any more
+
+
+def test_retries(spark, tmp_path):
+    df = spark.createDataFrame([(1, "c", "t"), (2, "d", "t")], "id long, candidates_text string, context string").coalesce(1)
+
+    def model(candidates, contexts):
+        mark = tmp_path / "-".join(candidates)
+        tries = len(list(tmp_path.glob(mark.name + ".*")))
+        (tmp_path / f"{mark.name}.{tries}").touch()
+        if len(candidates) > 1 or (candidates.iloc[0] == "d" and tries < 2):
+            raise ValueError("busy")
+        return candidates
+
+    got = {r.id: r.response for r in extraction.apply_extractor(df, model, parallel=1, retries=2).collect()}
+    assert got == {1: "c", 2: "d"}
+
+
 def test_free_extraction(spark):
     texts = [json.dumps({"entities": ["e"], "relations": [["a", "b", "c", "d"], "x，y-z", "one"], "attributes": [{"entity": "e", "attribute": "k", "value": "v"}]}), 'so {"relations": []} ok', "[1]", None, "no"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
