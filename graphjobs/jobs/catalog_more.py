@@ -150,28 +150,6 @@ def pick_season(spark, sf_dir):
     return _planned(spark, sf_dir).select("question_id", "season")
 
 
-_FORMATTED = f"""{_REL}, e AS (SELECT row_no % 50 AS question_id, {S.strip('type')} AS rel, {S.strip('target')} AS tgt, row_no AS rank FROM relations),
-    b AS (SELECT *, CASE WHEN {S.any_of('rel', C.GOOD_RELATIONS)} THEN 'positives' WHEN {S.any_of('rel', C.BAD_RELATIONS)} THEN 'negatives' WHEN {S.any_of('rel', C.EFFECT_RELATIONS)} THEN 'effects'
-        WHEN {S.any_of('rel', C.METHOD_HINTS)} THEN 'methods' WHEN {S.any_of('tgt', C.FOOD_HINTS)} THEN 'positives' WHEN {S.any_of('tgt', C.METHOD_HINTS)} THEN 'methods'
-        WHEN {S.any_of('rel', C.CAUSE_RELATIONS)} THEN 'effects' ELSE 'others' END AS bucket FROM e),
-    v AS (SELECT question_id, bucket, CASE WHEN tgt = '' AND (bucket = 'others' OR bucket = 'methods') THEN rel ELSE tgt END AS value, rank FROM b),
-    u AS (SELECT question_id, bucket, value, min(rank) AS rank FROM v WHERE value <> '' GROUP BY ALL),
-    l AS (SELECT question_id, list(value ORDER BY rank) FILTER (WHERE bucket = 'positives') AS good, list(value ORDER BY rank) FILTER (WHERE bucket = 'negatives') AS bad,
-        list(value ORDER BY rank) FILTER (WHERE bucket = 'methods') AS methods FROM u GROUP BY question_id),
-    n AS (SELECT question_id, count(*) AS evidence_count FROM e GROUP BY question_id)
-    SELECT question_id, CAST(evidence_count AS INTEGER) AS evidence_count, '关于冬至的饮食建议：' || chr(10) || array_to_string(list_filter([
-        CASE WHEN len(good) > 0 THEN '宜食：' || array_to_string(good[1:20], '、') || '。' END, CASE WHEN len(bad) > 0 THEN '忌食：' || array_to_string(bad[1:20], '、') || '。' END,
-        CASE WHEN len(methods) > 0 THEN '搭配建议：' || array_to_string(methods[1:8], '、') || '。' END], lambda x: x IS NOT NULL), chr(10)) AS answer_raw FROM l JOIN n USING (question_id)
-    WHERE len(coalesce(good, [])) + len(coalesce(bad, [])) + len(coalesce(methods, [])) > 0"""
-
-
-@query(_FORMATTED)
-def format_answer(spark, sf_dir):
-    evidence = Q._evidence(spark, sf_dir)
-    plans = evidence.select("question_id").distinct().select("question_id", F.lit("饮食养生").alias("intent"), F.array(F.lit("冬至")).alias("matched"), F.lit("冬至").alias("season"))
-    return qa.format_answer(plans, evidence)
-
-
 def _job(spark, sf_dir):
     return pipelines.clean_graph(K._mentions(spark, sf_dir), _rows(spark, sf_dir))
 

@@ -145,6 +145,89 @@ def bucket_evidence(spark, sf_dir):
     return qa.bucket_evidence(_evidence(spark, sf_dir))
 
 
+def _template_sql(template: str) -> str:
+    """DuckDB: the template with a question's label and prefix put in."""
+    return "'" + template.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{S}", "' || label || '").replace("{P}", "' || prefix || '") + "'"
+
+
+def _form_sql(intent: str) -> str:
+    """DuckDB: the answer to a question of an intent from its lists of values."""
+    (with_season, without), parts, sample, sorry = qa.ANSWERS[intent]
+    part = lambda bucket, before, cap, after: f"CASE WHEN len({bucket}) > 0 THEN {_template_sql(before)} || array_to_string({bucket}[1:{cap}], '、') || {_template_sql(after)} END"
+    body = f"array_to_string(list_filter([{', '.join(part(*p) for p in parts)}], lambda x: x IS NOT NULL), chr(10))"
+    rest = f"coalesce({part(*sample)}, {_template_sql(sorry)})" if sample else _template_sql(sorry)
+    return f"CASE WHEN {body} <> '' THEN CASE WHEN label <> '' THEN {_template_sql(with_season)} ELSE {_template_sql(without)} END || chr(10) || {body} ELSE {rest} END"
+
+
+def answers_sql(plans: str, evidence: str) -> str:
+    """DuckDB clauses that end in answers (question_id, evidence_count, answer_raw) of plans
+    (question_id, intent, matched, season) and evidence (question_id, source, relation,
+    target, season, rank)."""
+    lists = ", ".join(f"coalesce(list(value ORDER BY rank) FILTER (WHERE bucket = '{b}'), []) AS {b}" for b in qa.BUCKETS)
+    forms = " ".join(f"WHEN intent = '{i}' THEN {_form_sql(i)}" for i in qa.ANSWERS)
+    return f"""told AS (SELECT question_id, {S.strip('relation')} AS rel, {S.strip('target')} AS tgt, rank FROM {evidence}),
+    put AS (SELECT *, CASE WHEN {S.any_of('rel', C.GOOD_RELATIONS)} THEN 'positives' WHEN {S.any_of('rel', C.BAD_RELATIONS)} THEN 'negatives' WHEN {S.any_of('rel', C.EFFECT_RELATIONS)} THEN 'effects'
+        WHEN {S.any_of('rel', C.METHOD_HINTS)} THEN 'methods' WHEN {S.any_of('tgt', C.FOOD_HINTS)} THEN 'positives' WHEN {S.any_of('tgt', C.METHOD_HINTS)} THEN 'methods'
+        WHEN {S.any_of('rel', C.CAUSE_RELATIONS)} THEN 'effects' ELSE 'others' END AS bucket,
+        {S.any_of('rel', C.METHOD_HINTS)} AND NOT {S.any_of('rel', (*C.GOOD_RELATIONS, *C.BAD_RELATIONS, *C.EFFECT_RELATIONS))} AS by_rel FROM told),
+    worth AS (SELECT question_id, bucket, CASE WHEN tgt = '' AND (bucket = 'others' OR by_rel) THEN rel ELSE tgt END AS value, rank FROM put),
+    valued AS (SELECT question_id, bucket, value, min(rank) AS rank FROM worth WHERE value <> '' GROUP BY ALL),
+    listed AS (SELECT question_id, {lists} FROM valued GROUP BY question_id),
+    kept AS (SELECT question_id, count(*) AS n, list({{'source': source, 'relation': relation, 'target': target, 'season': season}} ORDER BY rank) AS records FROM {evidence} GROUP BY question_id),
+    met AS (SELECT p.question_id, p.intent, p.matched, coalesce(n, 0) AS n, coalesce(records, []) AS records, {', '.join(f'coalesce({b}, []) AS {b}' for b in qa.BUCKETS)},
+            coalesce(nullif(p.season, ''), records[1].season, '') AS label
+        FROM {plans} p LEFT JOIN kept USING (question_id) LEFT JOIN listed USING (question_id)),
+    labelled AS (SELECT *, CASE WHEN label <> '' THEN label || '时节' ELSE '该时节' END AS prefix,
+            list_transform(records[1:8], lambda r: '- ' || r.source || ' ' || r.relation || ' ' || r.target) AS lines FROM met),
+    answers AS (SELECT question_id, CAST(n AS INTEGER) AS evidence_count, CASE WHEN n = 0 THEN '{qa.APOLOGY}' {forms}
+        WHEN intent = '{qa.PATH}' AND len(matched) >= 2 THEN matched[1] || ' 与 ' || matched[2] || ' 的关联路径：' || chr(10) || array_to_string(list_transform(range(1, CAST(n AS BIGINT) + 1), lambda i:
+            i || '. ' || records[i].source || ' --' || records[i].relation || '--> ' || records[i].target || CASE WHEN records[i].season <> '' THEN '（节气：' || records[i].season || '）' ELSE '' END), chr(10))
+        ELSE '关联知识要点：' || chr(10) || array_to_string(list_filter(lines, lambda x, i: list_position(lines, x) = i), chr(10))
+            || CASE WHEN n > 8 THEN chr(10) || '… 还有 ' || (n - 8) || ' 条关联可继续查看。' ELSE '' END END AS answer_raw FROM labelled)"""
+
+
+#: Every fortieth relation begins a new question; intents and seasons take turns, and every
+#: eleventh question has no evidence.
+_FORMS = (*qa.ANSWERS, qa.PATH, "通用查询")
+_FORMED = f"""{cte('relations')}, e AS (SELECT CAST(floor(row_no / 40) AS BIGINT) AS question_id, source, type AS relation, target, season, row_no AS rank FROM relations),
+    plans AS (SELECT question_id, ([{S.listed(_FORMS)}])[CAST(question_id % {len(_FORMS)} + 1 AS INT)] AS intent, ['甲', '乙'] AS matched, (['冬至', '', NULL])[CAST(question_id % 3 + 1 AS INT)] AS season FROM (SELECT DISTINCT question_id FROM e)),
+    known AS (SELECT * FROM e WHERE question_id % 11 <> 5), {answers_sql('plans', 'known')}"""
+
+
+@query(f"{_FORMED} SELECT question_id, evidence_count, answer_raw FROM answers")
+def format_answer(spark, sf_dir):
+    """All forms of answers."""
+    rows = frame(spark, sf_dir, "relations")
+    evidence = rows.select(F.floor(F.col("row_no") / 40).alias("question_id"), "source", F.col("type").alias("relation"), "target", "season", F.col("row_no").alias("rank"))
+    turn = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("question_id") % len(values)).cast("int"))
+    plans = evidence.select("question_id").distinct().select("question_id", turn(_FORMS).alias("intent"), F.array(F.lit("甲"), F.lit("乙")).alias("matched"), turn(("冬至", "", None)).alias("season"))
+    return qa.format_answer(plans, evidence.filter("question_id % 11 <> 5"))
+
+
+_ANSWERED = f"""{_KG}, {_PLANNED.removeprefix('WITH ')},
+    judged_q AS (SELECT *, length({_CORE}) <= 1 OR (len(list_distinct(string_split({_CORE}, ''))) = 1 AND length({_CORE}) <= 5) OR NOT regexp_matches({_CORE}, '[A-Za-z一-鿿]') AS bad FROM planned),
+    good AS (SELECT *, NOT bad AND len(matched) > 0 AS good FROM judged_q),
+    wishes AS (SELECT question_id AS request_id, season AS asked, coalesce(season, matched[1]) AS focus,
+        CASE {' '.join(f"WHEN intent = '{i}' THEN [{S.listed(w)}]" for i, w in C.INTENT_WORDS.items())} ELSE [{S.listed(C.OTHER_INTENT_WORDS)}] END AS words FROM good WHERE good AND kind = 'neighbour'),
+    found_q AS (SELECT DISTINCT request_id, asked, source, relation, target, e.season FROM wishes JOIN sides e ON n = focus WHERE {_FITS}),
+    ranked_q AS (SELECT *, {_RANKED} FROM found_q),
+    seen AS (SELECT request_id AS question_id, source, relation, target, season, rank FROM ranked_q WHERE rank <= 30),
+    near_q AS (SELECT * FROM good WHERE good AND kind = 'neighbour'), {answers_sql('near_q', 'seen')}"""
+
+
+@query(
+    f"""{_ANSWERED} SELECT question_id, question, CASE WHEN question = '' THEN 'error' ELSE 'ok' END AS status, CASE WHEN good THEN intent WHEN question <> '' THEN '{qa.INVALID}' END AS intent,
+    CASE WHEN good THEN array_to_string(matched, '|') ELSE '' END AS matched, CASE WHEN good THEN season END AS season,
+    CASE WHEN good THEN '查询【' || coalesce(season, matched[1]) || '】的关联知识' WHEN question = '' THEN '问题不能为空' WHEN bad THEN '无效提问，未执行查询' ELSE '未匹配到有效实体，未执行查询' END AS description,
+    coalesce(evidence_count, 0) AS evidence_count, CASE WHEN good THEN answer_raw WHEN question <> '' THEN '{qa.APOLOGY}' END AS answer_raw
+    FROM good LEFT JOIN answers USING (question_id) WHERE NOT good OR kind = 'neighbour'"""
+)
+def answer_questions_near(spark, sf_dir):
+    """The answers that come from an entity's neighbours, and all refusals: all but paths, of
+    which several may be equally short."""
+    return answer_questions(spark, sf_dir).filter(F.coalesce(F.col("intent") != qa.PATH, F.lit(True)))
+
+
 @query()
 def answer_questions(spark, sf_dir):
     out = qa.answer_questions(frame(spark, sf_dir, "questions"), _lexicon(spark, sf_dir), *_graph(spark, sf_dir))
