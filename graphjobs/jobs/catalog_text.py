@@ -346,19 +346,44 @@ def append_relations(spark, sf_dir):
     return extraction.append_relations(old, rows).select("source", "target", "type", "season")
 
 
+_SAID = r"""said AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS l FROM documents),
+    w AS (SELECT doc_id, t, coalesce(l[1], '') AS a, coalesce(l[2], '') AS b, coalesce(l[3], '') AS c FROM said)"""
+
+
 @query(
-    f"""{cte('relations')} SELECT row_no, CASE WHEN row_no % 4 = 3 THEN '' ELSE '3' END AS entities,
-    CASE WHEN row_no % 4 = 3 THEN '' WHEN row_no % 4 = 1 THEN 'a>b>d' ELSE 'x>y>z' END AS relations FROM relations"""
+    f"""WITH {_SAID} SELECT doc_id, CASE WHEN doc_id % 6 IN (3, 4) THEN '' ELSE a || '|' || b END AS entities,
+    CASE doc_id % 6 WHEN 0 THEN a || '>宜>' || b WHEN 1 THEN a || '>属于>' || c WHEN 2 THEN a || '>x>' || b || '>' || t WHEN 5 THEN c || '>p>q|' || b || '>忌>' || a ELSE '' END AS relations,
+    CASE WHEN doc_id % 6 IN (3, 4) THEN '' ELSE a || ':k:' || t END AS attributes FROM w"""
 )
 def normalize_extraction(spark, sf_dir):
-    rows = frame(spark, sf_dir, "relations").select("row_no")
-    kinds = [
-        '{"entities": ["a", "b", "3"], "relations": [["x", "y", "z"], ["x", "y"], 5]}',
-        'Answer: ```json\n{"entities": ["a", "b", "c"], "relations": ["a, b，c- d", "a, b"]}\n``` end',
-        'so {"relations": [["x", "y", "z"]], "entities": ["a", "b", "c"]} it is',
-        "[1, 2]",
-    ]
-    text = F.element_at(F.array(*map(F.lit, kinds)), (F.col("row_no") % 4 + 1).cast("int"))
-    out = rows.withColumn("n", extraction.normalize_extraction(extraction.parse_response_object(text)))
-    size = F.size("n.entities")
-    return out.select("row_no", F.when(size > 0, size.cast("string")).otherwise("").alias("entities"), F.array_join(F.transform("n.relations", lambda r: F.array_join(r, ">")), "|").alias("relations"))
+    """Responses with the words and the whole text of each document: bare, fenced and in
+    prose; lists, broken ones; relations of two, three and more items and as text."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    found = docs.withColumn("l", F.regexp_extract_all("t", F.lit("[A-Za-z]+"), F.lit(0)))
+    a, b, c = (F.coalesce(F.get("l", F.lit(i)), F.lit("")) for i in range(3))
+    listed = lambda *items: F.to_json(F.array(*items))
+    text = lambda *parts: F.substring(F.to_json(F.array(F.concat(*parts))), 2, 1 << 30)  # noqa: E731  with the bracket that closes
+    lit = F.lit
+    relations = (
+        F.when(F.col("doc_id") % 6 == 0, F.concat(lit("["), listed(a, lit("宜"), b), lit(", "), listed(a, b), lit(", 5]")))
+        .when(F.col("doc_id") % 6 == 1, F.concat(lit('["one", '), text(a, lit(", 属于，"), b, lit("- "), c)))
+        .when(F.col("doc_id") % 6 == 2, F.concat(lit("["), listed(a, lit("x"), b, F.col("t")), lit("]")))
+        .otherwise(F.concat(lit("["), listed(c, lit("p"), lit("q")), lit(", "), text(b, lit("-忌，"), a)))
+    )
+    attributes = F.to_json(F.array(F.struct(a.alias("entity"), lit("k").alias("attribute"), F.col("t").alias("value"))))
+    whole = F.concat(lit('{"entities": '), listed(a, b), lit(', "relations": '), relations, lit(', "attributes": '), attributes, lit("}"))
+    said = (
+        F.when(F.col("doc_id") % 6 == 1, F.concat(lit("Answer: ```json\n"), whole, lit("\n``` end")))
+        .when(F.col("doc_id") % 6 == 2, F.concat(lit("so "), whole, lit(" it is")))
+        .when(F.col("doc_id") % 6 == 3, F.concat(lit("["), whole, lit("]")))
+        .when(F.col("doc_id") % 6 == 4, F.substring(whole, 2, 1 << 30))
+        .otherwise(whole)
+    )
+    out = found.select("doc_id", extraction.normalize_extraction(extraction.parse_response_object(said)).alias("n"))
+    joined = lambda c, f: F.array_join(F.transform(c, f), "|")
+    return out.select(
+        "doc_id",
+        F.array_join("n.entities", "|").alias("entities"),
+        joined("n.relations", lambda r: F.array_join(r, ">")).alias("relations"),
+        joined("n.attributes", lambda x: F.concat_ws(":", x["entity"], x["attribute"], x["value"])).alias("attributes"),
+    )
