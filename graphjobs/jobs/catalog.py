@@ -241,6 +241,33 @@ def inconsistent_seasons(spark, sf_dir):
     return conflicts.inconsistent_seasons(*tables(spark, sf_dir, "nodes", "edges"), limit=None).select("source", "target", "rel_type", flat("seasons"))
 
 
+# The reports as they are printed, with their limits.
+
+
+@query(f"""{_BOTH}, {_NAMED} SELECT source, target, rel_type, count(*) AS count, {_FLAT.format('list_sort(list(edge_id))')} AS edge_ids FROM named
+    GROUP BY src_id, dst_id, source, target, rel_type HAVING count(*) > 1 ORDER BY count DESC, source, target, rel_type, list_sort(list(edge_id)) LIMIT 100""")
+def duplicate_relations_report(spark, sf_dir):
+    return conflicts.duplicate_relations(*tables(spark, sf_dir, "nodes", "edges")).select("source", "target", "rel_type", "count", flat("edge_ids"))
+
+
+@query(f"""{_NODES} SELECT {_KEY} AS normalized, {_FLAT.format('list_sort(list(DISTINCT name))')} AS variants, {_FLAT.format(_SETS)} AS label_sets, count(*) AS count FROM nodes
+    GROUP BY {_KEY} HAVING count(*) > 1 ORDER BY count DESC, normalized LIMIT 50""")
+def naming_conflicts_report(spark, sf_dir):
+    return conflicts.naming_conflicts(frame(spark, sf_dir, "nodes")).select("normalized", flat("variants"), _sets("label_sets"), "count")
+
+
+@query(f"""{_BOTH}, {_NAMED} SELECT source, target, rel_type, {_FLAT.format('list_sort(list(DISTINCT season))')} AS seasons FROM named WHERE season IS NOT NULL
+    GROUP BY source, target, rel_type HAVING count(DISTINCT season) > 1 ORDER BY count(DISTINCT season) DESC, source, target, rel_type LIMIT 50""")
+def inconsistent_seasons_report(spark, sf_dir):
+    return conflicts.inconsistent_seasons(*tables(spark, sf_dir, "nodes", "edges")).select("source", "target", "rel_type", flat("seasons"))
+
+
+@query(f"""{_BOTH} SELECT name, {_FLAT.format('labels')} AS labels, node_id FROM nodes WHERE node_id NOT IN (SELECT src_id FROM edges UNION ALL SELECT dst_id FROM edges)
+    AND list_contains(labels, 'Organization') ORDER BY name, node_id LIMIT 100""")
+def isolated_nodes_report(spark, sf_dir):
+    return conflicts.isolated_nodes(*tables(spark, sf_dir, "nodes", "edges"), label="Organization", limit=100).select("name", flat("labels"), "node_id")
+
+
 _CHECKS = f"""{_BOTH}, {_NAMED}, checks AS (
     SELECT 'duplicate_nodes' AS "check", count(*) AS n FROM (SELECT name FROM nodes GROUP BY name HAVING len({_SETS}) > 1)
     UNION ALL SELECT 'self_loops', count(*) FROM edges WHERE src_id = dst_id

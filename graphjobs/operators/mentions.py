@@ -102,19 +102,31 @@ def _by_automaton(docs: DataFrame, names: list) -> DataFrame:
 def with_names(docs: DataFrame, dictionary: DataFrame, method: str = "auto", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Adds _all, where each dictionary name (name, label, pos) first occurs in the
     context. method names looks for few names one by one with SQL functions, automaton
-    for any number in one pass; auto decides by their number. Names come in blocks of a
-    bounded size, one after the other; with more than one, what each finds is a table in
-    the shared folder before the next is loaded."""
+    for any number in one pass; auto decides by their number.
+
+    Names come in blocks of a bounded size. With more than one, the texts are a table that
+    each block reads, and what a block finds is kept by the row's number alone; the rows
+    with hits get them by one join at the end.
+    """
     size = dictionary.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("chars")).first()
     few = method == "names" or (method == "auto" and size.n <= FEW_NAMES)
     blocks = 1 if few else max(1, -(-size.chars // block_chars))
-    out = docs.withColumn("_all", F.expr(f"cast(array() as {_FOUND})"))
+    empty = F.expr(f"cast(array() as {_FOUND})")
+
+    def names_of(b: int) -> list:
+        return dictionary.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).select("name", "label", F.col("pos").cast("long").alias("pos")).collect()
+
+    if blocks == 1:
+        names = names_of(0)
+        return (_by_name if few else _by_automaton)(docs, names).withColumnRenamed("_found", "_all") if names else docs.withColumn("_all", empty)
+    own = written(docs.withColumn("_row", F.monotonically_increasing_id()), "named-texts")
+    found = None
     for b in range(blocks):
-        names = dictionary.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).select("name", "label", F.col("pos").cast("long").alias("pos")).collect()
-        if names:
-            out = (_by_name if few else _by_automaton)(out, names).withColumn("_all", F.concat("_all", "_found")).drop("_found")
-            out = written(out, "named") if b + 1 < blocks else out
-    return out
+        if names := names_of(b):
+            hits = written(_by_automaton(own.select("_row", "context"), names).filter(F.size("_found") > 0).select("_row", "_found"), "named")
+            found = hits if found is None else found.union(hits)
+    merged = found.groupBy("_row").agg(F.flatten(F.collect_list("_found")).alias("_all"))
+    return own.join(merged, "_row", "left").withColumn("_all", F.coalesce("_all", empty)).drop("_row")
 
 
 def link_mentions(docs: DataFrame, dictionary: DataFrame, method: str = "auto", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -123,7 +135,8 @@ def link_mentions(docs: DataFrame, dictionary: DataFrame, method: str = "auto",
 
     Each name counts once, by where it first occurs; of names that start together the
     longer comes first, then the dictionary's order. Names within names stay. A null
-    season is unknown. Documents are never shuffled; see with_names for the methods.
+    season is unknown. Documents are not shuffled by a dictionary of one block; see
+    with_names.
     """
     own = docs.filter(F.col("context") != "").select("id", F.coalesce("season", F.lit(C.UNKNOWN_SEASON)).alias("season"), "context")
     out = with_names(own, dictionary, method, block_chars).filter(F.size("_all") > 0)
