@@ -1,3 +1,4 @@
+import html as html_entities
 import json
 import random
 import re
@@ -120,6 +121,86 @@ def test_pages_against_plain_python(spark):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+class Node:
+    def __init__(self, tag, attrs="", parent=None):
+        self.tag, self.parent, self.children = tag, parent, []
+        found = dict(re.findall(r"""([\w-]+)\s*=\s*["']([^"']*)["']""", attrs))
+        self.classes, self.id = found.get("class", "").split(), found.get("id", "")
+
+    def every(self):
+        yield self
+        for c in self.children:
+            if isinstance(c, Node):
+                yield from c.every()
+
+
+def tree_of(page):
+    """A tree of a page by a tokenizer of its own: comments and declarations go, scripts and
+    styles hold no tags, an end tag closes up to its start."""
+    page = re.sub(r"(?s)<!--.*?-->|<![^>]*>", "", page)
+    page = re.sub(r"(?is)<(script|style)([^>]*)>.*?</\1>", r"<\1\2></\1>", page)
+    at = top = Node("top")
+    for end, tag, attrs, text in re.findall(r"<(/?)([A-Za-z][\w-]*)([^>]*)>|([^<]+)", page):
+        tag = tag.lower()
+        if text:
+            at.children.append(html_entities.unescape(text))
+        elif end:
+            up = at
+            while up.parent and up.tag != tag:
+                up = up.parent
+            at = up.parent or at
+        else:
+            node = Node(tag, attrs, at)
+            at.children.append(node)
+            if tag not in pages.VOID:
+                at = node
+    return top
+
+
+def text_of_tree(page):
+    top = tree_of(page)
+
+    def dropped(n):
+        return n.tag in pages.DROPPED_TAGS or bool(pages.DROPPED_CLASSES & set(n.classes))
+
+    def cleaned(n):
+        n.children = [c for c in n.children if not (isinstance(c, Node) and dropped(c))]
+        for c in n.children:
+            if isinstance(c, Node):
+                cleaned(c)
+
+    cleaned(top)
+    for wanted in pages.CONTAINERS:
+        found = [n for n in top.every() if wanted in (n.tag, "#" + n.id) or wanted[1:] in n.classes and wanted[0] == "."]
+        if found:
+            break
+    else:
+        return ""
+
+    def pieces(n):
+        for c in n.children:
+            if isinstance(c, str):
+                yield c.replace("\n", " ")
+            else:
+                around = "" if c.tag in pages.INLINE else "\n"
+                yield around + "".join(pieces(c)) + around
+
+    return "\n".join(x.strip() for x in "".join(pieces(found[0])).split("\n") if x.strip())
+
+
+def test_main_text_of_all_pages_against_a_tree(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = rows.select("page_id", "html", pages.html_main_text(F.col("html")).alias("t")).collect()
+    assert len(got) > 200 and all(r.t == text_of_tree(r.html or "") for r in got)
+    assert sum(len(r.t) > 100 for r in got) > 100
+    articles = pages.pages_to_articles(rows.select("url", "html", F.col("page_id").alias("pos"))).collect()
+    want = {r.page_id: r.html for r in got if len(r.t) > 100}
+    assert {a.pos for a in articles} == set(want)
+    for a in articles:
+        title = re.search(r"(?is)<title[^>]*>(.*?)</title>", want[a.pos])
+        assert a.content == text_of_tree(want[a.pos]) and a.title == (title[1].strip(" ") if title else "")
+
+
 def test_main_text():
     html = "<html><body><nav>menu</nav><p>out</p><article><h1>T<b>i</b></h1><script>x()</script><p>one<br>two</p><div class='ads big'>ad</div><footer>f</footer></article><article>second</article></body></html>"
     assert pages.main_text(html) == "Ti\none\ntwo"
