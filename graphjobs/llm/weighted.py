@@ -23,8 +23,11 @@ SAMPLES = 64
 #: Hex digits of a sample in the fingerprint; two that differ look alike in 2^-16 of cases.
 DIGITS = 4
 SEPARATOR = r"[\x20\x09-\x0D]+"
-#: Rows of a block of neighbouring ids, about; and the most blocks.
-BLOCK_ROWS, BLOCKS = 4_096, 1 << 16
+#: Rows of a block of neighbouring ids, about, and the most blocks; rows of a partition, about,
+#: and the most partitions, unless the session has more. Words are counted within partitions,
+#: so small ones are counted in memory.
+BLOCK_ROWS, BLOCKS = 256, 1 << 16
+PARTITION_ROWS, PARTITIONS = 2_048, 20_000
 
 _NAME_BITS, _STEP_BITS, _OFFSET = 23, 32, 128
 _NO_SAMPLE = (1 << 63) - 1
@@ -90,10 +93,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("id", fingerprint(F.col("samples")).alias("fingerprint")).unionByName(bare)
 
 
-def _boundaries(ids: DataFrame) -> list[int]:
+def _boundaries(ids: DataFrame, rows: int) -> list[int]:
     """Ids that part the rows into blocks of about BLOCK_ROWS, as quantiles; one less than a
     power of two, at most BLOCKS - 1."""
-    rows = ids.count()
     levels = max(0, min(math.ceil(math.log2(max(1, rows / BLOCK_ROWS))), int(math.log2(BLOCKS))))
     n = 1 << levels
     if n == 1:
@@ -122,7 +124,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     there), which is how a window inside a block sees the next one. One exchange of the
     texts, by block.
     """
-    boundaries = _boundaries(docs.select("doc_id"))
+    n = docs.select("doc_id").count()
+    boundaries = _boundaries(docs.select("doc_id"), n)
     own = docs.withColumn("block", _block(F.col("doc_id"), boundaries))
     heads = own.groupBy("block").agg(F.min("doc_id").alias("head"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     rows = sorted(heads.collect(), key=lambda r: r["block"])  # BLOCKS at most
@@ -130,7 +133,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     schema = "head long, target int"
     targets = docs.sparkSession.createDataFrame([(None if r["nulls"] else r["head"], before[r["block"]]) for r in rows], schema)
     seams = own.join(F.broadcast(targets), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("target").alias("block"), F.lit(True).alias("last"))
-    all_rows = own.select("doc_id", "text", "block", F.lit(False).alias("last")).unionByName(seams)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(PARTITIONS, n // PARTITION_ROWS))
+    all_rows = own.select("doc_id", "text", "block", F.lit(False).alias("last")).unionByName(seams).repartition(parts, "block")
     order = Window.partitionBy("block").orderBy("last", F.col("doc_id").asc_nulls_first(), "text")
     return all_rows.select("block", F.row_number().over(order).alias("place"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), "last")
 
