@@ -30,25 +30,34 @@ BLOCK_ROWS, BLOCKS = 256, 1 << 16
 PARTITION_ROWS, PARTITIONS = 2_048, 20_000
 
 _NAME_BITS, _STEP_BITS, _OFFSET = 23, 32, 128
+#: Its multiples part the draws of a term.
+_ODD = 0x9E3779B97F4A7C15
 _NO_SAMPLE = (1 << 63) - 1
 
 
+def _signed(x: int) -> int:
+    """The lowest 64 bits as a long."""
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
+
+
 def sample(term: Column, log_weight: Column, k: int) -> Column:
     """The k-th draw of a term as one long; the least of a text's terms is its sample.
 
     term is a long (a hash), log_weight the natural logarithm of a weight of 1 or more.
     """
-    first = F.xxhash64(term, F.lit(2 * k))
-    second = F.xxhash64(term, F.lit(2 * k + 1))
-
-    def uniform(hash: Column, low: int, bits: int) -> Column:
-        """In (0, 1), from some bits of a hash."""
-        part = F.shiftrightunsigned(hash, low).bitwiseAND(F.lit((1 << bits) - 1))
-        return (part.cast("double") + 0.5) / float(1 << bits)
-
-    r = -F.log(uniform(first, 0, 21) * uniform(first, 21, 21))
-    b = uniform(first, 42, 22)
-    log_c = F.log(-F.log(uniform(second, 0, 32) * uniform(second, 32, 32)))
+    first = F.xxhash64(term.bitwiseXOR(F.lit(_signed((k + 1) * _ODD))))
+    second = F.xxhash64(first)
+
+    def part(hash: Column, low: int, bits: int) -> Column:
+        """Some bits of a hash as a number, in the middle of its step."""
+        own = F.shiftrightunsigned(hash, low) if low else hash
+        return own.bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5
+
+    # products of two uniform numbers in (0, 1)
+    r = -F.log(part(first, 0, 21) * part(first, 21, 21) * 2.0**-42)
+    b = part(first, 42, 22) * 2.0**-22
+    log_c = F.log(-F.log(part(second, 0, 32) * part(second, 32, 32) * 2.0**-64))
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1.0)
     name = second.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit((1 << _NAME_BITS) - 1))

@@ -18,10 +18,11 @@ def drawn(word, weight, k):
     """The k-th draw of a word, in plain arithmetic: (ln a in steps, name)."""
     term = xxhash.xxh64_intdigest(word.encode(), seed=42)
 
-    def hashed(n):
-        return xxhash.xxh64_intdigest(struct.pack("<i", n), seed=xxhash.xxh64_intdigest(struct.pack("<Q", term), seed=42))
+    def hashed(x):
+        return xxhash.xxh64_intdigest(struct.pack("<Q", x & (1 << 64) - 1), seed=42)
 
-    first, second = hashed(2 * k), hashed(2 * k + 1)
+    first = hashed(term ^ (k + 1) * 0x9E3779B97F4A7C15)
+    second = hashed(first)
     u = [((first >> low & (1 << bits) - 1) + 0.5) / (1 << bits) for low, bits in ((0, 21), (21, 21), (42, 22))]
     v = [((second >> low & 0xFFFFFFFF) + 0.5) / (1 << 32) for low in (0, 32)]
     r, log_c = -math.log(u[0] * u[1]), math.log(-math.log(v[0] * v[1]))
