@@ -171,16 +171,16 @@ def write_graph(spark, sf_dir):
 # --- stream ------------------------------------------------------------------------
 
 
-@query(f"{_REL} SELECT source, target, type, season, 1 AS times FROM relations GROUP BY ALL")
+@query(f"{_REL} SELECT source, target, type, season, min(row_no) AS row_no, 1 AS times FROM relations GROUP BY ALL")
 def append_relations_stream(spark, sf_dir):
-    """Records that arrive as several files, a batch each, and half of them once more; how
-    often each relation was appended, with a row number that is one of its own."""
+    """Records that arrive in three parts by their numbers, a batch each, and half of them once
+    more; the number that each relation was appended with and how often it was."""
     source, table, checkpoint = (scratch(spark, n) for n in ("arriving", "appended", "stream"))
     rows = frame(spark, sf_dir, "relations")
-    rows.repartitionByRange(3, "row_no").write.json(source)
-    for _ in range(2):
-        append.append_relations_stream(spark, source, rows.schema.simpleString()[7:-1].replace(":", " "), lambda df: df, table, checkpoint, files_per_batch=1).awaitTermination()
-        rows.filter("row_no % 2 = 0").write.mode("append").json(source)
-    appended = spark.read.parquet(table).select(*append.KEYS, "row_no")
-    known = appended.alias("a").join(rows.alias("r"), [F.col(f"a.{c}").eqNullSafe(F.col(f"r.{c}")) if c != "row_no" else F.col("a.row_no") == F.col("r.row_no") for c in appended.columns], "left_semi")
-    return known.groupBy(*append.KEYS).agg(F.count("*").cast("int").alias("times"))
+    low, high = rows.agg(F.coalesce(F.min("row_no"), F.lit(0)), F.coalesce(F.max("row_no"), F.lit(0))).first()
+    third = (high - low) // 3 + 1
+    parts = [rows.filter((F.col("row_no") - low >= k * third) & (F.col("row_no") - low < (k + 1) * third)) for k in range(3)]
+    for part in [*parts, rows.filter("row_no % 2 = 0")]:
+        part.write.mode("append").json(source)
+        append.append_relations_stream(spark, source, rows.schema.simpleString()[7:-1].replace(":", " "), lambda df: df, table, checkpoint, files_per_batch=1_000_000).awaitTermination()
+    return spark.read.parquet(table).groupBy(*append.KEYS).agg(F.min("row_no").alias("row_no"), F.count("*").cast("int").alias("times"))

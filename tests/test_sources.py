@@ -137,3 +137,13 @@ def test_batches_don_t_read_the_table_and_run_again_after_a_failure(spark, tmp_p
     (tmp_path / "check" / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
     arriving(tmp_path / "in", "3.json", [dict(rows[0], source="third"), rows[3]])
     assert appended(spark, tmp_path, files_per_batch=1) == [("new", "s"), ("third", "s")]
+
+
+def test_the_least_number_of_the_first_batch_stays(spark, tmp_path):
+    rows = [dict(source="a", target="b", type="t", season=None, row_no=n) for n in (5, 3, 9)]
+    arriving(tmp_path / "in", "1.json", [*rows, dict(rows[0], source="c")])
+    appended(spark, tmp_path)
+    arriving(tmp_path / "in", "2.json", [dict(rows[0], row_no=1), dict(rows[0], source="d", row_no=8), dict(rows[0], source="d", row_no=7)])
+    appended(spark, tmp_path)
+    got = [(r.source, r.row_no) for r in spark.read.parquet(str(tmp_path / "table")).collect()]
+    assert sorted(got) == [("a", 3), ("c", 5), ("d", 7)]
