@@ -9,6 +9,9 @@ generalised Jaccard similarity of their weights, sum(min) / sum(max).
 Terms are words, weights are how often a text has them. Only DataFrame functions are used.
 A sample and its ln a are one long, so the least is found by a plain min() in generated
 code: 40 bits of ln a in steps of 2^-32 before 23 bits that name (term, t).
+
+A draw depends on a term and its weight alone, so those of frequent words are drawn once for
+the corpus and looked up; all others are drawn in place, with the same outcome.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Samples of a fingerprint; the similarity has a standard error of 0.0625 at most.
 SAMPLES = 64
 #: Hex digits of a sample in the fingerprint; two that differ look alike in 2^-16 of cases.
@@ -28,6 +33,9 @@ SEPARATOR = r"[\x20\x09-\x0D]+"
 #: so small ones are counted in memory.
 BLOCK_ROWS, BLOCKS = 256, 1 << 16
 PARTITION_ROWS, PARTITIONS = 2_048, 20_000
+#: Draws are looked up for words that make up one in FREQUENT or more of all that are found
+#: RARE times at least, so for FREQUENT words at most: 540 bytes for each weight.
+FREQUENT, RARE = 1 << 18, 8
 
 _NAME_BITS, _STEP_BITS, _OFFSET = 23, 32, 128
 #: Its multiples part the draws of a term.
@@ -41,10 +49,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
+def sample(term: Column, log_weight: Column, k: int, known: Column | None = None) -> Column:
     """The k-th draw of a term as one long; the least of a text's terms is its sample.
 
-    term is a long (a hash), log_weight the natural logarithm of a weight of 1 or more.
+    term is a long (a hash), log_weight the natural logarithm of a weight of 1 or more, null
+    with a null term. Where the array `known` is not null, its k-th number is the draw.
+    Branches keep the parts of a draw in local variables and skip what isn't needed: a weight
+    of 1, the usual one, has t = 0.
     """
     first = F.xxhash64(term.bitwiseXOR(F.lit(_signed((k + 1) * _ODD))))
     second = F.xxhash64(first)
@@ -59,9 +70,16 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     b = part(first, 42, 22) * 2.0**-22
     log_c = F.log(-F.log(part(second, 0, 32) * part(second, 32, 32) * 2.0**-64))
     t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t - b + 1.0)
-    name = second.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit((1 << _NAME_BITS) - 1))
-    return F.shiftleft(((log_a + float(_OFFSET)) * float(1 << _STEP_BITS)).cast("long"), _NAME_BITS).bitwiseOR(name)
+
+    def packed(log_a: Column, named: Column) -> Column:
+        name = named.bitwiseAND(F.lit((1 << _NAME_BITS) - 1))
+        return F.shiftleft(((log_a + float(_OFFSET)) * float(1 << _STEP_BITS)).cast("long"), _NAME_BITS).bitwiseOR(name)
+
+    once = packed(log_c - r * (1.0 - b), second)
+    often = packed(log_c - r * (t - b + 1.0), second.bitwiseXOR(F.shiftleft(t, 7)))
+    if known is None:
+        return F.when(log_weight == 0.0, once).when(log_weight > 0.0, often)
+    return F.when(known.isNotNull(), F.get(known, F.lit(k))).when(log_weight == 0.0, once).when(log_weight > 0.0, often)
 
 
 def weighted_terms(texts: DataFrame, key: list[str], text_col: str) -> DataFrame:
@@ -70,13 +88,36 @@ def weighted_terms(texts: DataFrame, key: list[str], text_col: str) -> DataFrame
     return words.groupBy(*key, F.xxhash64("_word").alias("term")).agg(F.count("*").alias("weight"))
 
 
-def samples(terms: DataFrame, key: list[str], weight_col: str = "weight", n: int = SAMPLES) -> DataFrame:
+def _pair(term: Column, weight: Column) -> Column:
+    return F.xxhash64(term, weight.cast("long"))
+
+
+def frequent_draws(texts: DataFrame, text_col: str, n: int = SAMPLES) -> DataFrame:
+    """(pair, draws: array<long>): the n draws of frequent words, all texts counted, under the
+    hash of (term, weight). A word that is twice as frequent as need be has the draws of
+    weights 1 and 2, one four times as frequent those of 1 to 3, and so on."""
+    words = texts.select(F.explode(F.split(text_col, SEPARATOR)).alias("_word")).filter("_word <> ''")
+    often = written(words.groupBy(F.xxhash64("_word").alias("term")).agg(F.count("*").alias("often")).filter(F.col("often") >= RARE), "words-often")
+    least = max(RARE, (often.agg(F.sum("often")).first()[0] or 0) / FREQUENT)
+    weights = F.sequence(F.lit(1), (1 + F.floor(F.log2(F.col("often") / least))).cast("int"))
+    pairs = often.filter(F.col("often") >= least).select("term", F.explode(weights).alias("weight"))
+    drawn = samples(pairs.withColumn("pair", _pair(F.col("term"), F.col("weight"))), ["pair"], n=n)
+    return written(drawn.withColumnRenamed("samples", "draws"), "words-draws")
+
+
+def samples(terms: DataFrame, key: list[str], weight_col: str = "weight", n: int = SAMPLES, known: DataFrame | None = None) -> DataFrame:
     """(key, samples: array<long>) of (key, term: long, weight): what each of the n samples
     takes from the terms of a key. Weights are one or more; a null term gives null draws, so
-    a key that has no other keeps its row."""
-    own = terms.withColumn("_log", F.when(F.col("term").isNotNull(), F.log(F.col(weight_col).cast("double"))))
-    least = own.groupBy(*key).agg(*(F.min(sample(F.col("term"), F.col("_log"), k)).alias(f"_{k}") for k in range(n)))
-    return least.select(*key, F.array(*(F.col(f"_{k}") for k in range(n))).alias("samples"))
+    a key that has no other keeps its row. Draws in `known`, of frequent_draws, are looked up;
+    weights are whole numbers then."""
+    term, log, draws = F.col("term"), F.col("_log"), None
+    own = terms.withColumn("_log", F.when(term.isNotNull(), F.log(F.col(weight_col).cast("double"))))
+    if known is not None:
+        own = own.withColumn("_pair", _pair(term, F.col(weight_col))).join(F.broadcast(known), F.col("_pair") == F.col("pair"), "left")
+        draws = F.col("draws")
+    least = (F.min(sample(term, log, k, draws)) for k in range(n))
+    found = own.groupBy(*key).agg(*(x.alias(f"_{k}") for k, x in enumerate(least)))
+    return found.select(*key, F.array(*(F.col(f"_{k}") for k in range(n))).alias("samples"))
 
 
 def fingerprint(samples_: Column) -> Column:
@@ -176,7 +217,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     own, new = F.col("own"), F.col("new")
     in_both, apart = F.array(F.struct(F.lit(0).alias("side"), own.alias("weight"))), F.array(F.struct(F.lit(1).alias("side"), own.alias("weight")), F.struct(F.lit(2).alias("side"), new.alias("weight")))
     parted = counted.select(*key, "term", F.explode(F.when(own == new, in_both).otherwise(apart)).alias("x")).select(*key, "x.side", "term", "x.weight").filter("weight > 0")
-    sampled = samples(parted, [*key, "side"], n=n)
+    sampled = samples(parted, [*key, "side"], n=n, known=frequent_draws(docs, "text", n))
     by_side = sampled.groupBy(*key).agg(*(F.max(F.when(F.col("side") == side, F.col("samples"))).alias(f"s{side}") for side in (0, 1, 2)))
     nothing = F.array_repeat(F.lit(_NO_SAMPLE), n)
 

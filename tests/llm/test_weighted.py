@@ -116,3 +116,21 @@ def test_likeness_follows_the_texts(spark):
     errors = [near(printed(a), printed(b)) - jaccard(a, b) for _, a, b in pairs[:45]]
     assert abs(sum(errors) / len(errors)) < 0.02
     assert max(map(abs, errors)) < 0.25
+
+
+def test_draws_of_frequent_words_are_looked_up_with_the_same_outcome(spark, monkeypatch):
+    rows = [(1, "the cat the dog " * 5 + "rare"), (2, "the bird the cat the"), (3, None), (4, "  "), (5, "the " * 9 + "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for rare in (1, 5):
+        monkeypatch.setattr(weighted, "RARE", rare)
+        known = {r.pair: r.draws for r in weighted.frequent_draws(df, "text").collect()}
+        counts = Counter(" ".join(t or "" for _, t in rows).split())
+        want = {(w, x) for w, c in counts.items() if c >= rare for x in range(1, 2 + int(math.log2(c / rare)))}
+        hashed = {xxhash.xxh64_intdigest(struct.pack("<q", x), seed=xxhash.xxh64_intdigest(struct.pack("<Q", xxhash.xxh64_intdigest(w.encode(), seed=42)), seed=42)): (w, x) for w, x in want}
+        assert {k % 2**64 for k in known} == set(hashed)
+        assert all([(d >> 23, d & (1 << 23) - 1) for d in draws] == [drawn(*hashed[k % 2**64], i) for i in range(weighted.SAMPLES)] for k, draws in known.items())
+        assert sorted(tuple(r) for r in weighted.compared(df).collect()) == sorted(expected(rows))
+    # the looked-up draws are those that are used
+    terms = weighted.weighted_terms(df.filter("doc_id = 2"), ["doc_id"], "text")
+    pairs = spark.createDataFrame([(k, [-7] * weighted.SAMPLES) for k in known], "pair long, draws array<long>")
+    assert weighted.samples(terms, ["doc_id"], known=pairs).first().samples == [-7] * weighted.SAMPLES
