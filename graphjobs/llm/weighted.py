@@ -35,7 +35,7 @@ BLOCK_ROWS, BLOCKS = 256, 1 << 16
 PARTITION_ROWS, PARTITIONS = 2_048, 20_000
 #: Draws are looked up for words that make up one in FREQUENT or more of all that are found
 #: RARE times at least, so for FREQUENT words at most: 540 bytes for each weight.
-FREQUENT, RARE = 1 << 18, 8
+FREQUENT, RARE = 1 << 16, 8
 
 _NAME_BITS, _STEP_BITS, _OFFSET = 23, 32, 128
 #: Its multiples part the draws of a term.
@@ -53,9 +53,9 @@ def sample(term: Column, log_weight: Column, k: int, known: Column | None = None
     """The k-th draw of a term as one long; the least of a text's terms is its sample.
 
     term is a long (a hash), log_weight the natural logarithm of a weight of 1 or more, null
-    with a null term. Where the array `known` is not null, its k-th number is the draw.
-    Branches keep the parts of a draw in local variables and skip what isn't needed: a weight
-    of 1, the usual one, has t = 0.
+    with a null term. With `known`, an array that is null or holds the draws, the k-th one is
+    taken where there is one; branches then keep the parts of others in local variables and
+    skip what isn't needed: a weight of 1, the usual one, has t = 0.
     """
     first = F.xxhash64(term.bitwiseXOR(F.lit(_signed((k + 1) * _ODD))))
     second = F.xxhash64(first)
@@ -78,7 +78,7 @@ def sample(term: Column, log_weight: Column, k: int, known: Column | None = None
     once = packed(log_c - r * (1.0 - b), second)
     often = packed(log_c - r * (t - b + 1.0), second.bitwiseXOR(F.shiftleft(t, 7)))
     if known is None:
-        return F.when(log_weight == 0.0, once).when(log_weight > 0.0, often)
+        return often
     return F.when(known.isNotNull(), F.get(known, F.lit(k))).when(log_weight == 0.0, once).when(log_weight > 0.0, often)
 
 
