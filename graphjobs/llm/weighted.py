@@ -36,11 +36,13 @@ PARTITION_ROWS, PARTITIONS = 2_048, 20_000
 #: Draws are looked up for words that make up one in FREQUENT or more of all that are found
 #: RARE times at least, so for FREQUENT words at most: 540 bytes for each weight.
 FREQUENT, RARE = 1 << 16, 8
+#: Samples that a row draws at once; a term has a row for each such part, so that generated
+#: code, which the driver compiles too, doesn't grow with the samples.
+AT_ONCE = 16
 
 _NAME_BITS, _STEP_BITS, _OFFSET = 23, 32, 128
 #: Its multiples part the draws of a term.
 _ODD = 0x9E3779B97F4A7C15
-_NO_SAMPLE = (1 << 63) - 1
 
 
 def _signed(x: int) -> int:
@@ -49,15 +51,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sample(term: Column, log_weight: Column, k: int, known: Column | None = None) -> Column:
-    """The k-th draw of a term as one long; the least of a text's terms is its sample.
+def sample(term: Column, log_weight: Column, seed: Column, known: Column | None = None, k: Column | None = None) -> Column:
+    """The draw of a term by a sample's seed as one long; the least of a text's terms is its
+    sample.
 
     term is a long (a hash), log_weight the natural logarithm of a weight of 1 or more, null
     with a null term. With `known`, an array that is null or holds the draws, the k-th one is
     taken where there is one; branches then keep the parts of others in local variables and
     skip what isn't needed: a weight of 1, the usual one, has t = 0.
     """
-    first = F.xxhash64(term.bitwiseXOR(F.lit(_signed((k + 1) * _ODD))))
+    first = F.xxhash64(term.bitwiseXOR(seed))
     second = F.xxhash64(first)
 
     def part(hash: Column, low: int, bits: int) -> Column:
@@ -79,7 +82,7 @@ def sample(term: Column, log_weight: Column, k: int, known: Column | None = None
     often = packed(log_c - r * (t - b + 1.0), second.bitwiseXOR(F.shiftleft(t, 7)))
     if known is None:
         return often
-    return F.when(known.isNotNull(), F.get(known, F.lit(k))).when(log_weight == 0.0, once).when(log_weight > 0.0, often)
+    return F.when(known.isNotNull(), F.get(known, k)).when(log_weight == 0.0, once).when(log_weight > 0.0, often)
 
 
 def weighted_terms(texts: DataFrame, key: list[str], text_col: str) -> DataFrame:
@@ -105,19 +108,27 @@ def frequent_draws(texts: DataFrame, text_col: str, n: int = SAMPLES) -> DataFra
     return written(drawn.withColumnRenamed("samples", "draws"), "words-draws")
 
 
-def samples(terms: DataFrame, key: list[str], weight_col: str = "weight", n: int = SAMPLES, known: DataFrame | None = None) -> DataFrame:
-    """(key, samples: array<long>) of (key, term: long, weight): what each of the n samples
-    takes from the terms of a key. Weights are one or more; a null term gives null draws, so
-    a key that has no other keeps its row. Draws in `known`, of frequent_draws, are looked up;
-    weights are whole numbers then."""
+def sampled_parts(terms: DataFrame, key: list[str], weight_col: str = "weight", n: int = SAMPLES, known: DataFrame | None = None) -> DataFrame:
+    """(key, part, _0, _1, ...) of (key, term: long, weight): what the samples of each part,
+    AT_ONCE of the n, take from the terms of a key; null beyond the n-th. Weights are one or
+    more; a null term gives null draws, so a key that has no other keeps its rows. Draws in
+    `known`, of frequent_draws, are looked up; weights are whole numbers then."""
     term, log, draws = F.col("term"), F.col("_log"), None
     own = terms.withColumn("_log", F.when(term.isNotNull(), F.log(F.col(weight_col).cast("double"))))
     if known is not None:
         own = own.withColumn("_pair", _pair(term, F.col(weight_col))).join(F.broadcast(known), F.col("_pair") == F.col("pair"), "left")
         draws = F.col("draws")
-    least = (F.min(sample(term, log, k, draws)) for k in range(n))
-    found = own.groupBy(*key).agg(*(x.alias(f"_{k}") for k, x in enumerate(least)))
-    return found.select(*key, F.array(*(F.col(f"_{k}") for k in range(n))).alias("samples"))
+    seeds = [F.array(*(F.lit(_signed((k + 1) * _ODD)) for k in range(at, min(at + AT_ONCE, n)))) for at in range(0, n, AT_ONCE)]
+    dealt = own.select("*", F.posexplode(F.array(*seeds)).alias("part", "_seeds"))
+    least = (F.min(sample(term, log, F.get("_seeds", F.lit(i)), draws, F.col("part") * AT_ONCE + i)).alias(f"_{i}") for i in range(AT_ONCE))
+    return dealt.groupBy(*key, "part").agg(*least)
+
+
+def samples(terms: DataFrame, key: list[str], weight_col: str = "weight", n: int = SAMPLES, known: DataFrame | None = None) -> DataFrame:
+    """(key, samples: array<long>): the parts of sampled_parts, joined."""
+    part = F.struct("part", F.array(*(F.col(f"_{i}") for i in range(AT_ONCE))).alias("own"))
+    parts = sampled_parts(terms, key, weight_col, n, known).groupBy(*key).agg(F.sort_array(F.collect_list(part)).alias("_parts"))
+    return parts.select(*key, F.slice(F.flatten("_parts.own"), 1, n).alias("samples"))
 
 
 def fingerprint(samples_: Column) -> Column:
@@ -217,18 +228,18 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     own, new = F.col("own"), F.col("new")
     in_both, apart = F.array(F.struct(F.lit(0).alias("side"), own.alias("weight"))), F.array(F.struct(F.lit(1).alias("side"), own.alias("weight")), F.struct(F.lit(2).alias("side"), new.alias("weight")))
     parted = counted.select(*key, "term", F.explode(F.when(own == new, in_both).otherwise(apart)).alias("x")).select(*key, "x.side", "term", "x.weight").filter("weight > 0")
-    sampled = samples(parted, [*key, "side"], n=n, known=frequent_draws(docs, "text", n))
-    by_side = sampled.groupBy(*key).agg(*(F.max(F.when(F.col("side") == side, F.col("samples"))).alias(f"s{side}") for side in (0, 1, 2)))
-    nothing = F.array_repeat(F.lit(_NO_SAMPLE), n)
-
-    def side(k: int) -> Column:
-        """What a text takes: the lesser of what its shared and its own words give."""
-        return F.zip_with(F.coalesce("s0", nothing), F.coalesce(f"s{k}", nothing), lambda a, b: F.least(F.coalesce(a, F.lit(_NO_SAMPLE)), F.coalesce(b, F.lit(_NO_SAMPLE))))
-
-    def printed(found: Column) -> Column:
-        return F.when(F.get(found, F.lit(0)) == _NO_SAMPLE, "").otherwise(fingerprint(found))
-
-    prints = by_side.select(*key, printed(side(1)).alias("fingerprint"), printed(side(2)).alias("edited_fingerprint"))
+    sampled = sampled_parts(parted, [*key, "side"], n=n, known=frequent_draws(docs, "text", n))
+    # what a text takes: the lesser of what its shared and its own words give
+    names = [f"_{i}" for i in range(AT_ONCE)]
+    sides = sampled.groupBy(*key, "part").agg(*(F.min(F.when(F.col("side") != other, F.col(c))).alias(f"{name}{c}") for name, other in (("own", 2), ("new", 1)) for c in names))
+    part = F.struct("part", *(F.array(*(F.col(f"{name}{c}") for c in names)).alias(name) for name in ("own", "new")))
+    texts = sides.groupBy(*key).agg(F.sort_array(F.collect_list(part)).alias("_parts"))
+
+    def printed(name: str) -> Column:
+        found = F.slice(F.flatten(f"_parts.{name}"), 1, n)
+        return F.when(F.get(found, F.lit(0)).isNull(), "").otherwise(fingerprint(found))
+
+    prints = texts.select(*key, printed("own").alias("fingerprint"), printed("new").alias("edited_fingerprint"))
     prints = prints.withColumn("_next", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("place")))
     prints = prints.select(*key, "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
     told = rows.filter(~F.col("last")).select(*key, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))

@@ -134,3 +134,16 @@ def test_draws_of_frequent_words_are_looked_up_with_the_same_outcome(spark, monk
     terms = weighted.weighted_terms(df.filter("doc_id = 2"), ["doc_id"], "text")
     pairs = spark.createDataFrame([(k, [-7] * weighted.SAMPLES) for k in known], "pair long, draws array<long>")
     assert weighted.samples(terms, ["doc_id"], known=pairs).first().samples == [-7] * weighted.SAMPLES
+
+
+def test_the_plan_does_not_grow_with_the_samples(spark):
+    """Draws are made in parts by one expression, and parts are joined in their order."""
+    df = spark.createDataFrame([("a", 5, 2.0), ("a", 6, 1.0), ("b", 5, 3.0)], "k string, term long, weight double")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    try:
+        plans = [weighted.samples(df, ["k"], n=n)._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") for n in (16, 128)]
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plans[0] == plans[1] > 0
+    few, many = ({r.k: r.samples for r in weighted.samples(df, ["k"], n=n).collect()} for n in (10, 100))
+    assert all(len(few[k]) == 10 and len(many[k]) == 100 and many[k][:10] == few[k] for k in "ab")
