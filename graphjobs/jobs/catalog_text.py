@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..operators import extraction, layout, mentions, pages, segment
 from . import sql as S
 from .catalog import flat, query
-from .fixtures import cte, frame
+from .fixtures import char_pages, cte, frame
 
 LATIN = C.LATIN
 
@@ -171,7 +171,7 @@ def detect_columns(spark, sf_dir):
     SELECT doc, string_agg(text, chr(10) ORDER BY page) AS text FROM whole GROUP BY doc"""
 )
 def reconstruct_lines(spark, sf_dir):
-    return layout.reconstruct_lines(frame(spark, sf_dir, "char_boxes"))
+    return layout.reconstruct_lines(char_pages(spark, sf_dir, "x0", "pos", "top", "text"))
 
 
 # --- pages -------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import uuid
 import pytest
 
 from graphjobs.functions import config as C
-from graphjobs.jobs import pipelines
+from graphjobs.jobs import catalog_text, fixtures, pipelines
 from graphjobs.operators import extraction, layout, mentions, pages, segment
 from pyspark.sql import functions as F
 
@@ -121,6 +121,55 @@ def test_pages_against_plain_python(spark):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+BOX = "doc string, page int, pos long, x0 double, top double, text string, page_width double"
+
+
+def boxes_by_page(spark, rows):
+    """The same characters as a page reader gives them."""
+    pages = {}
+    for doc, page, *char, width in rows:
+        pages.setdefault((doc, page, width), []).append(tuple(char))
+    return spark.createDataFrame([(*k, v) for k, v in pages.items()], "doc string, page int, page_width double, chars array<struct<pos:long,x0:double,top:double,text:string>>")
+
+
+def odd_boxes():
+    rng = random.Random(22)
+    odd = [None, float("nan"), -0.0, 0.0, 30.0, 60.0]
+    rows = [(f"d{page % 3}", page, rng.choice([None, pos]), rng.choice(odd), rng.choice([*odd, 2.5, 7.5, 12.4]), rng.choice(["a", "fi", "立", "😀", "", None]), rng.choice([100.0])) for page in range(12) for pos in range(40)]
+    return rows + [("d9", 0, 1, None, None, "x", 100.0), ("d9", 1, 1, 5.0, 0.0, None, None)]
+
+
+def test_pages_in_rows_give_what_characters_give(spark):
+    flat, pages = spark.createDataFrame(odd_boxes(), BOX).repartition(5), boxes_by_page(spark, odd_boxes())
+    for job in (layout.detect_columns, layout.assign_columns, layout.reconstruct_lines):
+        # repr, as NaN is not equal to itself
+        assert sorted(map(repr, job(flat).collect())) == sorted(map(repr, job(pages).collect()))
+    joined = flat.join(layout.detect_columns(flat), ["doc", "page"])
+    counted = joined.select("doc", "page", "pos", F.size(F.filter("dividers", lambda d: d <= F.col("x0"))).alias("col"))
+    assert sorted(map(repr, counted.collect())) == sorted(map(repr, layout.assign_columns(flat).collect()))
+
+
+def test_odd_characters_stand_as_spark_orders_them(spark):
+    """Lines by columns, heights, x0, pos and text, nulls first and NaN last."""
+    flat = spark.createDataFrame(odd_boxes(), BOX)
+    placed = flat.join(layout.detect_columns(flat), ["doc", "page"]).select("doc", "page", F.struct(F.size(F.filter("dividers", lambda d: d <= F.col("x0"))).alias("col"), (F.rint(F.col("top") / 5) * 5).alias("line"), "x0", "pos", F.coalesce("text", F.lit("")).alias("text")).alias("c"))
+    want = {}
+    for r in placed.groupBy("doc", "page").agg(F.sort_array(F.collect_list("c")).alias("c")).orderBy("doc", "page").collect():
+        text = "".join(("\n" if i and (repr(r.c[i - 1].line), r.c[i - 1].col) != (repr(c.line), c.col) and not (c.line == r.c[i - 1].line and c.col == r.c[i - 1].col) else "") + c.text for i, c in enumerate(r.c))
+        want.setdefault(r.doc, []).append(text)
+    assert {r.doc: r.text for r in layout.reconstruct_lines(flat).collect()} == {d: "\n".join(t) for d, t in want.items()}
+
+
+def test_layout_queries_move_no_characters(spark):
+    """Boxes are cut into pages in their documents' rows; only lines' texts are shuffled."""
+    sf = "/root/testdata/sf0.001"
+    boxes = fixtures.frame(spark, sf, "char_boxes")
+    own = fixtures.char_pages(spark, sf, "pos", "x0", "top", "text").select("doc", "page", "page_width", F.inline("chars")).select(*boxes.columns)
+    assert own.dtypes == boxes.dtypes and own.exceptAll(boxes).isEmpty() and boxes.exceptAll(own).isEmpty()
+    for query, moves in ((catalog_text.reconstruct_lines, 1),):
+        assert query(spark, sf)._jdf.queryExecution().executedPlan().toString().count("Exchange") == moves
+
+
 class Node:
     def __init__(self, tag, attrs="", parent=None):
         self.tag, self.parent, self.children = tag, parent, []
