@@ -14,7 +14,7 @@ from . import catalog_text as T
 from . import pipelines
 from . import sql as S
 from .catalog import query
-from .fixtures import cte, frame
+from .fixtures import char_pages, cte, frame
 
 _REL = cte("relations")
 
@@ -55,9 +55,7 @@ def relevant(spark, sf_dir):
 
 @query(f"{cte('char_boxes')} {T._COLUMNS} SELECT doc, page, pos, CAST(len(list_filter(dividers, lambda d: d <= x0)) AS INTEGER) AS col FROM char_boxes JOIN pages_of USING (doc, page)")
 def assign_column(spark, sf_dir):
-    chars = frame(spark, sf_dir, "char_boxes")
-    rows = chars.join(layout.detect_columns(chars), ["doc", "page"])
-    return rows.select("doc", "page", "pos", layout.assign_column(F.col("x0"), F.col("dividers")).alias("col"))
+    return layout.assign_columns(char_pages(spark, sf_dir, "x0", "pos"))
 
 
 @query()
