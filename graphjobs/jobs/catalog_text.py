@@ -160,7 +160,7 @@ _COLUMNS = """, gaps AS (SELECT doc, page, x0, page_width, lead(x0) OVER (PARTIT
 
 @query(f"{cte('char_boxes')} {_COLUMNS} SELECT doc, page, array_to_string(dividers, '|') AS dividers FROM pages_of")
 def detect_columns(spark, sf_dir):
-    found = layout.detect_columns(frame(spark, sf_dir, "char_boxes"))
+    found = layout.detect_columns(char_pages(spark, sf_dir, "x0"))
     return found.select("doc", "page", F.array_join(F.transform("dividers", lambda d: d.cast("string")), "|").alias("dividers"))
 
 

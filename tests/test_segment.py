@@ -166,7 +166,7 @@ def test_layout_queries_move_no_characters(spark):
     boxes = fixtures.frame(spark, sf, "char_boxes")
     own = fixtures.char_pages(spark, sf, "pos", "x0", "top", "text").select("doc", "page", "page_width", F.inline("chars")).select(*boxes.columns)
     assert own.dtypes == boxes.dtypes and own.exceptAll(boxes).isEmpty() and boxes.exceptAll(own).isEmpty()
-    for query, moves in ((catalog_more.assign_column, 0), (catalog_text.reconstruct_lines, 1)):
+    for query, moves in ((catalog_text.detect_columns, 0), (catalog_more.assign_column, 0), (catalog_text.reconstruct_lines, 1)):
         assert query(spark, sf)._jdf.queryExecution().executedPlan().toString().count("Exchange") == moves
 
 
