@@ -72,6 +72,44 @@ def neighbor_steps(edges: DataFrame) -> DataFrame:
     return both.groupBy("at", "to").agg(F.min("via").alias("via"))
 
 
+def _words_of(column: str, words: int) -> tuple[str, str]:
+    """The 64-bit word, of so many, and the three of its bits that stand for a value."""
+    bits = " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64({column}), {at}) & 63 AS INT))" for at in (30, 40, 50))
+    return f"(xxhash64({column}) & {words - 1})", f"({bits})"
+
+
+def _perhaps_of(edges: DataFrame, side: str, nodes: DataFrame, n: int) -> DataFrame:
+    """Edges whose end at `side` is one of n nodes (node_id), and few others: bits of the
+    nodes' hashes are broadcast, so that Spark drops most edges where it reads them."""
+    words = 1 << min(20, max(10, (n // 4).bit_length()))
+    if n > 32 * words:  # most bits would be set
+        return edges
+    word, bits = _words_of("node_id", words)
+    marks = nodes.select(F.expr(word).alias("_word"), F.expr(bits).alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    word, bits = _words_of(side, words)
+    return edges.join(F.broadcast(marks), F.expr(f"_word = {word} AND (_bits & {bits}) = {bits}"), "left_semi")
+
+
+def _touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges that begin or end at one of nodes (node_id, distinct), each once."""
+    n = nodes.count()
+    own = {side: nodes.withColumnRenamed("node_id", side) for side in ("src_id", "dst_id")}
+    at_src, at_dst = (_perhaps_of(edges, side, nodes, n).join(of, side, "left_semi") for side, of in own.items())
+    return at_src.unionByName(at_dst.join(own["src_id"], "src_id", "left_anti"))
+
+
+def surroundings(edges: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
+    """The edges that a path of at most depth steps between two of ends (node_id) can hold.
+    Each has an end that is at most (depth - 1) // 2 steps from one of them, whatever the
+    graph holds beyond; only these edges are written and shuffled later on."""
+    edges = edges.filter("src_id != dst_id").select("edge_id", "src_id", "dst_id", "type", "rel_type", "season")
+    near = written(ends.select("node_id").distinct(), "path-near-0")
+    for k in range((depth - 1) // 2):
+        met = _touching(edges, near).select(F.explode(F.array("src_id", "dst_id")).alias("node_id"))
+        near = written(near.union(met).distinct(), f"path-near-{k + 1}")
+    return written(_touching(edges, near), "path-edges")
+
+
 def peeled(steps: DataFrame, ends: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(core, hung): the graph without nodes that hang on one neighbour, and for each of
     ends (node_id) its anchor in the core with the steps that lead there.
@@ -150,8 +188,8 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_dept
     """(pair_id, hop, source, relation, target, season): one undirected shortest path of
     at most max_depth edges for each of pairs (pair_id, src, dst), hop by hop.
 
-    The graph is reduced first: what hangs on one neighbour is taken away, and ends that
-    hang move to where they hang. Ends in one hanging part meet there; the others are
+    The graph is reduced first, to the edges around the ends; what hangs on one neighbour
+    is taken away, and ends that hang move to where they hang. Ends in one hanging part meet there; the others are
     searched between their anchors, each different pair of anchors once and each anchor's
     surroundings once, so that a hub is not opened for every pair that hangs on it. Of
     equally long paths one is taken that does not depend on how rows lie. A pair of equal
@@ -162,6 +200,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_dept
     own = named.join(ids, named["src"] == ids["name"]).select("pair_id", "dst", F.col("node_id").alias("a"))
     own = written(own.join(ids, own["dst"] == ids["name"]).select("pair_id", "a", F.col("node_id").alias("b")).distinct(), "path-pairs")
     ends = own.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    edges = surroundings(edges, ends, max_depth)
     core, hung = peeled(written(neighbor_steps(edges), "path-steps"), ends, max(1, max_depth // 2))
     for side in ("a", "b"):
         own = own.join(hung.select(F.col("node_id").alias(side), F.col("anchor").alias(f"{side}0"), F.col("chain").alias(f"chain_{side}")), side)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from graphjobs.jobs import pipelines
 from graphjobs.operators import analytics, cleaning, conflicts, graph
+from graphjobs.sources.scratch import written
 
 
 def test_ties_of_votes_go_to_the_first_seen(spark):
@@ -139,6 +140,37 @@ def test_shortest_paths_where_much_hangs_on_little(spark, depth):
     held_against_brute_force(spark, nodes, edges, pairs, depth)
 
 
+def test_path_search_keeps_only_what_lies_around_the_ends(spark, monkeypatch):
+    """Two customers of one region, and a large part of the graph that no path reaches."""
+    near = [("c1", "n1"), ("c2", "n2"), ("n1", "r"), ("n2", "r"), ("s1", "n1")]
+    far = [(f"s{k % 40 + 1}", f"p{k % 700}") for k in range(3000)]
+    edges = [(f"e{k:05}", a, b, "r", "t", None) for k, (a, b) in enumerate(near + far)]
+    nodes = [(i, f"n_{i}", ["X"]) for i in sorted({x for pair in near + far for x in pair})]
+    sizes = {}
+
+    def noted(df, name):
+        out = written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(analytics, "written", noted)
+    found = analytics.shortest_path(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), spark.createDataFrame([(1, "n_c1", "n_c2")], "pair_id long, src string, dst string")).collect()
+    assert [(r.hop, r.source, r.target) for r in sorted(found)] == [(1, "n_c1", "n_n1"), (2, "n_n1", "n_r"), (3, "n_r", "n_n2"), (4, "n_n2", "n_c2")]
+    assert max(sizes.values()) <= 2 * len(near)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5])
+def test_surroundings_hold_every_edge_of_a_path(spark, depth):
+    rng = random.Random(depth)
+    edges = [(f"e{k:03}", str(rng.randrange(60)), str(rng.randrange(60)), "r", "t", "") for k in range(70)] + [("loop", "1", "1", "r", "t", "")]
+    ends = {str(rng.randrange(60)) for _ in range(6)}
+    kept = [r.edge_id for r in analytics.surroundings(spark.createDataFrame(edges, EDGES), spark.createDataFrame([(e,) for e in ends], "node_id string"), depth).collect()]
+    near = set(ends)
+    for _ in range((depth - 1) // 2):
+        near |= {x for _, a, b, *_ in edges if a != b and {a, b} & near for x in (a, b)}
+    assert sorted(kept) == sorted(e for e, a, b, *_ in edges if a != b and {a, b} & near)
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_results_do_not_depend_on_partitions(spark, parts):
     nodes, edges = small_graph(spark)
