@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import broadcast_if_small, written
 
 
 def merge_nodes(entities: DataFrame) -> DataFrame:
@@ -24,17 +25,19 @@ def merge_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     order of their raw types' first rows and then of rows; the last one's type and
     season stay.
     """
-    turns = relations.groupBy("type").agg(F.min("row_no").alias("turn"))
-    rows = relations.join(F.broadcast(turns) if turns.limit(10_001).count() <= 10_000 else turns, "type")
-    rows = rows.withColumn("rel_type", X.safe_type(F.col("type")))
+    # written once, as the turns need all of them before the first edge is known
+    relations = written(relations.select("source", "target", "type", "season", "row_no"), "relations", "zstd")
+    turns = written(relations.groupBy("type").agg(F.min("row_no").alias("turn")), "turns")
+    rows = relations.join(broadcast_if_small(turns, 10_000), "type")
     # what is written last wins, so one row for each edge name before the ends fan out
-    last = F.max_by(F.struct("type", "season"), F.struct("turn", "row_no", "season"))
-    rows = rows.groupBy("source", "target", "rel_type").agg(last.alias("last"))
+    last = F.max(F.struct("turn", "row_no", "season", "type"))
+    rows = rows.groupBy("source", "target", X.safe_type(F.col("type")).alias("rel_type")).agg(last.alias("last")).select("source", "target", "last.type", "last.season")
     names = nodes.select("node_id", "name")
     ends = rows.join(names.select(F.col("node_id").alias("src_id"), F.col("name").alias("source")), "source")
     ends = ends.join(names.select(F.col("node_id").alias("dst_id"), F.col("name").alias("target")), "target")
+    ends = ends.withColumn("rel_type", X.safe_type(F.col("type")))
     edge_id = F.sha2(F.concat_ws("\x1f", "src_id", "rel_type", "dst_id"), 256)
-    return ends.select(edge_id.alias("edge_id"), "src_id", "dst_id", "rel_type", F.col("last.type").alias("type"), F.col("last.season").alias("season"))
+    return ends.select(edge_id.alias("edge_id"), "src_id", "dst_id", "rel_type", "type", "season")
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from graphjobs.jobs import pipelines
 from graphjobs.operators import analytics, cleaning, conflicts, graph
+from graphjobs.sources import records
 from graphjobs.sources.scratch import written
 
 
@@ -53,6 +54,20 @@ def test_edges_fan_out_and_the_last_write_wins(spark):
     assert len(edges) == 2 and {(e.rel_type, e.type, e.season) for e in edges} == {("r_1", "r 1", "s2")}
 
 
+def test_edges_make_their_relations_once(spark, tmp_path):
+    """Of a large join, only its written rows are read for turns and edges; the last row of the
+    last type wins, by the types' first rows."""
+    rows = [("a", "b", "t x", "s1", 1), ("a", "b", "t-x", "s2", 5), ("a", "b", "t x", "s3", 9), ("a", "b", "t-x", "s4", 7), ("a", "b", None, "s5", 20), ("b", "a", "u", None, 2), ("b", "a", "u", "s6", 2), ("a", "nowhere", "u", "s7", 3)]
+    spark.createDataFrame(rows, "source string, target string, type string, season string, row_no long").write.parquet(str(tmp_path / "made"))
+    nodes = graph.merge_nodes(spark.createDataFrame([("a", "L"), ("a", "M"), ("b", "L")], "name string, label string"))
+    edges = graph.merge_edges(spark.read.parquet(str(tmp_path / "made")), nodes)
+    assert not [f for f in edges.inputFiles() if "/made/" in f]
+    assert sorted((r.rel_type, r.type, r.season) for r in edges.collect()) == [("t_x", "t-x", "s4")] * 2 + [("u", "u", "s6")] * 2
+    records.write_graph(nodes, edges, str(tmp_path / "graph"))
+    back = spark.read.parquet(str(tmp_path / "graph/edges"))
+    assert back.count() == 4 and all(".zstd." in f for f in back.inputFiles())
+
+
 NODES = "node_id string, name string, labels array<string>"
 EDGES = "edge_id string, src_id string, dst_id string, rel_type string, type string, season string"
 
