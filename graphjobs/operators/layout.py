@@ -24,22 +24,23 @@ def page_arrays(chars: DataFrame) -> DataFrame:
     return chars.groupBy("doc", "page").agg(F.max("page_width").alias("page_width"), F.collect_list(item).alias("chars"))
 
 
-def dividers_of(chars: Column, page_width: Column, gap_ratio: float = 0.05, max_dividers: int = MAX_DIVIDERS) -> Column:
-    """Middles of the widest gaps between neighbouring x0 of a page's characters, if wider
-    than gap_ratio of the page; of equal gaps the left one."""
-    x0 = chars["x0"]
+def with_dividers(pages: DataFrame, gap_ratio: float = 0.05, max_dividers: int = MAX_DIVIDERS) -> DataFrame:
+    """Pages (doc, page, page_width, chars) with their dividers array<double>: middles of the
+    widest gaps between neighbouring x0, if wider than gap_ratio of the page; of equal gaps
+    the left one."""
+    x0, width = F.col("chars.x0"), F.col("page_width")
     # equal x0 leave gaps of zero, which are never wide on a page that has a width
-    plain = (page_width >= 0) & ~F.array_contains(x0, F.lit(float("nan")))
-    places = F.sort_array(F.array_compact(F.when(plain, F.array_distinct(x0)).otherwise(x0)))
-    gaps = F.transform(F.array(places), lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda x, y: F.struct((x - y).alias("g"), x.alias("x"))))
-    wide = F.filter(F.get(gaps, F.lit(0)), lambda s: -s["g"] > page_width * gap_ratio)
-    return F.sort_array(F.transform(F.slice(F.sort_array(wide), 1, max_dividers), lambda s: s["x"] - s["g"] / 2))
+    plain = (width >= 0) & ~F.array_contains(x0, F.lit(float("nan")))
+    # sorted in a column of their own, so by generated code, which functions with lambdas aren't; nulls come first and have no gap
+    pages = pages.withColumn("_places", F.sort_array(F.when(plain, F.array_distinct(x0)).otherwise(x0)))
+    after = F.slice("_places", F.lit(2), F.greatest(F.size("_places") - 1, F.lit(0)))
+    wide = F.filter(F.zip_with("_places", after, lambda x, y: F.struct((x - y).alias("g"), x.alias("x"))), lambda s: -s["g"] > width * gap_ratio)
+    return pages.withColumn("dividers", F.sort_array(F.transform(F.slice(F.sort_array(wide), 1, max_dividers), lambda s: s["x"] - s["g"] / 2))).drop("_places")
 
 
 def detect_columns(chars: DataFrame, gap_ratio: float = 0.05, max_dividers: int = MAX_DIVIDERS) -> DataFrame:
     """(doc, page, dividers array<double>) of characters (doc, page, x0, page_width) or of pages."""
-    found = page_arrays(chars)
-    return found.select("doc", "page", dividers_of(F.col("chars"), F.col("page_width"), gap_ratio, max_dividers).alias("dividers"))
+    return with_dividers(page_arrays(chars), gap_ratio, max_dividers).select("doc", "page", "dividers")
 
 
 def assign_column(x0: Column, dividers: Column, most: int = MAX_DIVIDERS) -> Column:
@@ -50,7 +51,7 @@ def assign_column(x0: Column, dividers: Column, most: int = MAX_DIVIDERS) -> Col
 def assign_columns(chars: DataFrame) -> DataFrame:
     """(doc, page, pos, col) of characters (doc, page, pos, x0, page_width) or of pages; a
     page's dividers are told in its row and go with its characters."""
-    pages = page_arrays(chars).select("doc", "page", "chars", dividers_of(F.col("chars"), F.col("page_width")).alias("dividers"))
+    pages = with_dividers(page_arrays(chars)).select("doc", "page", "chars", "dividers")
     # outer, as Spark would else ask for the arrays' sizes first and build them twice; no page is empty
     rows = pages.select("doc", "page", "dividers", F.inline_outer("chars"))
     return rows.select("doc", "page", "pos", assign_column(F.col("x0"), F.col("dividers")).alias("col"))
@@ -117,7 +118,7 @@ def reconstruct_lines(chars: DataFrame, tolerance: int = 5) -> DataFrame:
     """(doc, text) of characters (doc, page, pos, x0, top, text, page_width) or of pages: the
     pages' texts one after the other. Gaps, columns and lines are told within a page's row,
     lines in batches of whole pages, and only finished texts are shuffled by document."""
-    pages = page_arrays(chars).select("doc", "page", "chars", dividers_of(F.col("chars"), F.col("page_width")).alias("dividers"))
+    pages = with_dividers(page_arrays(chars)).select("doc", "page", "chars", "dividers")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     texts = pages.mapInArrow(_page_texts(tolerance), f"doc {kinds['doc']}, page {kinds['page']}, text string").select("doc", F.struct("page", "text").alias("p"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["text"]), "\n")
